@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +21,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sstable.store_and_read(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), window=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_retrieval_packing,)}
+    return {f.__name__: f for f in (op8_sorted_string_table, op9_retrieval_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
