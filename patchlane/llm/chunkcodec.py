@@ -133,6 +133,16 @@ class ChunkEncoder:
         made = [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind) for c in chunks]
         return np.concatenate([np.zeros(0, self.kind), *made]), np.array([len(x) for x in made], np.int32)
 
+    def encode_list(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after the other, and how many each has, without the table."""
+        plain = np.fromiter((self.plain.fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        made = [encode([chunks[i] for i in np.flatnonzero(m)]) for m, encode in ((plain, self.encode_plain), (~plain, self.encode_other))]
+        at = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        lengths, starts = np.zeros(len(chunks), np.int32), np.zeros(len(chunks), np.int64)
+        lengths[at] = np.r_[made[0][1], made[1][1]]
+        starts[at] = np.cumsum(lengths[at], dtype=np.int64) - lengths[at]
+        return np.r_[made[0][0], made[1][0]][ragged(starts, lengths)], lengths
+
     def enter(self, keys: np.ndarray, chunks: Iterable[str]) -> None:
         chunks = list(chunks)
         if self.table.size + len(keys) > self.max_chunks:  # keep what was used more than once

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on at once; longer texts are taken alone, whole.
 SLICE_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,10 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The write's shuffle files are no longer needed then, and Spark may drop them when it ends."""
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark)}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
