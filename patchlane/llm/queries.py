@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, sstable, wordbpe
+from . import jaccard, packing, quality_rules, sstable, wordbpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"), n=5, numerator=75, denominator=100)
 
 
+def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.references(docs))
+
+
 def op7_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wordbpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -41,7 +46,7 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op7_word_table_bpe, op8_sorted_string_table, op9_retrieval_packing)}
+    return {f.__name__: f for f in (op4_ngram_jaccard_join, op5_distribution_divergence, op7_word_table_bpe, op8_sorted_string_table, op9_retrieval_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
