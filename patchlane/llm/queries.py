@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, quality_rules, sstable, wordbpe
+from . import jaccard, language, line_dedup, packing, quality_rules, sstable, wordbpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.references(docs))
 
 
+def op6_distinct_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_spread_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wordbpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -45,9 +49,15 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.is_held_out())
+    model = language.train(docs.where("not held_out"))
+    return language.identify(docs, model, carry=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op5_distribution_divergence, op7_word_table_bpe, op8_sorted_string_table, op9_retrieval_packing)}
+    return {f.__name__: f for f in (op4_ngram_jaccard_join, op5_distribution_divergence, op6_distinct_site_lines, op7_word_table_bpe, op8_sorted_string_table, op9_retrieval_packing, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_distinct_site_lines": line_dedup.SQL}
