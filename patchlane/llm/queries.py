@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, line_dedup, packing, quality_rules, sstable, wordbpe
+from . import jaccard, language, line_crf, line_dedup, packing, quality_rules, sstable, wordbpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.is_held_out())
+    model = line_crf.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    return line_crf.score(docs, model, carry=["doc_id", "held_out"])
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"), n=5, numerator=75, denominator=100)
 
@@ -56,7 +62,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op5_distribution_divergence, op6_distinct_site_lines, op7_word_table_bpe, op8_sorted_string_table, op9_retrieval_packing, op10_language_mixture)}
+    return {f.__name__: f for f in (op1_line_crf_quality, op4_ngram_jaccard_join, op5_distribution_divergence, op6_distinct_site_lines, op7_word_table_bpe, op8_sorted_string_table, op9_retrieval_packing, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
