@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, language, line_crf, line_dedup, packing, quality_rules, sstable, wordbpe
+from . import html_text, jaccard, language, line_crf, line_dedup, media, packing, quality_rules, sstable, wordbpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op2_block_rules_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store_and_read(spark, table(spark, sf_dir, "documents")))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"), n=5, numerator=75, denominator=100)
 
@@ -66,7 +70,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_crf_quality, op2_block_rules_html, op4_ngram_jaccard_join, op5_distribution_divergence, op6_distinct_site_lines, op7_word_table_bpe, op8_sorted_string_table, op9_retrieval_packing, op10_language_mixture)}
+    return {f.__name__: f for f in (op1_line_crf_quality, op2_block_rules_html, op3_media_archives, op4_ngram_jaccard_join, op5_distribution_divergence, op6_distinct_site_lines, op7_word_table_bpe, op8_sorted_string_table, op9_retrieval_packing, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
