@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on at once; longer texts are taken alone, whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,7 +38,7 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.select("*").write.mode("overwrite").parquet(path)  # a frame made under the setting
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -73,7 +73,8 @@ def compute_columns(
     carry = [c for c in carry if c not in names]
     kept = [df.schema[c] for c in carry]
     schema = T.StructType([*kept, *fields])
-    own = "__text__"
+    passed = text_col in carry and isinstance(df.schema[text_col].dataType, T.StringType)
+    own = text_col if passed else "__text__"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
@@ -87,5 +88,5 @@ def compute_columns(
                     [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], names=[f.name for f in schema]
                 )
 
-    source = df.select(*[df[c] for c in carry], df[text_col].cast("string").alias(own))
+    source = df.select(*[df[c] for c in carry], *([] if passed else [df[text_col].cast("string").alias(own)]))
     return source.mapInArrow(run, schema)

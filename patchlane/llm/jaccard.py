@@ -65,14 +65,35 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int, ranked: int) -> Ra
     return Ranks(held.column("gram").to_numpy(), held.column("n").to_numpy())
 
 
-def link_components(
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """The id column, n_shingles (long) and component_id: the least identifier that links lead to, itself included.
+
+    options are those of classes(). Defined cases: rows without words have no shingle and link with nothing; a null
+    identifier counts only where a component has no other; rows of one identifier are rows like any others; an empty table
+    gives no rows; further columns are not read."""
+    members = classes(docs, id_col, text_col, **options)
+    least = members.where("class is not null").groupBy("class").agg(F.min("id").alias("component_id"))
+    own = members.join(least, "class", "left")
+    return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """The rows of docs without near copies: of each class the row of the least identifier (null last), then text hash;
+    of wholly equal rows one. Rows without words all stay."""
+    members = classes(docs, id_col, text_col, **options).where("class is not null")
+    first = members.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.text_hash").alias("__hash"))
+    worded = F.coalesce(F.col(text_col).cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    rows = docs.where(worded).withColumn("__own", F.xxhash64(F.col(text_col).cast("string")))
+    kept = rows.join(first, (F.col("__own") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id"))).dropDuplicates(["__hash", "__id"])
+    return kept.select(docs.columns).unionByName(docs.where(~worded))
+
+
+def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, numerator: int = 75, denominator: int = 100, ranked: int = 1 << 20
 ) -> DataFrame:
-    """The id column, n_shingles (long) and component_id: the least identifier that links lead to, itself included.
+    """id, text_hash, n (shingles) and class (of linked rows; null without shingles) of every row.
 
-    Two rows link when denominator * |A and B| >= numerator * |A or B| for their shingle sets A and B. Defined cases:
-    rows without words have no shingle and link with nothing; a null identifier counts only where a component has no
-    other; rows of one identifier are rows like any others; an empty table gives no rows; further columns are not read."""
+    Two rows link when denominator * |A and B| >= numerator * |A or B| for their sets A and B of n-word shingles."""
     if not 0 < 2 * numerator <= 2 * denominator:
         raise ValueError("the similarity must be above 0 and at most 1")
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -175,8 +196,5 @@ def link_components(
     links = links.unionByName(verified(rest, "rest"))
     found = connected_components(links, folder=f"{folder}/all")
 
-    classes = nodes.select("node", "s1", "s2").join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("class"))
-    members = materialize(sets.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left"), "members", folder)
-    least = members.where("class is not null").groupBy("class").agg(F.min("id").alias("component_id"))
-    own = members.join(least, "class", "left")
-    return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_node = nodes.select("node", "s1", "s2").join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("class"))
+    return materialize(sets.select("id", "text_hash", "n", "s1", "s2").join(of_node, ["s1", "s2"], "left").select("id", "text_hash", "n", "class"), "members", folder)

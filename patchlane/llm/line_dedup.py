@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 
 def remove_spread_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_chars: int = 20, margin: float = 0.2, lg_k: int = 12, carry: list[str] | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_chars: int = 20, margin: float = 0.2, lg_k: int = 12, carry: list[str] | None = None, prefix: str = ""
 ) -> DataFrame:
-    """The columns in carry (the id column), n_lines and n_removed (long), and the text column without spread lines."""
-    carry = [c for c in ([id_col] if carry is None else carry) if c not in ("n_lines", "n_removed", text_col)]
+    """The columns in carry (the id column), n_lines and n_removed (long, their names after the
+    prefix), and the text column without spread lines."""
+    carry = [c for c in ([id_col] if carry is None else carry) if c not in (f"{prefix}n_lines", f"{prefix}n_removed", text_col)]
     text = docs[text_col].cast("string")
     rows = docs.select(*[docs[c].alias(f"__{c}") for c in carry], docs[id_col].alias("id"), text.alias("text"), docs[site_col].cast("string").alias("site"))
     rows = rows.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64(F.lit("row"), "text", "id")})
@@ -45,8 +46,8 @@ def remove_spread_lines(
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
     return joined.select(
         *[F.col(f"__{c}").alias(c) for c in carry],
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).cast("long").alias(f"{prefix}n_lines"),
+        F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long").alias(f"{prefix}n_removed"),
         F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text_col),
     )
 

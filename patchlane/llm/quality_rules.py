@@ -136,10 +136,12 @@ def judge(
     max_word_distance: float = 0.4,
     min_chars: int = 200,
     min_words: int = 100,
+    prefix: str = "",
 ) -> DataFrame:
-    """The columns in carry (the id column), the base counts, base_failed, char_distance, word_distance and kept."""
+    """The columns in carry (the id column), the base counts, base_failed, char_distance, word_distance and kept, the
+    names of these after the prefix."""
     carry = [id_col] if carry is None else carry
-    names = [*BASE, "base_failed", "char_distance", "word_distance", "kept"]
+    names = [prefix + n for n in (*BASE, "base_failed", "char_distance", "word_distance", "kept")]
     kinds = [T.LongType()] * len(BASE) + [T.BooleanType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
     carry = [c for c in carry if c not in names]
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(n, t) for n, t in zip(names, kinds, strict=True)])

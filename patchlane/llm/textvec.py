@@ -38,7 +38,7 @@ PLACE = mix(np.arange(1, _PLACES + 1, dtype=np.uint64) * BASE) | np.uint64(1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i < n; kept and grown."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16, 2 * len(_powers[0]) if _powers else 0)
+        size = -(-n >> 18) + 1 << 18
         _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (BASE, BASE_INVERSE)]
     return _powers[0], _powers[1]
 
