@@ -82,7 +82,7 @@ class HashTable:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, style: str, max_chunks: int = 2_000_000):
+    def __init__(self, path: str, style: str, max_chunks: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

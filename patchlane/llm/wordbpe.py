@@ -1,10 +1,10 @@
 """BPE encoding and decoding through a table of the corpus's distinct words.
 
 1. Spark splits the texts into words (runs between ASCII white space, which such tokenizers drop and never cross) and
-   counts them; each distinct word is encoded once by the tokenizers library, in the tasks that hold it.
-2. The most frequent words, at most `frequent` of them and none over MAX_BYTES long, are broadcast with their ids: a table
-   of bounded size that covers most occurrences and every word that could be hot. The other occurrences, as (row, position,
-   word), are joined with the word table by a shuffle on the word.
+   counts the distinct ones.
+2. The most frequent words, at most `frequent` of them and none over MAX_BYTES long, are encoded by the tokenizers library
+   and broadcast with their ids: a table of bounded size that covers most occurrences and every word that could be hot.
+   The other occurrences, as (row, position, word), are shuffled by their word, where each distinct word is encoded once.
 3. The ids come back to their row by position: rows travel once, as compressed word numbers, and are joined with the
    collected (position, ids) of their other words.
 4. Decoding joins ids with the broadcast id-to-piece table, whose size is the vocabulary's, and joins the pieces by spaces
@@ -36,17 +36,23 @@ SPACES = "[\\x09-\\x0D\\x20]+"
 BUCKETS = 8  # of counts, for each doubling
 
 
-def word_table(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """word, n (occurrences in all texts) and ids (binary, little-endian) of every distinct word."""
+def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word and n (occurrences in all texts) of every distinct word."""
+    words = docs.select(F.explode(F.split(F.col(text_col).cast("string"), SPACES)).alias("word")).where("word != ''")
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The rows of words with their word's ids (binary, little-endian, of the vocabulary's width) in its place."""
+    kept = [f for f in words.schema if f.name != "word"]
+    schema = T.StructType([*kept, T.StructField("ids", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            encoder = worker_encoder(tokenizer_path, "word")
-            ids, lengths = encoder.encode_list(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary(ids, lengths)], names=["word", "n", "ids"])
+            ids, ends = worker_encoder(tokenizer_path, "word").encode(batch.column("word"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), binary(ids, np.diff(ends))], names=schema.names)
 
-    words = docs.select(F.explode(F.split(F.col(text_col).cast("string"), SPACES)).alias("word")).where("word != ''")
-    return words.groupBy("word").agg(F.count("*").alias("n")).mapInArrow(encode, "word string, n long, ids binary")
+    return words.mapInArrow(encode, schema)
 
 
 def binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -55,29 +61,43 @@ def binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 class Frequent:
-    """Ids of the frequent words, by word hash."""
+    """Ids of the frequent words, by word hash. Only hashes, lengths and ids travel; each worker makes its own table."""
 
-    def __init__(self, words: pa.Array, ids: pa.Array, kind: type):
-        raw, offsets = textvec.utf8(words)
-        self.table = HashTable(max(len(words), 1))
-        self.table.add(textvec.hashes(raw, offsets[:-1], offsets[1:]))
+    def __init__(self, keys: np.ndarray, ids: pa.Array, kind: type):
         flat, cuts = textvec.utf8(ids)
-        self.flat, self.starts, self.lengths = flat.view(kind), cuts[:-1] // kind().itemsize, np.diff(cuts) // kind().itemsize
+        self.keys, self.flat, self.lengths = keys, flat.view(kind), (np.diff(cuts) // kind().itemsize).astype(np.uint16)
+        self.made: tuple | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
 
-def frequent_words(words: DataFrame, frequent: int, kind: type) -> Frequent:
-    """The words of the highest counts, as many whole count classes as have at most `frequent` words."""
+    def tables(self) -> tuple[HashTable, np.ndarray, np.ndarray]:
+        """Word hash to number, and where a number's ids start and how many they are."""
+        if self.made is None:
+            table = HashTable(max(len(self.keys), 1))
+            table.add(self.keys)
+            lengths = self.lengths.astype(np.int32)
+            self.made = table, np.cumsum(lengths, dtype=np.int64) - lengths, lengths
+        return self.made
+
+
+def frequent_words(words: DataFrame, tokenizer_path: str, frequent: int, kind: type) -> Frequent:
+    """The words of the highest counts, as many whole count classes as have at most `frequent` words; ordered by count."""
     short = words.where(F.octet_length("word") <= MAX_BYTES).withColumn("class", F.floor(F.log2("n") * BUCKETS).cast("int"))
     least, room = 1 << 20, frequent
     for k, n in sorted(((r["class"], r["count"]) for r in short.groupBy("class").count().collect()), reverse=True):  # a class each eighth of a doubling
         if n > room:
             break
         least, room = k, room - n
+
     # At most `frequent` rows of at most MAX_BYTES each.
-    held = short.where(F.col("class") >= least).select("word", "ids").toArrow().combine_chunks()
-    column = lambda c, t: held.column(c).combine_chunks() if held.num_rows else pa.array([], t)
-    one = lambda a: a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
-    return Frequent(one(column("word", pa.string())), one(column("ids", pa.binary())), kind)
+    chosen = short.where(F.col("class") >= least).select("n", "word", F.col("word").alias("key"))
+    held = encode_words(chosen, tokenizer_path).sort(F.desc("n"), "key").toArrow().combine_chunks()
+    if not held.num_rows:
+        return Frequent(np.zeros(0, np.uint64), pa.array([], pa.binary()), kind)
+    key, ids = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (held.column("key"), held.column("ids")))
+    raw, offsets = textvec.utf8(key)
+    return Frequent(textvec.hashes(raw, offsets[:-1], offsets[1:]), ids, kind)
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
@@ -96,8 +116,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     own = ChunkEncoder(tokenizer_path, "word", max_chunks=1)
     kind, vocabulary = own.kind, own.tokenizer.get_vocab_size()
     pieces = spark.sparkContext.broadcast([own.tokenizer.id_to_token(i) or "" for i in range(vocabulary)])
-    words = materialize(word_table(docs, tokenizer_path, text_col), "words", folder)
-    known = spark.sparkContext.broadcast(frequent_words(words, frequent, kind))
+    words = materialize(word_table(docs, text_col), "words", folder)
+    known = spark.sparkContext.broadcast(frequent_words(words, tokenizer_path, frequent, kind))
 
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     # Two 64-bit hashes name a row; rows of equal identifier and text have equal results.
@@ -106,7 +126,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def numbers_of(texts: pa.Array) -> tuple[np.ndarray, textvec.Spans, np.ndarray]:
         raw, offsets = textvec.utf8(texts)
         spans = textvec.words(raw, offsets)
-        return known.value.table.find(textvec.hashes(raw, spans.start, spans.end)), spans, raw
+        return known.value.tables()[0].find(textvec.hashes(raw, spans.start, spans.end)), spans, raw
 
     def numbered(texts: pa.Array) -> list:
         numbers, spans, _ = numbers_of(texts)
@@ -126,7 +146,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column("k1").take(key), part.column("k2").take(key), pa.array((at - spans.first[doc]).astype(np.int32)), word], names=["k1", "k2", "pos", "word"])
 
     others = rows.select("k1", "k2", "text").mapInArrow(rare, "k1 long, k2 long, pos int, word string")
-    placed = others.join(words.select("word", "ids"), "word").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("others"))
+    # A word that is not in the table is rare, or long; long ones may be hot and are dealt by row too.
+    dealt = others.repartition("word", F.when(F.octet_length("word") > MAX_BYTES, F.pmod(F.col("k1"), F.lit(64))).otherwise(0))
+    placed = encode_words(dealt, tokenizer_path).repartition("k1", "k2").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("others"))
     packed = compute_columns(rows, "text", ["id", "k1", "k2"], [T.StructField("numbers", T.BinaryType())], numbered)
     joined = packed.join(placed, ["k1", "k2"], "left").select("id", "numbers", "others")
 
@@ -147,7 +169,7 @@ def assemble(part: pa.RecordBatch, known: Frequent, pieces: pa.Array, id_col: st
     numbers = np.concatenate([np.zeros(0, np.uint32), *parts])
     open_ = numbers == np.uint32(0xFFFFFFFF)
     numbers = np.where(open_, 0, numbers).astype(np.int64)
-    starts, lengths = (x[numbers] if len(x) else np.zeros(len(numbers), np.int64) for x in (known.starts, known.lengths))
+    starts, lengths = (x[numbers] if len(x) else np.zeros(len(numbers), np.int64) for x in known.tables()[1:])
     others = part.column("others")
     counts = pc.fill_null(pc.list_value_length(others), 0).to_numpy(zero_copy_only=False)
     values = others.flatten()
