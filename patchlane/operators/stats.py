@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import hash_draw
 
-BENCHMARK = F.split_part(F.col("dataset"), F.lit("/"), F.lit(1))
+def benchmark() -> Column:
+    """The benchmark of a category name: what stands before the slash."""
+    return F.split_part(F.col("dataset"), F.lit("/"), F.lit(1))
 
 
 def per_n(runs: DataFrame, metric: str = "metric", keys: Sequence[str] = ("dataset", "method")) -> DataFrame:
@@ -32,7 +34,7 @@ def complete_methods(means: DataFrame) -> DataFrame:
 
 def with_groups(means: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Each row once for its benchmark, once for 'all', and once for each group of its benchmark (benchmark, grp)."""
-    rows = means.withColumn("benchmark", BENCHMARK)
+    rows = means.withColumn("benchmark", benchmark())
     base = rows.withColumn("grp", F.explode(F.array("benchmark", F.lit("all"))))
     return base if groups is None else base.unionByName(rows.join(F.broadcast(groups), "benchmark"))
 
@@ -96,14 +98,14 @@ def win_tie_loss(pairs: DataFrame, margin: float = 0.5) -> DataFrame:
 
 
 def gain_by_benchmark(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy(BENCHMARK.alias("benchmark")).agg(F.avg("d").alias("gain"), F.count("*").alias("n"))
+    return pairs.groupBy(benchmark().alias("benchmark")).agg(F.avg("d").alias("gain"), F.count("*").alias("n"))
 
 
 def leave_one_out(pairs: DataFrame, b: int = 10_000, seed: int = 0) -> DataFrame:
     """The paired bootstrap without each benchmark in turn."""
-    names = pairs.select(BENCHMARK.alias("left_out")).distinct()
+    names = pairs.select(benchmark().alias("left_out")).distinct()
     # Pairs are one row a category and benchmarks a handful, so the product is small by construction.
-    kept = pairs.join(F.broadcast(names), BENCHMARK != F.col("left_out"))
+    kept = pairs.join(F.broadcast(names), benchmark() != F.col("left_out"))
     return paired_bootstrap(kept, b, seed, ["left_out"])
 
 
@@ -144,7 +146,7 @@ def gain_by_condition(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def ablation_table(runs: DataFrame, ns: Sequence[int], x: str, y: str) -> DataFrame:
     """Means with all benchmarks weighing alike: draws, n, categories, benchmarks; null where a category has a gap."""
-    means = category_means(runs, ns).withColumn("benchmark", BENCHMARK)
+    means = category_means(runs, ns).withColumn("benchmark", benchmark())
     categories = means.groupBy("benchmark").agg(F.count_distinct("dataset").alias("need"))
     by = means.where("mean is not null").groupBy("method", "benchmark").agg(F.avg("mean").alias("m"), F.count_distinct("dataset").alias("have")).join(categories, "benchmark")
     whole = by.groupBy("method").agg(F.avg("m").alias("m"), F.sum("have").alias("have"))
@@ -164,7 +166,7 @@ def cost_table(costs: DataFrame) -> DataFrame:
 
 def benchmark_table(images: DataFrame) -> DataFrame:
     """Categories, normal and anomalous images, and the anomalous share of each benchmark."""
-    return images.groupBy(BENCHMARK.alias("benchmark")).agg(
+    return images.groupBy(benchmark().alias("benchmark")).agg(
         F.count_distinct("dataset").alias("categories"), F.sum((F.col("label") == 0).cast("long")).alias("normal"), F.sum((F.col("label") == 1).cast("long")).alias("anomalous"), F.avg((F.col("label") == 1).cast("double")).alias("share")
     )
 
@@ -178,7 +180,7 @@ def numbers_table(table: DataFrame, name: Column, values: Sequence[str], decimal
 
 def median_category(means: DataFrame) -> DataFrame:
     """For each benchmark, the category nearest to its median; ties by name."""
-    rows = means.where("mean is not null").withColumn("benchmark", BENCHMARK)
+    rows = means.where("mean is not null").withColumn("benchmark", benchmark())
     mid = rows.groupBy("benchmark").agg(F.percentile("mean", 0.5).alias("median"))
     gap = F.struct(F.round(F.abs(F.col("mean") - F.col("median")), 9).alias("gap"), F.col("dataset"))
     return rows.join(mid, "benchmark").groupBy("benchmark").agg(F.min(gap).alias("g")).select("benchmark", F.col("g.dataset").alias("dataset"))
@@ -193,7 +195,7 @@ def median_area_image(images: DataFrame) -> DataFrame:
 
 def top_gain_categories(gains: DataFrame, limit: int = 6) -> DataFrame:
     """The largest gains over the best other method, at most one a benchmark."""
-    rows = gains.withColumn("benchmark", BENCHMARK)
+    rows = gains.withColumn("benchmark", benchmark())
     first = F.row_number().over(Window.partitionBy("benchmark").orderBy(F.desc(F.round("gain", 9)), "dataset"))
     return rows.withColumn("k", first).where("k = 1").drop("k").orderBy(F.desc(F.round("gain", 9)), "dataset").limit(limit)
 

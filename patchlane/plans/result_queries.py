@@ -111,7 +111,7 @@ def _(spark, sf_dir):
     select dataset, split_part(dataset, '/', 1) as benchmark, row_number() over (partition by split_part(dataset, '/', 1) order by dataset) as turn from (select distinct dataset from raw_runs)))""",
 )
 def _(spark, sf_dir):
-    return jon.shard(jon.interleave(fx.raw_runs(spark, sf_dir), sta.BENCHMARK), 7).select("dataset", "position", "shard")
+    return jon.shard(jon.interleave(fx.raw_runs(spark, sf_dir), sta.benchmark()), 7).select("dataset", "position", "shard")
 
 
 @query(
@@ -169,7 +169,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     m = means(spark, sf_dir)
-    groups = m.select(sta.BENCHMARK.alias("benchmark")).distinct().withColumn("grp", F.when(F.col("benchmark").isin("click", "view"), "dev").otherwise("external"))
+    groups = m.select(sta.benchmark().alias("benchmark")).distinct().withColumn("grp", F.when(F.col("benchmark").isin("click", "view"), "dev").otherwise("external"))
     return rounded(sta.summary_table(m, groups), "value")
 
 
@@ -225,7 +225,7 @@ select round({s}sum(dx * dy) / nullif(sum(dx * dx), 0), 6) as slope, count(*) as
 
 @query("sta10_fixed_effect_slope", R + MEANS + AREA + SLOPE.format(g="benchmark", s="-"))
 def _(spark, sf_dir):
-    made = sta.within_slope(sized_pairs(spark, sf_dir), F.log10("area"), F.col("d"), [sta.BENCHMARK])
+    made = sta.within_slope(sized_pairs(spark, sf_dir), F.log10("area"), F.col("d"), [sta.benchmark()])
     return rounded(made.withColumn("slope", -F.col("slope")), "slope")
 
 
@@ -258,7 +258,7 @@ def _(spark, sf_dir):
 
 @query("sta15_gain_by_condition", R + "select cond, round(x, 6) as x, round(y, 6) as y, round(x - y, 6) as gain from (select split_part(dataset, '/', 1) as cond, avg(metric) filter (method = 'm0') as x, avg(metric) filter (method = 'm2') as y from runs group by 1)")
 def _(spark, sf_dir):
-    return rounded(sta.gain_by_condition(runs(spark, sf_dir).withColumn("cond", sta.BENCHMARK), "m0", "m2"), "x", "y", "gain")
+    return rounded(sta.gain_by_condition(runs(spark, sf_dir).withColumn("cond", sta.benchmark()), "m0", "m2"), "x", "y", "gain")
 
 
 @query(
