@@ -125,9 +125,11 @@ def gaussian_smooth(cells: DataFrame, sigma: float, height: int, width: int, key
     weights = F.array(*map(F.lit, w))
     rows, columns = (F.array(*[F.array(*map(F.lit, t)) for t in tap(n)]) for n in (height, width))
     ys, xs = (F.sequence(F.lit(0), F.lit(n - 1)) for n in (height, width))
-    down = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.aggregate(F.zip_with(weights, F.get(F.col("__rows"), y), lambda a, s: a * F.get(F.col("__v"), s * width + x)), F.lit(0.0), lambda s, t: s + t))))
-    across = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.aggregate(F.zip_with(weights, F.get(F.col("__columns"), x), lambda a, s: a * F.get(F.col("__d"), y * width + s)), F.lit(0.0), lambda s, t: s + t))))
-    out = images.withColumns({"__rows": rows, "__columns": columns}).withColumn("__d", down).withColumn("__a", across)
+    taps = lambda v, sources, at: F.aggregate(F.zip_with(weights, sources, lambda a, s: a * F.get(v, at(s))), F.lit(0.0), lambda s, t: s + t)
+    down = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: taps(F.col("__v"), F.get(rows, y), lambda s: s * width + x))))
+    across = lambda d: F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: taps(d, F.get(columns, x), lambda s: y * width + s))))
+    # The first pass is bound to a lambda variable, so that it is computed once and not for each cell of the second.
+    out = images.withColumn("__a", F.get(F.transform(F.array(down), across), 0))
     place = F.posexplode("__a").alias("__i", value)
     return out.select(*keys, place).select(*keys, F.expr(f"cast(__i div {width} as int)").alias("y"), (F.col("__i") % width).alias("x"), value)
 

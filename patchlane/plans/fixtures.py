@@ -28,7 +28,7 @@ vectors as (select vec_id, vec_id // 16 as image_id, label, embedding from embed
 
 PATCHES = VECTORS + """,
 patches as (
-  select image_id, layer, (vec_id % 16) // 4 as gy, vec_id % 4 as gx, (label = 9 and image_id % 2 = 1) as mask, image_id % 4 = 0 as is_ref, label,
+  select image_id, layer, ((vec_id % 16) // 4)::int as gy, (vec_id % 4)::int as gx, (label = 9 and image_id % 2 = 1) as mask, image_id % 4 = 0 as is_ref, label,
          case layer when 'a' then embedding[1:32]::double[] else embedding[33:64]::double[] end as vec
   from vectors cross join (values ('a'), ('b')) l(layer))
 """

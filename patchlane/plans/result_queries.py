@@ -107,7 +107,7 @@ def _(spark, sf_dir):
 
 @query(
     "jon6_interleave_shard",
-    R + """select dataset, position, position % 7 as shard from (select dataset, row_number() over (order by turn, benchmark) - 1 as position from (
+    R + """select dataset, position, position % 7 as shard from (select dataset, (row_number() over (order by turn, benchmark) - 1)::int as position from (
     select dataset, split_part(dataset, '/', 1) as benchmark, row_number() over (partition by split_part(dataset, '/', 1) order by dataset) as turn from (select distinct dataset from raw_runs)))""",
 )
 def _(spark, sf_dir):
