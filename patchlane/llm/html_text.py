@@ -8,8 +8,8 @@ A page is cut into blocks at block-level tags. The first pass decides a block fr
   of LONG characters;
 * undecided: short blocks, and those between the rules; outside an article, long blocks with hardly a stop word are bad.
 
-The second pass gives an undecided block the label of the nearest decided block, first of those in the same article, where
-a tie is good; an article none of whose blocks is decided is kept; without any decided block an undecided one is bad,
+The second pass gives an undecided block the label of the nearest decided block, first of those in the same article (or
+outside all) that stand in no such container, where a tie is good; an article none of whose blocks is decided is kept; without any decided block an undecided one is bad,
 unless the page has no article and the block holds stop words.
 
 Character references are decoded, white space in a block becomes one space, good blocks are joined in page order by one
@@ -198,9 +198,9 @@ def labels(found: list[Block]) -> list[bool]:
             last: dict[int, tuple[int, bool]] = {}
             for i in order:
                 key = found[i].article if same else 0
-                if first[i] is not None:
+                if first[i] is not None and not (same and found[i].other):
                     last[key] = (i, first[i])
-                elif key in last:
+                elif first[i] is None and key in last:
                     d, label = abs(i - last[key][0]), last[key][1]
                     if best[i] is None or d < best[i][0] or d == best[i][0] and label:
                         best[i] = (d, label)
@@ -210,7 +210,7 @@ def labels(found: list[Block]) -> list[bool]:
     has_article = any(b.article for b in found)
     for i, b in enumerate(found):
         if first[i] is None:
-            own = near_own[i] if b.article else None
+            own = near_own[i]
             if own is None and b.article:
                 own = True  # no block of this article is decided
             if own is None:
