@@ -1,7 +1,7 @@
 """Grid operators on cells (image_id, y, x, value).
 
-Coordinate changes are plain projections. Smoothing gathers each image once into an array of rows, whose size is the
-image's own, and filters both axes with array expressions; resampling joins target cells with their source cells."""
+Coordinate changes are plain projections. Smoothing gathers each image once into an array, whose size is the image's own,
+and filters both axes in Arrow batches; resampling joins target cells with their source cells."""
 
 from __future__ import annotations
 
@@ -117,19 +117,22 @@ def gaussian_smooth(cells: DataFrame, sigma: float, height: int, width: int, key
     flat = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).cast("double").alias("v")))), lambda c: c["v"])
     images = cells.groupBy(*keys).agg(flat.alias("__v"))
 
-    def tap(n: int) -> list[list[int]]:  # source of each place of an axis for each weight
-        period = 2 * n if border == "reflect" else 2 * max(n - 1, 1)
-        fold = {"nearest": lambda i: min(max(i, 0), n - 1), "reflect": lambda i: min(i % period, period - 1 - i % period), "reflect101": lambda i: min(i % period, period - i % period) if n > 1 else 0}[border]
-        return [[fold(i + k) for k in range(-radius, radius + 1)] for i in range(n)]
-
-    weights = F.array(*map(F.lit, w))
-    rows, columns = (F.array(*[F.array(*map(F.lit, t)) for t in tap(n)]) for n in (height, width))
-    ys, xs = (F.sequence(F.lit(0), F.lit(n - 1)) for n in (height, width))
-    taps = lambda v, sources, at: F.aggregate(F.zip_with(weights, sources, lambda a, s: a * F.get(v, at(s))), F.lit(0.0), lambda s, t: s + t)
-    down = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: taps(F.col("__v"), F.get(rows, y), lambda s: s * width + x))))
-    across = lambda d: F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: taps(d, F.get(columns, x), lambda s: y * width + s))))
-    # The first pass is bound to a lambda variable, so that it is computed once and not for each cell of the second.
-    out = images.withColumn("__a", F.get(F.transform(F.array(down), across), 0))
+    def matrix(n: int) -> np.ndarray:  # weight of each source place for each place of an axis
+        period = 2 * n if border == "reflect" else max(2 * n - 2, 1)
+        fold = {"nearest": lambda i: min(max(i, 0), n - 1), "reflect": lambda i: min(i % period, period - 1 - i % period), "reflect101": lambda i: min(i % period, period - i % period)}[border]
+        out = np.zeros((n, n))
+        for i in range(n):
+            for k, weight in enumerate(w):
+                out[i, fold(i + k - radius)] += weight
+        return out
+
+    down, across = matrix(height), matrix(width).T
+
+    @F.pandas_udf("array<double>")
+    def both(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: (down @ np.asarray(v, float).reshape(height, width) @ across).ravel())
+
+    out = images.withColumn("__a", both("__v"))
     place = F.posexplode("__a").alias("__i", value)
     return out.select(*keys, place).select(*keys, F.expr(f"cast(__i div {width} as int)").alias("y"), (F.col("__i") % width).alias("x"), value)
 

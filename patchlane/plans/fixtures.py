@@ -40,7 +40,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("image_id"), (F.col("l_quantity").cast("int") - 1).alias("y"), F.round(F.col("l_discount") * 100).cast("int").alias("x"), "l_extendedprice", "l_discount", "l_returnflag"
     )
     found = items.groupBy("image_id", "y", "x").agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("value"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 3).alias("value_b"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("nr")
+        F.round(F.sum("l_extendedprice"), 2).alias("value"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("value_b"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("nr")
     )
     grid = items.select("image_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(GRID_H - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(GRID_W - 1))))
     marked = F.col("image_id") % 3 == 0
@@ -53,7 +53,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 CELLS = f"""
 found as (
   select l_suppkey as image_id, cast(l_quantity as int) - 1 as y, cast(round(l_discount * 100) as int) as x, round(sum(l_extendedprice), 2) as value,
-         round(sum(l_extendedprice * (1 - l_discount)), 3) as value_b, sum(case when l_returnflag = 'R' then 1 else 0 end) as nr
+         round(sum(l_extendedprice * (1 - l_discount)), 4) as value_b, sum(case when l_returnflag = 'R' then 1 else 0 end) as nr
   from lineitem group by 1, 2, 3),
 cells as (
   select i.image_id, gy.y::int as y, gx.x::int as x, coalesce(value, 0)::double as value, coalesce(value_b, 0)::double as value_b,

@@ -76,9 +76,9 @@ def _(spark, sf_dir):
     return rounded(grd.affine(m, H, W, F.lit(20.0), interp="nearest", border="zero"), "value", places=3)
 
 
-@query("grd4_rotate_views", C + ANGLES + affine_sql("src", "angle", others="image_id, angle") + "select s.image_id, s.angle, s.ty as y, s.tx as x, round(sum(w * c.value), 3) as value from sources s join src c on c.image_id = s.image_id and c.angle = s.angle and c.y = s.ys and c.x = s.xs group by all")
+@query("grd4_rotate_views", C + ANGLES + affine_sql("src", "angle", others="image_id, angle") + "select s.image_id, s.angle, s.ty as y, s.tx as x, round(sum(w * c.value), 6) as value from sources s join src c on c.image_id = s.image_id and c.angle = s.angle and c.y = s.ys and c.x = s.xs group by all")
 def _(spark, sf_dir):
-    return rounded(grd.rotate_views(grids(spark, sf_dir).where("image_id % 5 = 0"), H, W), "value", places=3)
+    return rounded(grd.rotate_views(grids(spark, sf_dir).where("image_id % 5 = 0"), H, W), "value", places=6)
 
 
 @query("grd4_random_angles", C + "select image_id, k::int as k, (case when k = 0 then 0 else ('0x' || substr(md5('3|' || image_id || '|' || k), 1, 8))::bigint % 24 * 15 end)::double as angle from (select distinct image_id from cells) cross join range(30) r(k)")
@@ -197,11 +197,11 @@ def _(spark, sf_dir):
     return rounded(grd.apply_mask(p.select("image_id", "gy", "gx", F.get("vec", 0).alias("value")), keep), "value")
 
 
-@query("grd16_tta_average", C + "select a.image_id, a.y, a.x, round((a.value + b.value_b) / 2, 3) as value from cells a join cells b on a.image_id = b.image_id and a.y = b.y and a.x = 10 - b.x")
+@query("grd16_tta_average", C + "select a.image_id, a.y, a.x, round((a.value + b.value_b) / 2, 6) as value from cells a join cells b on a.image_id = b.image_id and a.y = b.y and a.x = 10 - b.x")
 def _(spark, sf_dir):
     c = fx.cells(spark, sf_dir)
     flipped = grd.hflip(c.select(*PLACE, F.col("value_b").alias("value")), W)
-    return rounded(grd.tta_average(c, flipped), "value", places=3)
+    return rounded(grd.tta_average(c, flipped), "value", places=6)
 
 
 @query("grd17_stride", C + "select image_id, y, x, value from cells where y % 4 = 0 and x % 4 = 0")

@@ -205,14 +205,17 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """AU-PRO of maps smoothed by sigma 0, 1 and 2, of one layer or the mean of both."""
     c = cells(spark, sf_dir)
-    found, out = regions(c, "mask1").drop("k"), None
     layers = {"a": c, "mean": c.withColumn("value", (F.col("value") + F.col("value_b")) / 2)}
+    maps = None
     for name, frame in layers.items():
         for sigma in (0, 1, 2):
-            maps = grd.gaussian_smooth(frame.select("image_id", "y", "x", "value"), sigma, H, W).join(c.select("image_id", "y", "x", "mask1"), ["image_id", "y", "x"])
-            made = met.aupro_binned(maps, found, (0.3,), mask="mask1").select(F.lit(f"{name}_s{sigma}").alias("variant"), "aupro", "pixel_auroc", "pixel_ap")
-            out = made if out is None else out.unionByName(made)
-    return rounded(out, "aupro", "pixel_auroc", "pixel_ap")
+            made = grd.gaussian_smooth(frame.select("image_id", "y", "x", "value"), sigma, H, W).withColumn("variant", F.lit(f"{name}_s{sigma}"))
+            maps = made if maps is None else maps.unionByName(made)
+    maps = maps.join(c.select("image_id", "y", "x", "mask1"), ["image_id", "y", "x"])
+    names = F.explode(F.array(*[F.lit(f"{n}_s{k}") for n in layers for k in (0, 1, 2)])).alias("variant")
+    found = regions(c, "mask1").select("image_id", "y", "x", "region_id", names)
+    made = met.aupro_binned(maps, found, (0.3,), ["variant"], mask="mask1")
+    return rounded(made.select("variant", "aupro", "pixel_auroc", "pixel_ap"), "aupro", "pixel_auroc", "pixel_ap")
 
 
 for how, sql in {"p95": "quantile_cont(value, 0.95)", "mean": "avg(value)", "max": "max(value)"}.items():
@@ -238,19 +241,19 @@ def layers(spark, sf_dir):
     return fx.cells(spark, sf_dir).select("image_id", "y", "x", "mask", both).select("image_id", "y", "x", "mask", "l.*")
 
 
-@query("pol4_layer_mean", C + LAYERS + ", p as (select image_id, layer, quantile_cont(value, 0.95) as score from layers group by all) select image_id, round(avg(score), 4) as score from p group by 1")
+@query("pol4_layer_mean", C + LAYERS + ", p as (select image_id, layer, quantile_cont(value, 0.95) as score from layers group by all) select image_id, round(avg(score), 7) as score from p group by 1")
 def _(spark, sf_dir):
-    return rounded(pol.layer_mean(pol.pool(layers(spark, sf_dir), "p95", ("image_id", "layer"))), "score", places=4)
+    return rounded(pol.layer_mean(pol.pool(layers(spark, sf_dir), "p95", ("image_id", "layer"))), "score", places=7)
 
 
-@query("pol5_pool_fused_map", C + LAYERS + ", f as (select image_id, y, x, avg(value) as value from layers group by all) select image_id, round(quantile_cont(value, 0.95), 4) as score from f group by 1")
+@query("pol5_pool_fused_map", C + LAYERS + ", f as (select image_id, y, x, avg(value) as value from layers group by all) select image_id, round(quantile_cont(value, 0.95), 7) as score from f group by 1")
 def _(spark, sf_dir):
-    return rounded(pol.pool(pol.fused_map(layers(spark, sf_dir)), "p95"), "score", places=4)
+    return rounded(pol.pool(pol.fused_map(layers(spark, sf_dir)), "p95"), "score", places=7)
 
 
-@query("pol6_fused_map", C + LAYERS + "select image_id, y, x, round(avg(value), 3) as value from layers where image_id % 10 < 10 group by all")
+@query("pol6_fused_map", C + LAYERS + "select image_id, y, x, round(avg(value), 6) as value from layers where image_id % 10 < 10 group by all")
 def _(spark, sf_dir):
-    return rounded(pol.fused_map(layers(spark, sf_dir)), "value", places=3)
+    return rounded(pol.fused_map(layers(spark, sf_dir)), "value", places=6)
 
 
 @query(
@@ -286,10 +289,10 @@ def _(spark, sf_dir):
 @query(
     "pol10_pool_all",
     C + LAYERS + """, t as (select image_id, layer, avg(value) as top1pct from (select *, row_number() over (partition by image_id, layer order by value desc) as k from layers) where k <= 5 group by all)
-    select image_id, layer, round(quantile_cont(value, 0.95), 4) as p95, round(quantile_cont(value, 0.99), 4) as p99, round(max(value), 4) as max, round(any_value(top1pct), 4) as top1pct from layers join t using (image_id, layer) group by all""",
+    select image_id, layer, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(max(value), 6) as max, round(any_value(top1pct), 6) as top1pct from layers join t using (image_id, layer) group by all""",
 )
 def _(spark, sf_dir):
-    return rounded(pol.pool_all(layers(spark, sf_dir)), "p95", "p99", "max", "top1pct", places=4)
+    return rounded(pol.pool_all(layers(spark, sf_dir)), "p95", "p99", "max", "top1pct", places=6)
 
 
 @query("sta13_region_size_gain")
