@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunkcodec import HashTable, ragged
-from .common import compute_columns, materialize, shared_dir, text_slices
+from .common import compute_columns, drop_table, materialize, shared_dir, text_slices
 from .components import connected_components
 from .shingles import Sets
 
-PARTS = 16
+PARITY_BITS = 2048
+#: Up to so many 64-bit keys a semi-join's small side is broadcast; beyond, Spark shuffles and filters by its own means.
+BROADCAST_KEYS = 1_000_000
 #: Nodes of one shingle that one task takes in the linear step, about.
 SALT_ROWS = 4096
 
@@ -113,15 +115,17 @@ def classes(
         ends = np.r_[0, np.cumsum(keep)].astype(np.int32)
         grams = sets.hash[ragged(sets.first[:-1], keep)]
         salts = np.maximum(2.0 ** (ranks.value(grams).astype(float) / 6) / SALT_ROWS, 1).astype(np.int64)
-        parts = sets.parts(PARTS)
+        parity = sets.parity(PARITY_BITS)
         lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (grams.view(np.int64), salts.astype(np.int32))]
-        shape = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, PARTS, dtype=np.int32)), pa.array(parts.ravel().astype(np.int32)))
+        shape = pa.ListArray.from_arrays(pa.array(np.arange(0, parity.size + 1, PARITY_BITS // 64, dtype=np.int32)), pa.array(parity.ravel()))
         return [sets.size.astype(np.int64), s1, s2, *lists, shape]
 
-    fields = [T.StructField(c, long) for c in ("n", "s1", "s2")] + [T.StructField("grams", T.ArrayType(long)), T.StructField("salts", T.ArrayType(T.IntegerType())), T.StructField("parts", T.ArrayType(T.IntegerType()))]
+    fields = [T.StructField(c, long) for c in ("n", "s1", "s2")] + [T.StructField("grams", T.ArrayType(long)), T.StructField("salts", T.ArrayType(T.IntegerType())), T.StructField("parity", T.ArrayType(long))]
     sets = materialize(compute_columns(source, "text", ["id", "text_hash"], fields, prefixes), "sets", folder)
     brought = sets.where("n > 0 and size(grams) > 0")
-    nodes = materialize(brought.dropDuplicates(["s1", "s2"]).select(F.monotonically_increasing_id().alias("node"), "text_hash", "s1", "s2", "n", "grams", "salts", "parts"), "nodes", folder)
+    nodes = materialize(brought.dropDuplicates(["s1", "s2"]).select(F.monotonically_increasing_id().alias("node"), "id", "text_hash", "s1", "s2", "n", "grams", "salts", "parity"), "nodes", folder)
+    rows = materialize(sets.select("id", "text_hash", "n", "s1", "s2"), "rows", folder)
+    drop_table(sets)
 
     def required(a: str, b: str) -> str:
         """The pair's least intersection, times (numerator + denominator): i * (num + den) >= num * (|A| + |B|)."""
@@ -147,17 +151,18 @@ def classes(
         rows = df.where(f"{other}.node != node").select(F.struct("node", "n", "pos").alias("p"), F.col(other).alias("q"))
         return rows.where(may_link("p.", "q.")).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
 
-    attributes = nodes.select("node", "n", "parts", "text_hash", "s1", "s2")
+    attributes = materialize(nodes.drop("grams", "salts"), "attributes", folder)
+    drop_table(nodes)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of distinct pairs (a, b), those that link."""
-        left, right = (attributes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("parts").alias(f"{c}_parts")) for c in "ab")
-        # Suffix filter: shingles that one set has more of in a range of hashes than the other are not shared.
-        apart = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        left, right = (attributes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity")) for c in "ab")
+        # Suffix filter, a lower bound of the shingles that are not shared from the parities of ranges of hashes.
+        apart = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         close = pairs.join(left, "a").join(right, "b").where((numerator + denominator) * (F.col("a_n") + F.col("b_n") - apart) >= 2 * numerator * (F.col("a_n") + F.col("b_n")))
         close = materialize(close.select("a", "b", "a_n", "b_n"), f"pairs-{name}", folder)
         wanted = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
-        wanted = attributes.join(wanted, "node").select("node", "text_hash", "s1", "s2")
+        wanted = attributes.join(wanted, "node").select("node", "id", "text_hash", "s1", "s2")
 
         def whole(texts: pa.Array) -> list:
             made = Sets(texts, n)
@@ -169,13 +174,18 @@ def classes(
             ends = np.r_[0, np.cumsum(size)].astype(np.int32)
             return [s1, s2, pa.ListArray.from_arrays(pa.array(ends), pa.array(made.hash[ragged(made.first[:-1], size)].view(np.int64)))]
 
-        texts = source.join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
+        # The row that brought the node; a row that repeats wholly may come twice, and its pairs with it.
+        keys = wanted.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+        few = wanted.count() <= BROADCAST_KEYS
+        texts = source.join(F.broadcast(keys) if few else keys, (F.col("text_hash") == F.col("__hash")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
         made = compute_columns(texts, "text", [], [T.StructField("s1", long), T.StructField("s2", long), T.StructField("set", T.ArrayType(long))], whole)
-        own = made.where("size(set) > 0").join(wanted.select("node", "s1", "s2"), ["s1", "s2"]).select("node", "set").dropDuplicates(["node"])
+        own = made.where("size(set) > 0").join(F.broadcast(wanted.select("node", "s1", "s2")) if few else wanted.select("node", "s1", "s2"), ["s1", "s2"]).select("node", "set")
         own = materialize(own, f"whole-{name}", folder)
         both = close.join(own.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
         common = F.size(F.array_intersect("a_set", "b_set"))
-        return materialize(both.where((numerator + denominator) * common >= numerator * (F.col("a_n") + F.col("b_n"))).select("a", "b"), f"links-{name}", folder)
+        links = materialize(both.where((numerator + denominator) * common >= numerator * (F.col("a_n") + F.col("b_n"))).select("a", "b"), f"links-{name}", folder)
+        drop_table(own)
+        return links
 
     heads = shared.where("head.node = node").select("gram", "node", "n", "pos")
     across = heads.select("*", F.lag(me).over(Window.partitionBy("gram").orderBy("n", "node")).alias("before")).where("before is not null")
@@ -186,6 +196,7 @@ def classes(
     # The exact step: shingles whose nodes are of several components.
     posted = shared.select("gram", "node", "n", "pos").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     posted = materialize(posted, "posted", folder)
+    drop_table(shared)
     sizes = posted.groupBy("gram", "component").count()
     main = sizes.groupBy("gram").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("gram", "main")
     several = posted.join(main, "gram")
@@ -196,5 +207,5 @@ def classes(
     links = links.unionByName(verified(rest, "rest"))
     found = connected_components(links, folder=f"{folder}/all")
 
-    of_node = nodes.select("node", "s1", "s2").join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("class"))
-    return materialize(sets.select("id", "text_hash", "n", "s1", "s2").join(of_node, ["s1", "s2"], "left").select("id", "text_hash", "n", "class"), "members", folder)
+    of_node = attributes.select("node", "s1", "s2").join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("class"))
+    return materialize(rows.join(of_node, ["s1", "s2"], "left").select("id", "text_hash", "n", "class"), "members", folder)

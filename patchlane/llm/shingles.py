@@ -66,7 +66,16 @@ class Sets:
             out.append(value.view(np.int64))
         return out[0], out[1]
 
-    def parts(self, buckets: int) -> np.ndarray:
-        """How many shingles of each row fall into each of so many ranges of hash values."""
-        part = textvec.mix(self.hash ^ FIRST) % np.uint64(buckets)
-        return np.bincount(self.row * buckets + part.astype(np.int64), minlength=len(self.size) * buckets).reshape(-1, buckets)
+    def parity(self, bits: int) -> np.ndarray:
+        """For each row, whether each of `bits` ranges of hash values holds an odd number of shingles, as 64-bit words.
+
+        A shingle that only one of two sets holds changes one bit, so the bits in which two rows differ are at most the
+        shingles that are not shared."""
+        part = (textvec.mix(self.hash ^ FIRST) % np.uint64(bits)).astype(np.int64)
+        odd = np.zeros(len(self.size) * bits, np.uint8)
+        rows = 2048
+        for a in range(0, len(self.size), rows):  # some rows at once, whatever the slice holds
+            b = min(a + rows, len(self.size))
+            i, j = self.first[a], self.first[b]
+            odd[a * bits : b * bits] = np.bincount((self.row[i:j] - a) * bits + part[i:j], minlength=(b - a) * bits) & 1
+        return np.packbits(odd).view(np.int64).reshape(-1, bits // 64)

@@ -18,6 +18,8 @@ WS = np.zeros(256, bool)
 WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes that one step of the running sum covers; memory doesn't grow with the text.
+BLOCK = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -35,11 +37,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 PLACE = mix(np.arange(1, _PLACES + 1, dtype=np.uint64) * BASE) | np.uint64(1)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64 for i < n; kept and grown."""
-    if not _powers or len(_powers[0]) < n:
-        size = -(-n >> 18) + 1 << 18
-        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (BASE, BASE_INVERSE)]
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i modulo 2^64 for i up to BLOCK."""
+    if not _powers:
+        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(BLOCK, b, np.uint64)]) for b in (BASE, BASE_INVERSE)]
     return _powers[0], _powers[1]
 
 
@@ -89,13 +90,25 @@ def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of raw."""
-    p, inverse = powers(len(raw) + 1)
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mix(h + (end - start).astype(np.uint64) * PLACE[0])
+    """A 64-bit hash of each span of raw; starts and ends ascend."""
+    p, inverse = powers()
+    at_start, at_end, unshift = (np.zeros(len(start), np.uint64) for _ in range(3))
+    carry, shift, back, whole = 0, 1, 1, 1 << 64
+    total = np.zeros(BLOCK + 1, np.uint64)
+    for low in range(0, len(raw) + 1, BLOCK):
+        part = raw[low : low + BLOCK]
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p[: len(part)], out=total[1 : len(part) + 1])
+        total[1 : len(part) + 1] *= np.uint64(shift)
+        total[: len(part) + 1] += np.uint64(carry)
+        a, b = np.searchsorted(start, (low, low + BLOCK))
+        at_start[a:b] = total[start[a:b] - low]
+        unshift[a:b] = inverse[start[a:b] - low] * np.uint64(back)
+        a, b = np.searchsorted(end, (low, low + BLOCK))
+        at_end[a:b] = total[end[a:b] - low]
+        carry = int(total[len(part)])
+        shift, back = shift * int(p[BLOCK]) % whole, back * int(inverse[BLOCK]) % whole
+        total[0] = 0
+    return mix((at_end - at_start) * unshift + (end - start).astype(np.uint64) * PLACE[0])
 
 
 def windows(word_hash: np.ndarray, spans: Spans, n: int) -> tuple[np.ndarray, np.ndarray]:
