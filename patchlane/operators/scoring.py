@@ -64,7 +64,8 @@ def assignment_entropy(d: int) -> Column:
 
 
 def position_nll(df: DataFrame, prior: DataFrame, d: int) -> DataFrame:
-    """Negative log-likelihood whose component weights are those of the patch's place (gy, gx, component, prior)."""
+    """Negative log-likelihood whose component weights are those of the patch's place (gy, gx, component,
+    prior); every place has a prior for every component."""
     by = prior.groupBy("gy", "gx").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "prior"))), lambda c: F.log(c["prior"])).alias("place_w"))
     joined = df.join(F.broadcast(by), ["gy", "gx"])
     return joined.withColumn("score", -logsumexp(F.zip_with(F.zip_with("d2", "logdet", lambda a, b: -0.5 * (a + b + d * float(np.log(2 * np.pi)))), "place_w", lambda a, w: a + w))).drop("place_w")

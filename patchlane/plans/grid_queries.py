@@ -135,17 +135,17 @@ def upsample_sql(align: str, nh: int, nw: int) -> str:
     axis = lambda v, n, new: f"select i as t, least(floor(s)::int, {n - 1}) as a, least(least(floor(s)::int, {n - 1}) + 1, {n - 1}) as b, s - least(floor(s)::int, {n - 1}) as f from (select i, round({s('i', n, new)}, 9) as s from range({new}) r(i))"
     taps = lambda v: f"select t, a as p, 1 - f as w from {v} where 1 - f > 0 union all select t, b, f from {v} where f > 0"
     return f"""ay as ({axis('y', H, nh)}), ax as ({axis('x', W, nw)}), ty as ({taps('ay')}), tx as ({taps('ax')})
-select image_id, ty.t::int as y, tx.t::int as x, round(sum(value * ty.w * tx.w), 3) as value from cells join ty on ty.p = y join tx on tx.p = x where image_id % 4 = 0 group by all"""
+select image_id, ty.t::int as y, tx.t::int as x, round(sum(value * ty.w * tx.w), 6) as value from cells join ty on ty.p = y join tx on tx.p = x where image_id % 4 = 0 group by all"""
 
 
 @query("grd8_upsample_corner", C + "," + upsample_sql("corner", 75, 22))
 def _(spark, sf_dir):
-    return rounded(grd.upsample(grids(spark, sf_dir).where("image_id % 4 = 0"), H, W, 75, 22, "corner"), "value", places=3)
+    return rounded(grd.upsample(grids(spark, sf_dir).where("image_id % 4 = 0"), H, W, 75, 22, "corner"), "value", places=6)
 
 
 @query("grd9_upsample_center", C + "," + upsample_sql("center", 75, 22))
 def _(spark, sf_dir):
-    return rounded(grd.upsample(grids(spark, sf_dir).where("image_id % 4 = 0"), H, W, 75, 22, "center"), "value", places=3)
+    return rounded(grd.upsample(grids(spark, sf_dir).where("image_id % 4 = 0"), H, W, 75, 22, "center"), "value", places=6)
 
 
 @query("grd10_resize_nearest", C + "select image_id, t.y::int as y, u.x::int as x from cells c join range(30) t(y) on floor((t.y + 0.5::double) * 50 / 30) = c.y join range(16) u(x) on floor((u.x + 0.5::double) * 11 / 16) = c.x where mask1")

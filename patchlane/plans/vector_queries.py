@@ -438,14 +438,19 @@ def _(spark, sf_dir):
 
 @query(
     "scr9_position_nll",
-    SCORED + """, pl as (select gy, gx, label % 3 as component, count(*) + 1 as c from patches where is_ref and layer = 'a' group by all),
+    SCORED + """, pl as (select gy::int as gy, gx::int as gx, k.component::int as component, count(p.image_id) + 1 as c from range(4) y(gy) cross join range(4) x(gx) cross join range(3) k(component)
+      left join (select * from patches where is_ref and layer = 'a') p using (gy, gx) where p.label % 3 = k.component or p.image_id is null group by all
+      union all select gy, gx, component, 1 from (select gy::int as gy, gx::int as gx, component::int as component from range(4) y(gy) cross join range(4) x(gx) cross join range(3) k(component))
+        where (gy, gx, component) not in (select gy, gx, label % 3 from patches where is_ref and layer = 'a')),
     pr as (select gy, gx, component, c / sum(c) over (partition by gy, gx) as prior from pl),
     j2 as (select d.image_id, d.layer, d.gy, d.gx, -0.5::double * (d2 + logdet + 32 * ln(2 * pi())) + ln(prior) as j from dist d join pr using (gy, gx, component)),
     t2 as (select *, max(j) over (partition by image_id, layer, gy, gx) as mj from j2)
     select image_id, layer, gy, gx, round(-(max(mj) + ln(sum(exp(j - mj)))), 5) as score from t2 group by all""",
 )
 def _(spark, sf_dir):
-    refs = all_patches(spark, sf_dir).where("is_ref and layer = 'a'").groupBy("gy", "gx", (F.col("label") % 3).cast("int").alias("component")).agg((F.count("*") + 1).alias("c"))
+    rows = all_patches(spark, sf_dir).where("is_ref and layer = 'a'").select("gy", "gx", (F.col("label") % 3).cast("int").alias("component"))
+    every = rows.select("gy", "gx").distinct().withColumn("component", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    refs = every.unionByName(rows).groupBy("gy", "gx", "component").agg(F.count("*").alias("c"))  # one more than counted
     total = refs.groupBy("gy", "gx").agg(F.sum("c").alias("t"))
     prior = refs.join(total, ["gy", "gx"]).select("gy", "gx", "component", (F.col("c") / F.col("t")).alias("prior"))
     return place(scr.position_nll(scored(spark, sf_dir), prior, D), F.round("score", 5).alias("score"))
