@@ -6,7 +6,7 @@
    are one node from here on. Two sets that link share a shingle of both prefixes.
 3. Prefixes are joined on their shingles. To keep groups of many near copies from making all their pairs, this takes two
    steps. First each node meets the first node and the one before it among a shingle's nodes by size, which is
-   linear; pairs that pass the length, positional and suffix filters are verified once, and the links' components found.
+   linear, and keeps the few with most shared prefix shingles; pairs that pass the length, positional and suffix filters are verified once, and the links' components found.
    Then, exactly, every pair of nodes of different components that shares a prefix shingle and passes the filters: only a
    shingle's nodes outside its commonest component meet all the others. A pair inside one component needs no check, as
    only components are asked for.
@@ -32,6 +32,8 @@ from .shingles import Sets
 PARITY_BITS = 2048
 #: Up to so many 64-bit keys a semi-join's small side is broadcast; beyond, Spark shuffles and filters by its own means.
 BROADCAST_KEYS = 1_000_000
+#: Pairs that the linear step verifies for a node; it bounds no result, only what is found before the exact step.
+FIRST_PARTNERS = 3
 #: Nodes of one shingle that one task takes in the linear step, about.
 SALT_ROWS = 4096
 
@@ -149,7 +151,7 @@ def classes(
 
     def pairs_of(df: DataFrame, other: str) -> DataFrame:
         rows = df.where(f"{other}.node != node").select(F.struct("node", "n", "pos").alias("p"), F.col(other).alias("q"))
-        return rows.where(may_link("p.", "q.")).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+        return rows.where(may_link("p.", "q.")).select(F.col("p.node").alias("p"), F.col("q.node").alias("q"))
 
     attributes = materialize(nodes.drop("grams", "salts"), "attributes", folder)
     drop_table(nodes)
@@ -189,8 +191,10 @@ def classes(
 
     heads = shared.where("head.node = node").select("gram", "node", "n", "pos")
     across = heads.select("*", F.lag(me).over(Window.partitionBy("gram").orderBy("n", "node")).alias("before")).where("before is not null")
-    first = pairs_of(shared.where("before is not null"), "before").union(pairs_of(shared, "head")).union(pairs_of(across, "before")).distinct()
-    links = verified(first, "first")
+    met = pairs_of(shared.where("before is not null"), "before").union(pairs_of(shared, "head")).union(pairs_of(across, "before"))
+    # Of the nodes that a node meets, those it shares most prefix shingles with; the exact step takes all that is left.
+    near = met.groupBy("p", "q").count().withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("count"), "q"))).where(F.col("k") <= FIRST_PARTNERS)
+    links = verified(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "first")
     found = materialize(connected_components(links, folder=f"{folder}/first"), "components-first", folder)
 
     # The exact step: shingles whose nodes are of several components.
