@@ -116,6 +116,26 @@ def test_bm25_returns_the_document_that_shares_rare_words():
     assert index.neighbours(2, np.ones(4, bool)).tolist() == []
 
 
+def test_near_copies_from_any_file_share_a_shard(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 4000, 60)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"{t} more{i}") for i, t in enumerate(texts)]  # copies 300 rows on
+    scattered = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")
+    made = packing.pack(scattered, P.path("word_bpe_49k.json"), window=512, shard_tokens=12_000).selectExpr("doc_id", "sequence_id >> 40 as task").distinct().collect()
+    tasks = {r.doc_id: r.task for r in made}
+    assert len(tasks) == 600 and len(set(tasks.values())) > 3
+    assert sum(tasks[i] == tasks[1000 + i] for i in range(300)) > 240
+
+
+def test_document_frequencies_are_those_of_the_whole_table(spark):
+    texts = ["a b b", "a c", None, "b a", "d"]
+    made = packing.corpus_terms(spark.createDataFrame([(t or "",) for t in texts], "__text__ string").repartition(4), 100)
+    keys, _, _ = packing.document_terms(pa.array(["a b c d"]))
+    assert made.frequency(keys).tolist() == [3, 2, 0, 0] and (made.n, made.mean) == (5, 8 / 5)
+    index = packing.ShardIndex(np.array([0, 1, 0, 1]), np.array([0, 2, 4]), None, made, keys[:2])
+    assert np.allclose(np.unique(index.weight), np.unique([np.log1p((5 - f + 0.5) / (f + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / 1.6)) for f in (3, 2)]))
+
+
 def test_sstable_round_trip_and_lookup(spark, docs, empty):
     path, folder = P.path("byte_bpe_50k.json"), common.shared_dir(spark)
     own = Tokenizer.from_file(path)
