@@ -78,7 +78,7 @@ def _(spark, sf_dir):
 
 @query("grd4_rotate_views", C + ANGLES + affine_sql("src", "angle", others="image_id, angle") + "select s.image_id, s.angle, s.ty as y, s.tx as x, round(sum(w * c.value), 6) as value from sources s join src c on c.image_id = s.image_id and c.angle = s.angle and c.y = s.ys and c.x = s.xs group by all")
 def _(spark, sf_dir):
-    return rounded(grd.rotate_views(grids(spark, sf_dir).where("image_id % 5 = 0"), H, W), "value", places=6)
+    return rounded(grd.rotate_views(grids(spark, sf_dir), H, W), "value", places=6)
 
 
 @query("grd4_random_angles", C + "select image_id, k::int as k, (case when k = 0 then 0 else ('0x' || substr(md5('3|' || image_id || '|' || k), 1, 8))::bigint % 24 * 15 end)::double as angle from (select distinct image_id from cells) cross join range(30) r(k)")
@@ -140,12 +140,12 @@ select image_id, ty.t::int as y, tx.t::int as x, round(sum(value * ty.w * tx.w),
 
 @query("grd8_upsample_corner", C + "," + upsample_sql("corner", 75, 22))
 def _(spark, sf_dir):
-    return rounded(grd.upsample(grids(spark, sf_dir).where("image_id % 4 = 0"), H, W, 75, 22, "corner"), "value", places=6)
+    return rounded(grd.upsample(grids(spark, sf_dir), H, W, 75, 22, "corner"), "value", places=6)
 
 
 @query("grd9_upsample_center", C + "," + upsample_sql("center", 75, 22))
 def _(spark, sf_dir):
-    return rounded(grd.upsample(grids(spark, sf_dir).where("image_id % 4 = 0"), H, W, 75, 22, "center"), "value", places=6)
+    return rounded(grd.upsample(grids(spark, sf_dir), H, W, 75, 22, "center"), "value", places=6)
 
 
 @query("grd10_resize_nearest", C + "select image_id, t.y::int as y, u.x::int as x from cells c join range(30) t(y) on floor((t.y + 0.5::double) * 50 / 30) = c.y join range(16) u(x) on floor((u.x + 0.5::double) * 11 / 16) = c.x where mask1")
@@ -221,7 +221,7 @@ def _(spark, sf_dir):
     + ", v as (select s.image_id, s.ty as y, s.tx as x, sum(w * coalesce(c.value, 0)) as value from sources s left join ones c on c.image_id = s.image_id and c.y = s.ys and c.x = s.xs group by all) select image_id, (y // 5)::int as py, (x // 5)::int as px, round(avg(value), 6) as share from v group by all having round(avg(value), 9) >= 0.75",
 )
 def _(spark, sf_dir):
-    ones = fx.cells(spark, sf_dir).where("image_id < 20").select(*PLACE, F.lit(1.0).alias("value"))
+    ones = fx.cells(spark, sf_dir).select(*PLACE, F.lit(1.0).alias("value"))
     warped = grd.affine(ones, H, W, F.lit(45.0), border="zero")
     return rounded(grd.valid_patches(H, W, warped, 5), "share").select("image_id", "py", "px", "share")
 

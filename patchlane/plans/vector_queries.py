@@ -299,7 +299,7 @@ def _(spark, sf_dir):
 
 @query("fit6_component_cap", P + ", c as (select label, layer, count(*) as n from patches where image_id < 6 group by all) select label, layer, n, least(12, greatest(2, n // 18))::int as k from c")
 def _(spark, sf_dir):
-    return fit.component_cap(all_patches(spark, sf_dir).where("image_id < 6"), ["label", "layer"], 8, 12)
+    return fit.component_cap(all_patches(spark, sf_dir), ["label", "layer"], 8, 12)
 
 
 @query(
