@@ -318,6 +318,6 @@ def _(spark, sf_dir):
         long = c.select("k", "mask", F.explode(F.array(F.struct(F.lit("a").alias("m"), F.col("value").alias("s")), F.struct(F.lit("b").alias("m"), F.col("value_b").alias("s")))).alias("v"))
         ap = met.average_precision(long.select("k", F.col("mask").alias("label"), "v.m", F.col("v.s").alias("score")), keys=["k", "m"])
         pairs = sta.paired(ap.select(F.col("k").cast("string").alias("dataset"), F.col("m").alias("method"), (F.col("ap") * 100).alias("mean")), "a", "b")
-        made = sta.paired_bootstrap(pairs, 500).withColumn("part", F.lit(part))
+        made = sta.paired_bootstrap(pairs, 5_000).withColumn("part", F.lit(part))
         out = made if out is None else out.unionByName(made)
     return rounded(out, "mean", "lo", "hi")

@@ -9,7 +9,7 @@ from ..operators import stats as sta
 from . import fixtures as fx
 from .registry import query
 
-B = 500  # resamples; the operators' own default is larger
+B = 500  # resamples of the SQL and of sta9_by_size; the other queries take the operators' defaults
 
 
 def runs(spark, sf_dir):
@@ -183,7 +183,7 @@ U = ", u as (select d, row_number() over (order by dataset) - 1 as unit, count(*
 
 @query("sta5_paired_bootstrap", R + MEANS + U + draws() + f"select p.*, round(lo, 6) as lo, round(hi, 6) as hi from (select {POINT} from diffs) p cross join ci")
 def _(spark, sf_dir):
-    return rounded(sta.paired_bootstrap(pairs(spark, sf_dir), B), "mean", "lo", "hi")
+    return rounded(sta.paired_bootstrap(pairs(spark, sf_dir)), "mean", "lo", "hi")
 
 
 @query("sta6_win_tie_loss", R + MEANS + "select count(*) filter (d > 0.5) as wins, count(*) filter (abs(d) <= 0.5) as ties, count(*) filter (d < -0.5) as losses from diffs")
@@ -203,7 +203,7 @@ def _(spark, sf_dir):
     + f"select p.*, round(lo, 6) as lo, round(hi, 6) as hi from (select left_out, {POINT} from kept group by 1) p join ci using (left_out)",
 )
 def _(spark, sf_dir):
-    return rounded(sta.leave_one_out(pairs(spark, sf_dir), B), "mean", "lo", "hi")
+    return rounded(sta.leave_one_out(pairs(spark, sf_dir)), "mean", "lo", "hi")
 
 
 CLASSED = """, classed as (select s.*, case when area <= q1 then 'small' when area <= q2 then 'medium' else 'large' end as size_class
@@ -253,7 +253,7 @@ def _(spark, sf_dir):
     select round((select sum(num) / sum(den) from sums), 6) as value, round(quantile_cont(v, 0.025), 6) as lo, round(quantile_cont(v, 0.975), 6) as hi from reps""",
 )
 def _(spark, sf_dir):
-    return rounded(sta.cluster_bootstrap(runs(spark, sf_dir), "dataset", F.col("metric"), F.lit(1.0), B), "value", "lo", "hi")
+    return rounded(sta.cluster_bootstrap(runs(spark, sf_dir), "dataset", F.col("metric"), F.lit(1.0)), "value", "lo", "hi")
 
 
 @query("sta15_gain_by_condition", R + "select cond, round(x, 6) as x, round(y, 6) as y, round(x - y, 6) as gain from (select split_part(dataset, '/', 1) as cond, avg(metric) filter (method = 'm0') as x, avg(metric) filter (method = 'm2') as y from runs group by 1)")

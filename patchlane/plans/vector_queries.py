@@ -326,7 +326,7 @@ def mixtures(spark, sf_dir, **options):
 @query("fit8_mixture_em")
 def _(spark, sf_dir):
     """Mixtures of both layers by EM, and each patch's chi-square tail score."""
-    z, (models, _), _ = mixtures(spark, sf_dir, max_iter=8)
+    z, (models, _), _ = mixtures(spark, sf_dir)
     scored = scr.mahalanobis(z, models, "layer").withColumn("score", mathx.chi2_tail_score(F.col("distance"), 8))
     return rounded(scored.select("image_id", "layer", "gy", "gx", "distance", "score"), "distance", "score")
 
@@ -493,7 +493,7 @@ def _(spark, sf_dir):
 
 @query("scr14_precision_diff")
 def _(spark, sf_dir):
-    z, (models, _), _ = mixtures(spark, sf_dir, max_iter=3)
+    z, (models, _), _ = mixtures(spark, sf_dir)
     return rounded(scr.precision_diff(z, models, "layer"), "max_rel_diff", places=3)
 
 

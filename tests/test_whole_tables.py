@@ -1,11 +1,13 @@
-"""Queries over id subsets once: every image of the tables has its rows, equal to brute force."""
+"""Queries over id subsets or with few iterations once: whole tables equal to brute force, and the rounds they ask for."""
 
+import inspect
 import math
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from patchlane.operators import models, stats
 from patchlane.plans import all_queries
 
 H, W, IMAGES = 50, 11, 7
@@ -76,3 +78,31 @@ def test_component_cap_counts_all_patches(spark, folder):
     n = Counter(k // 16 % 3 for k in range(10 * 16))
     got = {(r.label, r.layer): (r.n, r.k) for r in rows(spark, folder, "fit6_component_cap")}
     assert got == {(label, layer): (c, min(12, max(2, c // 18))) for label, c in n.items() for layer in "ab"}
+
+
+@pytest.mark.parametrize(
+    ("name", "module", "operator", "option", "least"),
+    [
+        ("sta5_paired_bootstrap", stats, "paired_bootstrap", "b", 10_000),
+        ("sta8_leave_one_out", stats, "leave_one_out", "b", 10_000),
+        ("sta12_cluster_bootstrap", stats, "cluster_bootstrap", "b", 2_000),
+        ("sta14_interior_gain", stats, "paired_bootstrap", "b", 5_000),
+        ("fit8_mixture_em", models, "fit_mixture", "max_iter", 30),
+        ("scr14_precision_diff", models, "fit_mixture", "max_iter", 30),
+    ],
+)
+def test_iterations_of_registered_queries(spark, monkeypatch, name, module, operator, option, least):
+    class Called(Exception):
+        pass
+
+    own = inspect.signature(getattr(module, operator))
+
+    def record(*args, **options):
+        bound = own.bind(*args, **options)
+        bound.apply_defaults()
+        raise Called(bound.arguments[option])
+
+    monkeypatch.setattr(module, operator, record)
+    with pytest.raises(Called) as seen:
+        all_queries()[0][name](spark, "/root/testdata/sf0.001")
+    assert seen.value.args[0] == least
