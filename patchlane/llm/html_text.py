@@ -2,15 +2,19 @@
 
 A page is cut into blocks at block-level tags. The first pass decides a block from its own figures:
 
-* bad: it stands in a container for other things (menu, footer, sidebar, form, advert, notice, reader comments ...), or
-  most of its characters are links and it isn't in an article;
+* bad: most of its characters are links; or it stands in a container for other things (menu, footer, sidebar, form, advert,
+  notice, reader comments ...), whose prose no density tells from the article's;
 * good: at least SHORT characters, few links, and a share of stop words of at least STOP_HIGH, or of STOP_LOW in a block
-  of LONG characters;
+  of LONG characters; being in an article makes no block good;
 * undecided: short blocks, and those between the rules; outside an article, long blocks with hardly a stop word are bad.
 
 The second pass gives an undecided block the label of the nearest decided block, first of those in the same article (or
-outside all) that stand in no such container, where a tie is good; an article none of whose blocks is decided is kept; without any decided block an undecided one is bad,
-unless the page has no article and the block holds stop words.
+outside all) that stand in no such container, where a tie is good. An article none of whose blocks is decided (one in a
+language without stop words here) is kept; without any decided block an undecided one is bad, unless the page has no
+article and the block holds stop words.
+
+Reading a page takes time in proportion to its length, whatever its markup: the open elements are counted by name, and no
+tag is looked for behind the last closing bracket.
 
 Character references are decoded, white space in a block becomes one space, good blocks are joined in page order by one
 space. Nothing else is dropped or capped.
@@ -39,6 +43,8 @@ TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*>",
     re.S,
 )
+#: What needs no closing bracket: a comment or a section that the page's end cuts off.
+OPEN_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -95,6 +101,7 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page that hold any text, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, other, article
+    opened: dict[str, int] = {}  # and how many of them have a name
     other = articles = link = 0
     inside: list[int] = []
     parts: list[str] = []
@@ -119,26 +126,27 @@ def blocks(page: str) -> list[Block]:
     def pop() -> None:
         nonlocal other, link
         tag, was_other, was_article = stack.pop()
+        opened[tag] -= 1
         other -= was_other
         link -= tag == "a"
         if was_article:
             inside.pop()
 
-    at = 0
-    while True:
-        m = TOKEN.search(page, at)
+    at, last = 0, page.rfind(">")
+    while at <= last or page.find("<!", at) >= 0:
+        m = TOKEN.search(page, at) if at <= last else OPEN_COMMENT.search(page, at)
         if m is None:
             break
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        tag = (m["tag"] or "").lower()
+        tag = (m.groupdict().get("tag") or "").lower()
         if not tag:
             continue
         if m["end"]:
             if tag in BREAK:
                 flush()
-            if any(t == tag for t, _, _ in reversed(stack)):
+            if opened.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -159,6 +167,7 @@ def blocks(page: str) -> list[Block]:
             is_article = tag in ("article", "main")
             bad = is_other(tag, m["rest"], bool(inside))
             stack.append((tag, bad, is_article))
+            opened[tag] = opened.get(tag, 0) + 1
             other += bad
             link += tag == "a"
             if is_article:
@@ -176,7 +185,7 @@ def decide(b: Block) -> bool | None:
     if b.other:
         return False
     if b.links > MAX_LINKS * b.size:
-        return None if b.article else False
+        return False
     if len(b.text) < SHORT:
         return None
     words = WORD.findall(b.text.lower())
