@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
+from .chunkcodec import ragged
 from .common import text_slices
 
 CLASSES = ("lower", "upper", "digit", "space", "break", "mark", "symbol", "other")
@@ -88,6 +89,13 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray, spans: textvec.Spans, word
     return [spans.counts(), _inside(solid & ((raw & 0xC0) != 0x80), offsets), _inside(SYMBOLS[raw], offsets), dup_lines, _inside(repeated, spans.first)]
 
 
+def folded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, textvec.Spans, np.ndarray]:
+    """Bytes, offsets, words and word hashes of the texts in lower case; references and documents both take their words here."""
+    raw, offsets = textvec.utf8(pc.utf8_lower(texts))
+    spans = textvec.words(raw, offsets)
+    return raw, offsets, spans, textvec.hashes(raw, spans.start, spans.end)
+
+
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance of the rows of counts p from the histogram q; 0 for rows without counts."""
     total = p.sum(1, keepdims=True)
@@ -109,19 +117,31 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 sums = np.stack([np.bincount(number, c, minlength=len(langs.dictionary)) for c in made.T]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([langs.dictionary, *map(pa.array, sums)], names=["lang", *CLASSES])
 
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                langs = part.column("lang").dictionary_encode()
+                raw, offsets, spans, word = folded_words(part.column("text"))
+                lang = langs.indices.to_numpy(zero_copy_only=False)[spans.doc()]
+                key = textvec.mix(word + lang.astype(np.uint64) * textvec.PLACE[11])
+                _, first, n = np.unique(key, return_index=True, return_counts=True)  # one of each word and language, with its count
+                size = spans.end[first] - spans.start[first]
+                cuts = np.r_[0, np.cumsum(size)].astype(np.int32)
+                own = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(cuts), pa.py_buffer(raw[ragged(spans.start[first], size)])])
+                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[first])), own, pa.array(n)], names=["lang", "word", "n"])
+
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     classes = known.mapInArrow(count, "lang string, " + ", ".join(f"{c} long" for c in CLASSES)).groupBy("lang").agg(*[F.sum(c).alias(c) for c in CLASSES])
-    words = known.select("lang", F.explode(F.split(F.lower("text"), "[\\x09-\\x0D\\x20]+")).alias("word")).where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = known.mapInArrow(words_of, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # The first words of each language; Spark keeps at most `common` a task before the shuffle.
     ranked = words.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= min_reference_words)
     top = ranked.where(F.col("k") <= common).groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("words")).join(totals, "lang")
     made = {}
-    for r in classes.join(top, "lang").collect():  # a row for each language
-        if r["total"] >= min_reference_words:
-            raw, offsets = textvec.utf8(pa.array([w["word"] for w in r["words"]], pa.string()))
-            counts = np.array([w["n"] for w in r["words"]], float)
-            made[r["lang"]] = (np.array([r[c] for c in CLASSES], float), textvec.hashes(raw, offsets[:-1], offsets[1:]), np.r_[counts, r["total"] - counts.sum()])
+    for r in classes.join(top, "lang").collect():  # a row for each language that has a reference
+        raw, offsets = textvec.utf8(pa.array([w["word"] for w in r["words"]], pa.string()))
+        counts = np.array([w["n"] for w in r["words"]], float)
+        made[r["lang"]] = (np.array([r[c] for c in CLASSES], float), textvec.hashes(raw, offsets[:-1], offsets[1:]), np.r_[counts, r["total"] - counts.sum()])
     return made
 
 
@@ -155,13 +175,14 @@ def judge(
         n = base[0]
         failed = (n < 10) | (100 * base[4] > 20 * n)
         classes = class_counts(raw, offsets)
-        low, low_offsets = textvec.utf8(pc.utf8_lower(part.column("__text__")))
-        low_spans = textvec.words(low, low_offsets)
-        word, row = textvec.hashes(low, low_spans.start, low_spans.end), low_spans.doc()
+        _, _, low_spans, word = folded_words(part.column("__text__"))
+        row = low_spans.doc()
         langs = part.column("__lang__").to_pylist()
         chars, common = np.full(len(n), np.inf), np.full(len(n), np.inf)
-        for lang, (class_reference, hashes, word_reference) in known.items():
-            mine = np.array([v == lang or v not in known for v in langs], bool)
+        unknown = np.array([v not in known for v in langs], bool)
+        for lang in known if unknown.any() else {v for v in langs if v in known}:
+            class_reference, hashes, word_reference = known[lang]
+            mine = np.array([v == lang for v in langs], bool) | unknown
             order = np.argsort(hashes)
             at = np.minimum(np.searchsorted(hashes[order], word), len(hashes) - 1)
             bin_ = np.where(hashes[order][at] == word, order[at], len(hashes))
