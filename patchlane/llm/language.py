@@ -4,9 +4,11 @@ A model holds, for each language, smoothed likelihoods of letter trigrams (of UT
 characters being one word border), counted over all documents that the caller passes for training. A document is a mixture
 of languages: expectation-maximisation estimates the proportions from its trigrams' likelihoods. The language set is the
 one whose penalised likelihood (Bayesian information criterion, one parameter for each further language) is best among the
-best single language and the leading 2 .. max_languages of the mixture; the prediction is its largest share.
+best single language and the leading 2, 3, ... languages of the mixture, as long as one more betters the likelihood; the
+prediction is its largest share.
 
-The model keeps the max_grams most frequent trigrams (a bound on what is broadcast, not on what is counted).
+The model keeps every trigram of the training texts. A trigram is three of 155 signs (letters, bytes above 127, border),
+so there are at most 3.7 million of them, whatever the corpus: at most 15 MB a language, and as a rule below 1 MB.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is everything where there is no training
 row; a text with letters but no known trigram gets the language with the most training trigrams and its share as score;
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
+from .chunkcodec import ragged
 from .common import compute_columns, text_slices
 
 NONE = "und"
@@ -67,7 +70,7 @@ class Model:
     share: np.ndarray  # of all training trigrams, by language
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int = 50_000, smoothing: float = 0.5) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> Model:
     """A model of all rows of docs whose language is not null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +85,18 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_g
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counts = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("total"), "gram").limit(max_grams).collect()
-    totals = dict(counts.groupBy("lang").agg(F.sum("n")).collect())
-    languages = sorted(totals)
-    top.sort(key=lambda r: r["gram"])
-    c = np.array([[r["by"].get(v, 0) for v in languages] for r in top], float).reshape(len(top), len(languages))
-    total = np.array([totals[v] for v in languages], float)
-    p = (np.vstack([c, np.zeros(len(languages))]) + smoothing) / (total + smoothing * (len(top) + 1))
-    return Model(languages, np.array([r["gram"] for r in top], np.uint32), np.log(p), total / max(total.sum(), 1))
+    # Rows are bounded by the alphabet; they come in Arrow columns, not as objects.
+    held = counts.toArrow()
+    names, grams, n = held.column("lang").combine_chunks().dictionary_encode(), held.column("gram").to_numpy(), held.column("n").to_numpy()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    languages = sorted(names.dictionary.to_pylist())
+    place = np.array([languages.index(v) for v in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy(zero_copy_only=False)] if held.num_rows else np.zeros(0, np.int64)
+    codes, at = np.unique(grams, return_inverse=True)
+    c = np.zeros((len(codes) + 1, len(languages)), np.float32)  # the last row: trigrams that no training text holds
+    c[at, place] = n
+    total = np.bincount(place, n, minlength=len(languages))
+    p = (c + smoothing) / (total + smoothing * (len(codes) + 1))
+    return Model(languages, codes.astype(np.uint32), np.log(p).astype(np.float32), total / max(total.sum(), 1))
 
 
 def mixture(p: np.ndarray, count: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +112,7 @@ def mixture(p: np.ndarray, count: np.ndarray, first: np.ndarray, allowed: np.nda
     return share, fit
 
 
-def infer(texts: pa.Array, model: Model, max_languages: int = 3, rounds: int = 12) -> list:
+def infer(texts: pa.Array, model: Model, rounds: int = 12) -> list:
     """Predicted language and its score for each text."""
     n, k = len(texts), len(model.languages)
     best, score = np.full(n, -1), np.zeros(n)
@@ -120,7 +127,7 @@ def infer(texts: pa.Array, model: Model, max_languages: int = 3, rounds: int = 1
         rows, first = np.unique(row, return_index=True)
         if len(rows):
             first, count = np.r_[first, len(row)], count.astype(float)
-            log_p = model.log_p[at]
+            log_p = model.log_p[at].astype(float)
             p = np.exp(log_p - log_p.max(1, keepdims=True))  # only ratios matter
             total = np.add.reduceat(count, first[:-1])
             single = np.add.reduceat(log_p * count[:, None] - (log_p.max(1) * count)[:, None], first[:-1], axis=0)
@@ -129,13 +136,19 @@ def infer(texts: pa.Array, model: Model, max_languages: int = 3, rounds: int = 1
             cost = -2 * single.max(1)
             full, _ = mixture(p, count, first, np.ones((len(rows), k)), rounds)
             order = np.argsort(-full, axis=1, kind="stable")
-            for m in range(2, min(max_languages, k) + 1):
-                allowed = np.zeros((len(rows), k))
-                np.put_along_axis(allowed, order[:, :m], np.maximum(np.take_along_axis(full, order[:, :m], 1), 1e-6), 1)
-                share, fit = mixture(p, count, first, allowed, rounds)
-                price = -2 * fit + (m - 1) * np.log(np.maximum(total, 2))
-                better = price < cost
-                own[better], cost = share[better], np.where(better, price, cost)
+            left = np.arange(len(rows))  # rows whose last language bettered the price
+            for m in range(2, k + 1):
+                size = np.diff(first)[left]
+                at_, first_ = ragged(first[:-1][left], size), np.r_[0, np.cumsum(size)]
+                allowed, leading = np.zeros((len(left), k)), order[left, :m]
+                np.put_along_axis(allowed, leading, np.maximum(np.take_along_axis(full[left], leading, 1), 1e-6), 1)
+                share, fit = mixture(p[at_], count[at_], first_, allowed, rounds)
+                price = -2 * fit + (m - 1) * np.log(np.maximum(total[left], 2))
+                better = price < cost[left]
+                left = left[better]
+                if not len(left):
+                    break
+                own[left], cost[left] = share[better], price[better]
             best[rows], score[rows] = own.argmax(1), np.clip(own.max(1), 0, 1)
             best[~has_letter], score[~has_letter] = -1, 0
     names = np.array([*model.languages, NONE], object)
@@ -144,6 +157,6 @@ def infer(texts: pa.Array, model: Model, max_languages: int = 3, rounds: int = 1
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns in carry (doc_id), lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_grams rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the alphabet
     fields = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]
     return compute_columns(docs, text_col, ["doc_id"] if carry is None else carry, fields, lambda texts: infer(texts, shared.value), limit=2 << 20)
