@@ -6,12 +6,13 @@ gives each line's marginal, and the length-weighted mean of the marginals, calib
 document's score.
 
 Training takes its labels from documents: each line of a labelled document carries the document's label. It uses at most
-sample_docs labelled documents (those of the least hash of the identifier), of each at most sample_lines lines, a bound
-that does not depend on the corpus; everything else works on whole texts.
+sample_docs labelled rows (half of each label, those of the least hash of identifier and text; rows that repeat wholly
+count once), of at most sample_lines lines together. These bounds do not depend on the corpus. A row is taken with all its
+lines or left out: those of more than a hundredth of sample_lines are, and those that find no room.
 
 Defined cases: a null or empty text, or one of white space alone, scores 0; equal texts score equally; without a training
-row of each label every other text scores 1; a document with several labels counts with the least; an empty table gives no
-rows; further columns pass only where the caller names them."""
+row of each label every other text scores 1; a document with several labels counts with the least; rows that share an
+identifier all carry its label; an empty table gives no rows; further columns pass only where the caller names them."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,24 +157,32 @@ def document_logits(x: np.ndarray, first: np.ndarray, chars: np.ndarray, model:
     return np.log(mean / (1 - mean))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, sample_lines: int = 200) -> Model | None:
-    """A model of the labelled rows of docs; None where one of the labels is missing."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
-    wanted = docs.select(id_col).join(known, id_col).dropDuplicates([id_col])
-    # Half of the sample for each label, so a rare one is not lost; at most sample_docs rows in all.
-    chosen = None
-    for v in (0, 1):
-        part = wanted.where(F.col("label") == v).orderBy(F.xxhash64(id_col), id_col).limit(sample_docs // 2)
-        chosen = part if chosen is None else chosen.unionByName(part)
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_docs: int, sample_lines: int) -> DataFrame:
+    """id, label and text of the labelled rows that a model is trained on; at most sample_docs of them."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(chosen.select(F.col(id_col).alias("id"), "label")), "id")
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    sizes = rows.select("id", "h", F.size(F.split("text", "\n")).alias("lines")).where(F.col("lines") <= sample_lines // 100).dropDuplicates(["id", "h"])
+    wanted, chosen = sizes.join(known, "id"), None
+    for v in (0, 1):  # half of the sample for each label, so a rare one is not lost
+        part = wanted.where(F.col("label") == v).orderBy("h", "id").limit(sample_docs // 2)
+        room = F.sum("lines").over(Window.orderBy("h", "id"))  # over sample_docs / 2 rows
+        part = part.withColumn("room", room).where(F.col("room") <= sample_lines // 2).select("id", "h", "label")
+        chosen = part if chosen is None else chosen.unionByName(part)
+    # The texts of the chosen keys; copies of a row go once more through the distinct.
+    return rows.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "label", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 3000, sample_lines: int = 100_000) -> Model | None:
+    """A model of the labelled rows of docs; None where one of the labels is missing."""
 
     def features(texts: pa.Array) -> list:
         x, first, chars = line_features(texts)
-        values = [(x[a:b][:sample_lines], chars[a:b][:sample_lines]) for a, b in zip(first, first[1:], strict=False)]
+        values = [(x[a:b], chars[a:b]) for a, b in zip(first, first[1:], strict=False)]
         return [pa.array([v[0].astype(np.float32).tobytes() for v in values], pa.binary()), pa.array([v[1].tobytes() for v in values], pa.binary())]
 
     fields = [T.StructField("x", T.BinaryType()), T.StructField("chars", T.BinaryType())]
+    rows = sample(docs, labels, id_col, text_col, label_col, sample_docs, sample_lines)
     made = compute_columns(rows, "text", ["id", "label"], fields, features).toArrow().to_pylist()
     made = [r for r in sorted(made, key=lambda r: (r["id"], r["x"])) if r["x"]]
     if {r["label"] for r in made} != {0, 1}:
