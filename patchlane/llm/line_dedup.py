@@ -2,11 +2,14 @@
 
 Every line of at least min_chars characters is known by two 64-bit hashes. One aggregation by line merges a HyperLogLog
 sketch of the sites it stands on; a line on clearly more than min_sites sites is boilerplate, and where the estimate is
-within `margin` of the threshold the distinct sites are counted exactly. Of a boilerplate line the first occurrence (least
-identifier, then position) stays and all others go, so a passage that is copied across sites is kept once.
+within `margin` of the threshold (at least four standard errors of the sketch) the distinct sites are counted exactly. Of a
+boilerplate line the first occurrence (least identifier, then position) stays and all others go, so a passage that is
+copied across sites is kept once. Shorter lines are left alone: a short sentence of prose often repeats by chance.
 
-Sketches and minima are combined before the shuffle, so a line that stands in a third of all documents is no hot key; the
-join that marks occurrences moves hashes only and is split by Spark where it is skewed.
+Sketches, minima, counts and distinct (line, site) pairs are combined before the shuffle, so a line that stands in a third
+of all documents is no hot key there. Occurrences are marked in two ways: lines that make up more than a quarter of a
+shuffle partition (of these there are at most four for each partition, whatever the corpus) are broadcast, and their
+occurrences stay where they are; all others meet by their hashes.
 
 Defined cases: a null text stays null, an empty one empty; a null site is no site; a null identifier sorts first; rows of
 equal identifier and text are one row for "first" and are cleaned alike; an empty table gives no rows; further columns
@@ -17,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 def remove_spread_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_chars: int = 20, margin: float = 0.2, lg_k: int = 12, carry: list[str] | None = None, prefix: str = ""
@@ -32,15 +37,26 @@ def remove_spread_lines(
 
     spread = lines.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"),
+        F.count("*").alias("n"),
         F.min(F.struct(F.col("id").isNotNull(), "id", "k1", "k2", "pos")).alias("first"),
     )
-    low, high = min_sites * (1 - margin), min_sites * (1 + margin)
-    candidates = spread.where(F.col("sites") >= low)
-    near = candidates.where(F.col("sites") <= high).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("exact"))
-    spread = candidates.join(exact, ["h1", "h2"], "left").where(F.coalesce("exact", "sites") >= min_sites).select("h1", "h2", "first")
+    margin = max(margin, 4 * 1.04 / 2 ** (lg_k / 2))
+    candidates = materialize(spread.where(F.col("sites") >= min_sites * (1 - margin)), "spread-candidates")
+    near = candidates.where(F.col("sites") <= min_sites * (1 + margin)).select("h1", "h2")
+    pairs = lines.where("site is not null").groupBy("h1", "h2", "site").count()
+    exact = pairs.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    # A line near the threshold without any site has no pair.
+    known = F.when(F.col("sites") > min_sites * (1 + margin), F.col("sites")).otherwise(F.coalesce("exact", F.lit(0)))
+    spread = materialize(candidates.join(exact, ["h1", "h2"], "left").where(known >= min_sites).select("h1", "h2", "n", "first"), "spread-lines")
 
-    marked = lines.join(spread, ["h1", "h2"]).where("not (k1 = first.k1 and k2 = first.k2 and pos = first.pos)")
+    # At most 4 rows a partition are hot: their occurrences are at least a quarter of the mean partition each.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = lines.groupBy().agg((F.count("*") / (4 * parts)).alias("hot"))
+    sized = spread.join(F.broadcast(total)).withColumn("is_hot", F.col("n") > F.col("hot")).drop("n", "hot")
+    hot, cold = (sized.where(c).drop("is_hot") for c in ("is_hot", "not is_hot"))
+    cool = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
+    marked = lines.join(F.broadcast(hot), ["h1", "h2"]).unionByName(cool.join(cold, ["h1", "h2"]))
+    marked = marked.where("not (k1 = first.k1 and k2 = first.k2 and pos = first.pos)")
     removed = marked.groupBy("k1", "k2").agg(F.collect_set("pos").alias("removed"))
     joined = rows.join(removed, ["k1", "k2"], "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
