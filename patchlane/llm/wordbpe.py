@@ -29,9 +29,11 @@ from pyspark.sql import types as T
 
 from . import textvec
 from .chunkcodec import ChunkEncoder, HashTable, ragged, worker_encoder
-from .common import compute_columns, materialize, shared_dir, text_slices
+from .common import compute_columns, materialize, shared_dir, slices, text_slices
 
 MAX_BYTES = 32
+#: Words whose ids and pieces are put together at once; numbers of repeated words compress to nothing, so bytes say little.
+SLICE_WORDS = 400_000
 SPACES = "[\\x09-\\x0D\\x20]+"
 BUCKETS = 8  # of counts, for each doubling
 
@@ -131,7 +133,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def numbered(texts: pa.Array) -> list:
         numbers, spans, _ = numbers_of(texts)
         parts = np.split(numbers.astype(np.int64).astype("<u4"), spans.first[1:-1])
-        return [pa.array([pack_numbers(p) if len(p) else None for p in parts], pa.binary())]
+        return [pa.array([pack_numbers(p) if len(p) else None for p in parts], pa.binary()), spans.counts()]
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,13 +151,13 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     # A word that is not in the table is rare, or long; long ones may be hot and are dealt by row too.
     dealt = others.repartition("word", F.when(F.octet_length("word") > MAX_BYTES, F.pmod(F.col("k1"), F.lit(64))).otherwise(0))
     placed = encode_words(dealt, tokenizer_path).repartition("k1", "k2").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("others"))
-    packed = compute_columns(rows, "text", ["id", "k1", "k2"], [T.StructField("numbers", T.BinaryType())], numbered)
-    joined = packed.join(placed, ["k1", "k2"], "left").select("id", "numbers", "others")
+    packed = compute_columns(rows, "text", ["id", "k1", "k2"], [T.StructField("numbers", T.BinaryType()), T.StructField("words", T.LongType())], numbered)
+    joined = packed.join(placed, ["k1", "k2"], "left").select("id", "numbers", "words", "others")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(pieces.value, pa.string())
         for batch in batches:
-            for part in text_slices(batch, "numbers", 1 << 20):
+            for part in slices(batch, batch.column("words").to_numpy(), SLICE_WORDS):
                 yield assemble(part, known.value, table, id_col)
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType(), False), T.StructField("ids", T.BinaryType(), False), T.StructField("decoded", T.StringType(), False)])
