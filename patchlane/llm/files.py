@@ -36,3 +36,8 @@ def reading(uri: str):
     """A seekable input file."""
     system, path = resolve(uri)
     return system.open_input_file(path)
+
+
+def size_of(uri: str) -> int:
+    system, path = resolve(uri)
+    return system.get_file_info(path).size

@@ -2,9 +2,11 @@
 
 Writing: each task packs its rows' payloads (UTF-8 text, padded with spaces to a positive multiple of WIDTH) as 8-bit grey
 PNG pictures of that width into ZIP archives of about archive_bytes, stored as they are. An archive appears under its name
-only when it is whole, and a repeated task writes the same archives again.
+only when it is whole. Every attempt of a task writes under names of its own, and the archives of the attempts that Spark
+committed are named in a manifest table, so what a lost attempt left behind is never read.
 
-Reading, format "media_archive": the planner lists the archives of a folder and cuts them into byte ranges; a task takes
+Reading, format "media_archive": the planner takes the archives that the manifest names (a row for each archive) and cuts
+them into byte ranges; a task takes
 the members whose headers start in its range, by the archive's own directory, and streams them as Arrow batches of bounded
 size. A member that can't be read or fails its checksum is tried again by its offset, on a newly opened file, without
 repeating the others; if it fails every time, the task fails, so no member is ever left out.
@@ -17,14 +19,15 @@ from __future__ import annotations
 import json
 import struct
 import time
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir
-from .files import reading, resolve, writing
+from .common import materialize, shared_dir, slices
+from .files import reading, resolve, size_of, writing
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -89,14 +92,14 @@ def features(samples: np.ndarray) -> str:
 
 
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = 64 << 20) -> None:
-    """Write the payloads of all rows into archives in folder."""
+    """Write the payloads of all rows into archives in folder, and the manifest that names them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        number, row = 0, next(rows, None)
+        number, row, attempt = 0, next(rows, None), uuid.uuid4().hex[:12]
         while row is not None:
-            name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{number:05d}.zip"
-            with writing(name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+            name = f"part-{TaskContext.get().partitionId():06d}-{number:05d}-{attempt}.zip"
+            with writing(f"{folder}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
                 size = members = 0
                 while row is not None and size < archive_bytes:
                     member = zipfile.ZipInfo(f"{members:08d}.png")
@@ -104,11 +107,11 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                     data = encode_png((row[1] or "").encode())
                     archive.writestr(member, data)
                     size, members, row = size + len(data), members + 1, next(rows, None)
-            yield pa.RecordBatch.from_pydict({"archive": [name], "members": [members]})
+            yield pa.RecordBatch.from_pydict({"archive": [name], "bytes": [size_of(f"{folder}/{name}")], "members": [members]})
             number += 1
 
     rows = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    rows.mapInArrow(run, "archive string, members long").write.format("noop").mode("overwrite").save()
+    materialize(rows.mapInArrow(run, "archive string, bytes long, members long"), "manifest", folder)
 
 
 @dataclass
@@ -139,9 +142,12 @@ class MediaArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         system, root = resolve(self.path)
-        found = [f for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".zip") and not f.base_name.startswith(".")]
-        base = self.path.rstrip("/")
-        parts = [ByteRange(f"{base}/{f.base_name}", a, min(a + self.range_bytes, f.size)) for f in sorted(found, key=lambda f: f.path) for a in range(0, f.size, self.range_bytes)]
+        files = [f for f in system.get_file_info(fs.FileSelector(f"{root}/manifest", allow_not_found=True)) if f.base_name.endswith(".parquet")]
+        base, parts = self.path.rstrip("/"), []
+        for f in sorted(files, key=lambda f: f.path):
+            with system.open_input_file(f.path) as part:
+                named = pq.read_table(part, columns=["archive", "bytes"]).to_pylist()
+            parts += [ByteRange(f"{base}/{r['archive']}", a, min(a + self.range_bytes, r["bytes"])) for r in named for a in range(0, r["bytes"], self.range_bytes)]
         return parts or [ByteRange("", 0, 0)]
 
     def member(self, path: str, info: zipfile.ZipInfo, file) -> tuple[bytes, object]:
@@ -195,8 +201,9 @@ def decode_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):  # a few MB of decoded pictures at once
-                part = batch.slice(a, 256)
+            # By the pictures' sizes as decoded, which their headers name: a picture of one sign packs to nothing.
+            heights = [struct.unpack_from(">I", m, 20)[0] for m in batch.column("media").to_pylist()]
+            for part in slices(batch, np.array(heights, np.int64) * WIDTH, 4 << 20):
                 made = [decode_png(m) for m in part.column("media").to_pylist()]
                 columns = [pa.array([n for _, n in made], pa.int64()), pa.array([s.tobytes() for s, _ in made], pa.binary()), part.column("media"), pa.array([features(s) for s, _ in made], pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=schema.names)
@@ -217,10 +224,3 @@ def store_and_read(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     folder = shared_dir(spark)
     write_archives(docs, folder, id_col, text_col)
     return decode_media(read_archives(spark, folder), id_col)
-
-
-def check_digest(text: str | None) -> tuple[int, int, str, int]:
-    """n_bytes, payload_bytes, payload_sha256 and tail_crc32 straight from a text, for tests."""
-    raw = (text or "").encode()
-    payload = raw.ljust(max(-(-len(raw) // WIDTH), 1) * WIDTH)
-    return len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-16:])
