@@ -41,38 +41,60 @@ def mirror(i: Column, n: int, border: str) -> Column:
     return F.when(m < n, m).otherwise(F.lit(period - 1 if border == "reflect" else period) - m)
 
 
-def affine(cells: DataFrame, height: int, width: int, angle: Column, scale: Column | float = 1.0, dy: float = 0.0, dx: float = 0.0, interp: str = "bilinear", border: str = "reflect101", value: str = "value") -> DataFrame:
+def affine(
+    cells: DataFrame, height: int, width: int, angle: Column | None, scale: Column | float = 1.0, dy: float = 0.0, dx: float = 0.0, interp: str = "bilinear", border: str = "reflect101", value: str = "value", views: Sequence[float] = ()
+) -> DataFrame:
     """Rotate by angle (degrees, counter-clockwise) and scale about (width/2, height/2), then shift.
 
-    angle may depend on the image's other columns (a view). Every target cell takes its source place; bilinear joins the
-    four neighbours, nearest one. border reflect101 mirrors, zero takes 0 outside."""
+    angle and scale may depend on the image's other columns. Every target cell takes its source place; bilinear weighs the
+    four neighbours, nearest takes one. border reflect101 mirrors, reflect and nearest repeat the edge, zero takes 0
+    outside. With views, every image is resampled once for each of these angles (column angle instead of the argument).
+    Each image is gathered once, as smoothing does, and all its views are made from that."""
     others = [c for c in cells.columns if c not in ("y", "x", value)]
     scale = F.lit(float(scale)) if isinstance(scale, (int, float)) else scale
+    cell = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("i"), F.col(value).cast("double").alias("v"))
+    images = cells.groupBy(*others).agg(F.array_sort(F.collect_list(cell)).alias("__c"))
+    if views:
+        images, angle, others = images.withColumn("angle", F.explode(F.array(*map(F.lit, views)))), F.col("angle"), [*others, "angle"]
     cy, cx = height / 2, width / 2
-    targets = cells.select(*others, F.col("y").alias("ty"), F.col("x").alias("tx"))
-    v, u = F.col("ty") - cy - dy, F.col("tx") - cx - dx
-    cos, sin = F.cos(F.radians(angle)), F.sin(F.radians(angle))
-    sx, sy = F.round((cos * u - sin * v) / scale + cx, 9), F.round((sin * u + cos * v) / scale + cy, 9)
-    placed = targets.withColumns({"__sx": sx, "__sy": sy})
-    if interp == "nearest":
-        corners = placed.withColumns({"__y": F.floor(F.col("__sy") + 0.5).cast("int"), "__x": F.floor(F.col("__sx") + 0.5).cast("int"), "__w": F.lit(1.0)})
-    else:
-        y0, x0 = F.floor("__sy"), F.floor("__sx")
-        fy, fx = F.col("__sy") - y0, F.col("__sx") - x0
-        options = [F.struct((y0 + a).cast("int").alias("y"), (x0 + b).cast("int").alias("x"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w")) for a in (0, 1) for b in (0, 1)]
-        corners = placed.withColumn("__c", F.explode(F.array(*options))).where("__c.w > 0").select("*", F.col("__c.y").alias("__y"), F.col("__c.x").alias("__x"), F.col("__c.w").alias("__w"))
-    if border != "zero":
-        corners = corners.withColumns({"__y": mirror(F.col("__y"), height, border).cast("int"), "__x": mirror(F.col("__x"), width, border).cast("int")})
-    sources = cells.select(*others, F.col("y").alias("__y"), F.col("x").alias("__x"), F.col(value).cast("double").alias("__v"))
-    joined = corners.join(sources, [*others, "__y", "__x"], "left")
-    out = joined.groupBy(*others, "ty", "tx").agg(F.sum(F.col("__w") * F.coalesce("__v", F.lit(0.0))).alias(value))
-    return out.withColumnsRenamed({"ty": "y", "tx": "x"})
+
+    def fold(i: np.ndarray, n: int) -> np.ndarray:
+        if border == "nearest" or n == 1:
+            return i.clip(0, n - 1)
+        m = i % (2 * n if border == "reflect" else 2 * n - 2)
+        return np.where(m < n, m, (2 * n - 1 if border == "reflect" else 2 * n - 2) - m)
+
+    @F.pandas_udf("array<double>")
+    def warp(places: pd.Series, values: pd.Series, angles: pd.Series, scales: pd.Series) -> pd.Series:
+        made = []
+        for at, v, degrees, by in zip(places, values, angles, scales, strict=True):
+            grid = np.zeros((height, width))
+            grid.ravel()[at] = v
+            down, right = at // width - cy - dy, at % width - cx - dx
+            cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+            sx, sy = np.round((cos * right - sin * down) / by + cx, 9), np.round((sin * right + cos * down) / by + cy, 9)
+            if interp == "nearest":
+                taps = [(np.floor(sy + 0.5).astype(int), np.floor(sx + 0.5).astype(int), np.ones(len(at)))]
+            else:
+                y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
+                fy, fx = sy - y0, sx - x0
+                taps = [(y0 + a, x0 + b, (fy if a else 1 - fy) * (fx if b else 1 - fx)) for a in (0, 1) for b in (0, 1)]
+            out = np.zeros(len(at))
+            for y, x, w in taps:
+                inside = (y >= 0) & (y < height) & (x >= 0) & (x < width) if border == "zero" else True
+                y, x = (y.clip(0, height - 1), x.clip(0, width - 1)) if border == "zero" else (fold(y, height), fold(x, width))
+                out += np.where(inside, w * grid[y, x], 0.0)
+            made.append(out)
+        return pd.Series(made)
+
+    flat = images.select(*others, F.transform("__c", lambda c: c["i"]).alias("__i"), F.transform("__c", lambda c: c["v"]).alias("__v"), angle.cast("double").alias("__angle"), scale.cast("double").alias("__scale"))
+    rows = flat.select(*others, F.explode(F.arrays_zip(F.col("__i").alias("i"), warp("__i", "__v", "__angle", "__scale").alias("v"))).alias("__o"))
+    return rows.select(*others, F.expr(f"cast(__o.i div {width} as int)").alias("y"), (F.col("__o.i") % width).alias("x"), F.col("__o.v").alias(value))
 
 
 def rotate_views(cells: DataFrame, height: int, width: int, views: str | Sequence[float] = "rot8") -> DataFrame:
     """Rotated copies of each grid, one for each angle, which is a column."""
-    angles = VIEW_SETS[views] if isinstance(views, str) else tuple(views)
-    return affine(cells.withColumn("angle", F.explode(F.array(*map(F.lit, angles)))), height, width, F.col("angle"))
+    return affine(cells, height, width, None, views=VIEW_SETS[views] if isinstance(views, str) else tuple(views))
 
 
 def random_angles(images: DataFrame, n: int = 30, seed: int = 0) -> DataFrame:

@@ -1,27 +1,31 @@
 """Ranking and localization metrics by key: AUROC, AP, F1, TPR at an FPR, AU-PRO, AUsPRO, overlaps.
 
-Curves are cumulative sums over distinct scores (or score levels), never over rows, so ties are one point. `keys` may be
+Curves are cumulative sums over distinct scores (or score levels), never over rows, so ties are one point; these points are
+written to the shared folder once and read for cuts, sums and totals. `keys` may be
 empty; cumulative() adds partition sums first, so that no task gets a whole curve."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
+
 BINS = 1 << 16
 
 
 def cumulative(points: DataFrame, keys: Sequence[str], score: str, values: Sequence[str], buckets: int = 64) -> DataFrame:
     """Running sums of values by falling score within each key, and the same one point before (as cum_v and pre_v).
 
-    Scores are cut into ranges of equal width; sums within a range and over ranges are separate windows, so the work of
-    one key is spread over `buckets` tasks."""
-    extent = points.groupBy(*keys).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    rows = points.join(extent, list(keys)) if keys else points.join(F.broadcast(extent))
-    width = F.col("__hi") - F.col("__lo")
-    rows = rows.withColumn("__range", F.when(width > 0, F.least(F.floor((F.col("__hi") - F.col(score)) / width * buckets), F.lit(buckets - 1))).otherwise(0))
+    Scores are cut into ranges of about equal numbers of points, at approximate quantiles, so that a heavy tail does not
+    put all points into one range; sums within a range and over ranges are separate windows, so the work of one key is
+    spread over `buckets` tasks."""
+    steps = [i / buckets for i in range(1, buckets)]
+    cuts = points.groupBy(*keys).agg(F.percentile_approx(score, steps, 2_000).alias("__cuts"))
+    rows = points.join(cuts, list(keys)) if keys else points.join(F.broadcast(cuts))
+    rows = rows.withColumn("__range", F.size(F.filter("__cuts", lambda c: c > F.col(score))))
     inner = Window.partitionBy(*keys, "__range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy(*keys, F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, "__range").agg(*[F.sum(v).alias(f"__sum_{v}") for v in values])
@@ -29,13 +33,13 @@ def cumulative(points: DataFrame, keys: Sequence[str], score: str, values: Seque
     out = rows.join(before, [*keys, "__range"])
     cums = {f"cum_{v}": F.sum(v).over(inner) + F.col(f"__before_{v}") for v in values}
     out = out.withColumns(cums).withColumns({f"pre_{v}": F.col(f"cum_{v}") - F.col(v) for v in values})
-    return out.drop("__lo", "__hi", "__range", *[f"__before_{v}" for v in values])
+    return out.drop("__cuts", "__range", *[f"__before_{v}" for v in values])
 
 
 def curve(df: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """One point for each distinct score: tp, fp (and before it), n_pos, n_neg; keys without either kind drop out."""
     flag = F.col(label).cast("int")
-    points = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.sum(flag).alias("pos"), F.sum(1 - flag).alias("neg"))
+    points = stored(df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.sum(flag).alias("pos"), F.sum(1 - flag).alias("neg")))
     totals = points.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")).where("n_pos > 0 and n_neg > 0")
     made = cumulative(points, keys, "score", ["pos", "neg"])
     made = made.join(totals, list(keys)) if keys else made.join(F.broadcast(totals))
@@ -105,7 +109,7 @@ def aupro(cells: DataFrame, regions: DataFrame, limits: Sequence[float] = (0.3,)
 
 def _points_area(rows: DataFrame, mask: str, keys: Sequence[str], limits: Sequence[float]) -> DataFrame:
     neg = (~F.col(mask)).cast("int")
-    points = rows.groupBy(*keys, "score").agg(F.sum(neg).alias("neg"), F.sum("w").alias("w"))
+    points = stored(rows.groupBy(*keys, "score").agg(F.sum(neg).alias("neg"), F.sum("w").alias("w")))
     totals = points.groupBy(*keys).agg(F.sum("neg").alias("n_neg"), F.sum("w").alias("all_w")).where("n_neg > 0 and all_w > 0")
     made = cumulative(points, keys, "score", ["neg", "w"])
     made = made.join(totals, list(keys)) if keys else made.join(F.broadcast(totals))
@@ -129,6 +133,21 @@ def aupro_binned(cells: DataFrame, regions: DataFrame, limits: Sequence[float] =
     return areas.join(pixels, list(keys)) if keys else areas.join(F.broadcast(pixels))
 
 
+def map_variants(variants: Mapping[str, DataFrame], mask: DataFrame, limits: Sequence[float] = (0.3,)) -> DataFrame:
+    """AU-PRO, pixel AUROC and AP of each variant of the same maps (cells image_id, y, x, value), a row for each limit.
+
+    mask holds the set cells (image_id, y, x); its 4-connected regions are found once for all variants."""
+    from .grid import connected_components
+
+    maps = None
+    for name, frame in variants.items():
+        own = frame.select("image_id", "y", "x", "value").withColumn("variant", F.lit(name))
+        maps = own if maps is None else maps.unionByName(own)
+    cells = maps.join(mask.select("image_id", "y", "x", F.lit(True).alias("mask")), ["image_id", "y", "x"], "left").fillna(False, ["mask"])
+    regions = connected_components(mask).withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
+    return aupro_binned(cells, regions, limits, ["variant"])
+
+
 def auspro(cells: DataFrame, regions: DataFrame, alpha: float = 0.3, mask: str = "mask", score: str = "value", thresholds: int = 100) -> DataFrame:
     """AUsPRO over thresholds spread evenly from the largest to the least pixel of normal images (no interpolation).
 

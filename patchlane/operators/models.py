@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathx import hash_draw
+from ..functions.shared import stored
 
 RIDGE = 1e-2
 TINY = 10 * np.finfo(float).eps
@@ -123,11 +124,12 @@ def project(df: DataFrame, key: str, models: Mapping[str, PCA], whiten: bool = F
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf[out] = None
+            order, made = [np.zeros(0, int)], []
             for k, at in pdf.groupby(pdf[key].astype(str)).indices.items():
-                z = shared.value[k].project(np.stack(pdf[vec].to_numpy()[at]).astype(float), whiten)
-                for i, row in zip(at, z, strict=True):
-                    pdf.at[pdf.index[i], out] = row
+                order.append(at)
+                made.extend(shared.value[k].project(np.stack(pdf[vec].to_numpy()[at]).astype(float), whiten))
+            pdf = pdf.iloc[np.concatenate(order)].copy()
+            pdf[out] = made
             yield pdf
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -190,29 +192,55 @@ def m_step(parts: list[Moments], prior: np.ndarray, kappa: float, n: float, cov:
     return Mixture(np.stack([p.mean for p in parts]), covs + ridge * np.eye(d), np.log(nk / n))
 
 
-def kmeans_init(df: DataFrame, key: str, k: int, seed: int = 0, iterations: int = 100, vec: str = "z", row_id: str = "row_id") -> dict[str, np.ndarray]:
-    """Centres of every key: k rows drawn by hash, then Lloyd steps until the squared shift is below 1e-8; an empty cluster
-    keeps its centre."""
-    from .projections import cap_rows
+def spread_centres(rows: DataFrame, k: int, seed: int) -> dict[str, np.ndarray]:
+    """k rows of every key by k-means++: each further one is drawn with a chance in proportion to its squared distance from
+    those drawn. A draw is a race, the least of -ln(u) / distance with u from a hash, so a job gives all keys' next row."""
+    centres: dict[str, np.ndarray] = {}
+    for j in range(k):
+        near = nearest(rows, centres) if centres else rows.withColumn("near", F.lit(1.0))
+        u = (hash_draw(F.lit(seed), F.lit(j), F.col("row_id")) + 1) / F.lit(4294967297.0)
+        race = F.struct(F.when(F.col("near") > 0, -F.log(u) / F.col("near")).otherwise(F.lit(float("inf"))), F.col("row_id"))
+        for r in near.groupBy("key").agg(F.min_by("z", race).alias("z")).collect():  # a row a key
+            z = np.array(r["z"])[None]
+            centres[r["key"]] = np.concatenate([centres[r["key"]], z]) if r["key"] in centres else z
+    return centres
+
 
+def kmeans_init(df: DataFrame, key: str, k: int, seed: int = 0, iterations: int = 100, vec: str = "z", row_id: str = "row_id") -> dict[str, np.ndarray]:
+    """Centres of every key: k-means++ rows, then Lloyd steps until the squared shift is below 1e-8; an empty cluster keeps
+    its centre. df should be persisted or a table; without rows there are no centres."""
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(row_id).alias("row_id"), F.col(vec).alias("z"))
-    drawn = cap_rows(rows, ["key"], k, seed, "row_id").orderBy("key", hash_draw(F.lit(seed), F.col("row_id"))).collect()  # k rows a key
-    centres: dict = {}
-    for r in drawn:
-        centres.setdefault(r["key"], []).append(r["z"])
-    centres = {m: np.array(c) for m, c in centres.items()}
+    centres, moving = spread_centres(rows, k, seed), None
     for _ in range(iterations):
-        sums = assign(rows, centres).groupBy("key", "cluster").agg(F.count("*").alias("n"), F.array(*[F.avg(F.get("z", i)) for i in range(len(next(iter(centres.values()))[0]))]).alias("m")).collect()
-        new = {m: c.copy() for m, c in centres.items()}
-        for r in sums:
-            new[r["key"]][r["cluster"]] = r["m"]
-        shift = max(((new[m] - centres[m]) ** 2).sum() for m in centres)
-        centres = new
-        if shift < 1e-8:
+        if not centres or moving == []:
             break
+        own = rows if moving is None else rows.where(F.col("key").isin(moving))
+        means = F.array(*[F.avg(F.get("z", i)) for i in range(next(iter(centres.values())).shape[1])])
+        new = {m: centres[m].copy() for m in (centres if moving is None else moving)}
+        for r in assign(own, centres).groupBy("key", "cluster").agg(means.alias("m")).collect():
+            new[r["key"]][r["cluster"]] = r["m"]
+        moving = sorted(m for m, c in new.items() if ((c - centres[m]) ** 2).sum() >= 1e-8)  # keys at rest are read no more
+        centres |= new
     return centres
 
 
+def nearest(rows: DataFrame, centres: Mapping[str, np.ndarray]) -> DataFrame:
+    """rows (key, z) with the squared distance to the nearest centre."""
+    shared = rows.sparkSession.sparkContext.broadcast(dict(centres))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            near = np.zeros(len(pdf))
+            for k, at in pdf.groupby("key").indices.items():
+                z = np.stack(pdf["z"].to_numpy()[at])
+                near[at] = ((z[:, None] - shared.value[k][None]) ** 2).sum(2).min(1)
+            pdf["near"] = near
+            yield pdf
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{schema}, near double")
+
+
 def assign(rows: DataFrame, centres: Mapping[str, np.ndarray]) -> DataFrame:
     """rows (key, z) with the nearest centre's number; ties take the first."""
     shared = rows.sparkSession.sparkContext.broadcast(dict(centres))
@@ -236,12 +264,19 @@ def fit_mixture(
     """Mixtures of every key by EM from hard labels, all keys in the same jobs, and their mean log-likelihoods by round.
 
     A round takes responsibilities and likelihood from the current parameters and updates these; a key whose likelihood
-    changed by less than tol keeps that round's update and rests. df should be persisted or a table."""
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(row_id).alias("row_id"), F.col(vec).alias("z"))
+    changed by less than tol keeps that round's update and rests, and its rows are read no more. The vectors are written to
+    the shared folder once, and rounds read them there. This is for a few models of very many rows each: parameters are
+    broadcast; for many models see mixtures.fit_by_key."""
+    rows = stored(df.select(F.col(key).cast("string").alias("key"), F.col(row_id).alias("row_id"), F.col(vec).alias("z")))
     sizes = dict(rows.groupBy("key").count().collect())
+    if not sizes:
+        return {}, {}
     d = len(next(iter(priors.values())))
     counts = {m: cap_components(n, d, k) for m, n in sizes.items()}
-    centres = {m: c[: counts[m]] for m, c in kmeans_init(df, key, k, seed, vec=vec, row_id=row_id).items()}
+    centres = {}
+    for count in sorted(set(counts.values())):  # keys of equal numbers of components together
+        own = rows.where(F.col("key").isin([m for m, c in counts.items() if c == count]))
+        centres |= kmeans_init(own, "key", count, seed)
     models: dict[str, Mixture] = {}
     trace: dict[str, list[float]] = {m: [] for m in sizes}
     active = set(sizes)
@@ -266,7 +301,7 @@ def fit_mixture(
                     parts = [weighted_moments(z, resp[:, j]) for j in range(resp.shape[1])]
                     yield pd.DataFrame({"key": m, "part": range(len(parts)), "n": [p.n for p in parts], "mean": [p.mean for p in parts], "scatter": [p.scatter.ravel() for p in parts], "extra": [fit] + [0.0] * (len(parts) - 1)})
 
-        found = _combine(rows.mapInPandas(expect, MOMENTS)).collect()  # K rows a key
+        found = _combine(rows.where(F.col("key").isin(sorted(active))).mapInPandas(expect, MOMENTS)).collect()  # K rows a key
         for m in sorted(active):
             own = sorted((r for r in found if r["key"] == m), key=lambda r: r["part"])
             parts = [Moments(r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(d, d)) for r in own]

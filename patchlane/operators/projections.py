@@ -31,9 +31,20 @@ def leakage(train: DataFrame, test: DataFrame, path: str = "path") -> DataFrame:
 
 
 def cap_rows(df: DataFrame, key: Sequence[str], limit: int, seed: int, row_id: str) -> DataFrame:
-    """At most limit rows of each key, those of the least seeded hash: a seeded draw without replacement."""
-    order = Window.partitionBy(*key).orderBy(hash_draw(F.lit(seed), F.col(row_id)), row_id)
-    return df.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= limit).drop("__k")
+    """At most limit rows of each key, those of the least seeded hash: a seeded draw without replacement.
+
+    Draws are counted in 4096 ranges of hash values. Ranges that fit whole are kept as they are; only the one that the
+    limit cuts is ranked, so no key is sorted whole."""
+    key = list(key)
+    drawn = df.withColumn("__draw", hash_draw(F.lit(seed), F.col(row_id))).withColumn("__range", F.shiftright("__draw", 20).cast("int"))
+    sizes = drawn.groupBy(*key, "__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
+    wanted = sizes.withColumn("__room", F.lit(limit) - before).where("__room > 0").withColumnsRenamed({c: f"__of_{c}" for c in (*key, "__range")})
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*key, "__range")]
+    kept = drawn.join(wanted, same).select(*drawn.columns, "__n", "__room")
+    order = Window.partitionBy(*key, "__range").orderBy("__draw", row_id)
+    ranked = kept.where("__n > __room").withColumn("__k", F.row_number().over(order)).where("__k <= __room")
+    return kept.where("__n <= __room").select(df.columns).unionByName(ranked.select(df.columns))
 
 
 def normalized(df: DataFrame, vec: str = "vec") -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,30 +108,38 @@ def precision_diff(df: DataFrame, models: Mapping[str, Mixture], key: str = "key
     return b.agg(F.max(F.abs(F.col("d32") - F.col("d64")) / F.greatest(F.abs("d64"), F.lit(1e-9))).alias("max_rel_diff"))
 
 
-def knn(queries: DataFrame, bank: DataFrame, row_id: str, cosine: bool = True, vec: str = "vec", blocks: int = 64) -> DataFrame:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The rows of a list column of equal lengths as a matrix, without objects for its numbers."""
+    flat = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks)])
+    return flat.reshape(len(column), -1)
+
+
+def knn(queries: DataFrame, bank: DataFrame, row_id: str, cosine: bool = True, vec: str = "vec", tile_rows: int = 20_000) -> DataFrame:
     """Distance of each query row to its nearest bank row: 1 - cosine, or Euclidean. Exact.
 
-    A bank within BROADCAST_BYTES is broadcast; a larger one is dealt into blocks, each query meets every block, and the
-    least distance by query remains, combined before the shuffle."""
+    A bank within BROADCAST_BYTES is broadcast. For a larger one both sides are dealt into tiles of about tile_rows rows,
+    every query tile meets every bank tile, and the least distance of a query remains, combined before the shuffle."""
     spark = queries.sparkSession
-    size = bank.select(F.size(vec).alias("n")).agg(F.sum("n")).first()[0] or 0
+    size, rows = bank.select(F.size(vec).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
 
     def nearest(q: np.ndarray, b: np.ndarray) -> np.ndarray:
         if cosine:
             unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            return 1 - (unit(q) @ unit(b).T).max(1)
+            q, b = unit(q), unit(b)
         best = np.full(len(q), np.inf)
         for i in range(0, len(b), 2048):
             part = b[i : i + 2048]
-            best = np.minimum(best, ((q**2).sum(1)[:, None] - 2 * q @ part.T + (part**2).sum(1)).min(1))
-        return np.sqrt(np.maximum(best, 0))
+            best = np.minimum(best, (1 - q @ part.T if cosine else (q**2).sum(1)[:, None] - 2 * q @ part.T + (part**2).sum(1)).min(1))
+        return best if cosine else np.sqrt(np.maximum(best, 0))
 
     if size * 8 <= BROADCAST_BYTES:
         table = bank.select(F.col(vec).cast("array<double>").alias("v")).toArrow()
-        shared = spark.sparkContext.broadcast(np.array(table.column("v").to_pylist(), float))
+        shared = spark.sparkContext.broadcast(_matrix(table.column("v")))
         return _batches(queries, "distance", lambda pdf: nearest(np.stack(pdf[vec].to_numpy()).astype(float), shared.value))
-    dealt = bank.select(F.pmod(F.xxhash64(vec), F.lit(blocks)).alias("block"), F.col(vec).cast("array<double>").alias("b"))
-    sent = queries.select(row_id, F.col(vec).cast("array<double>").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    tiles, asked = (max(1, -(-n // tile_rows)) for n in (rows, queries.count()))
+    dealt = bank.select(F.col(vec).cast("array<double>").alias("b")).distinct().withColumn("block", F.pmod(F.xxhash64("b"), F.lit(tiles)))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+    sent = queries.select(row_id, F.col(vec).cast("array<double>").alias("q"), F.pmod(F.xxhash64(row_id), F.lit(asked)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("block"))
 
     def meet(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -139,7 +148,7 @@ def knn(queries: DataFrame, bank: DataFrame, row_id: str, cosine: bool = True, v
 
     # A stated query set against all bank rows, in blocks.
     kind = queries.schema[row_id].dataType.simpleString()
-    met = sent.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(meet, f"{row_id} {kind}, distance double")
+    met = sent.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInPandas(meet, f"{row_id} {kind}, distance double")
     return queries.join(met.groupBy(row_id).agg(F.min("distance").alias("distance")), row_id)
 
 

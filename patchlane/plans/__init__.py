@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("result_queries", "metric_queries", "vector_queries", "grid_queries")
+MODULES = ("result_queries", "metric_queries", "vector_queries", "grid_queries", "run_queries")
 
 
 def all_queries() -> tuple[dict, dict]:

@@ -59,7 +59,7 @@ sources as (select *, {y} as ys, {x} as xs from corners where w > 0)
 """
 
 
-ANGLES = ", src as (select image_id, y, x, value, angle::double as angle from cells cross join (values (0), (45), (90), (135), (180), (225), (270), (315)) a(angle) where image_id % 5 = 0),"
+ANGLES = ", src as (select image_id, y, x, value, angle::double as angle from cells cross join (values (0), (45), (90), (135), (180), (225), (270), (315)) a(angle)),"
 
 
 @query("grd3_affine", C + "," + affine_sql("cells", "30.0::double", scale="1.1::double") + "select s.image_id, s.ty as y, s.tx as x, round(sum(w * c.value), 3) as value from sources s join cells c on c.image_id = s.image_id and c.y = s.ys and c.x = s.xs group by all")
@@ -97,17 +97,13 @@ def scaled(spark, sf_dir):
     "grd5_perturb",
     C + SCALED + """, p as (select *, (('0x' || substr(md5('1|' || image_id || '|' || y || '|' || x), 1, 8))::bigint + 1) / 4294967297.0::double as u1, ('0x' || substr(md5('1|' || image_id || '|' || y || '|' || x || '|b'), 1, 8))::bigint / 4294967296.0::double as u2 from s)
     select image_id, y, x, greatest(0, least(255, round(value * 1.25::double)))::double as bright, greatest(0, least(255, round(value * (1 + (image_id % 3 - 1) * 0.5::double))))::double as gain,
-           round(value + 5 * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2), 6) as noisy from p""",
+           greatest(0, least(255, round(value + 5 * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2)))) as noisy from p""",
 )
 def _(spark, sf_dir):
     s = scaled(spark, sf_dir)
-    a, b = (grd.perturb(s, k, v).withColumnRenamed("value", n) for k, v, n in (("brightness", 1.25, "bright"), ("gain", 0.5, "gain")))
-    key = [F.lit(1), F.col("image_id"), F.col("y"), F.col("x")]
-    from ..functions.mathx import hash_draw
-
-    u1, u2 = (hash_draw(*key) + 1) / F.lit(4294967297.0), hash_draw(*key, F.lit("b")) / F.lit(4294967296.0)
-    noisy = s.select(*PLACE, F.round(F.col("value") + 5 * F.sqrt(-2 * F.log(u1)) * F.cos(2 * 3.141592653589793 * u2), 6).alias("noisy"))
-    return a.join(b, list(PLACE)).join(noisy, list(PLACE))
+    kinds = (("brightness", 1.25, "bright"), ("gain", 0.5, "gain"), ("noise", 5.0, "noisy"))
+    a, b, c = (grd.perturb(s, k, v, seed=1).withColumnRenamed("value", n) for k, v, n in kinds)
+    return a.join(b, list(PLACE)).join(c, list(PLACE))
 
 
 def smooth_sql(sigma: float, source: str = "cells") -> str:
@@ -135,7 +131,7 @@ def upsample_sql(align: str, nh: int, nw: int) -> str:
     axis = lambda v, n, new: f"select i as t, least(floor(s)::int, {n - 1}) as a, least(least(floor(s)::int, {n - 1}) + 1, {n - 1}) as b, s - least(floor(s)::int, {n - 1}) as f from (select i, round({s('i', n, new)}, 9) as s from range({new}) r(i))"
     taps = lambda v: f"select t, a as p, 1 - f as w from {v} where 1 - f > 0 union all select t, b, f from {v} where f > 0"
     return f"""ay as ({axis('y', H, nh)}), ax as ({axis('x', W, nw)}), ty as ({taps('ay')}), tx as ({taps('ax')})
-select image_id, ty.t::int as y, tx.t::int as x, round(sum(value * ty.w * tx.w), 6) as value from cells join ty on ty.p = y join tx on tx.p = x where image_id % 4 = 0 group by all"""
+select image_id, ty.t::int as y, tx.t::int as x, round(sum(value * ty.w * tx.w), 6) as value from cells join ty on ty.p = y join tx on tx.p = x group by all"""
 
 
 @query("grd8_upsample_corner", C + "," + upsample_sql("corner", 75, 22))
@@ -192,12 +188,20 @@ def _(spark, sf_dir):
 
 @query("grd15_foreground_mask")
 def _(spark, sf_dir):
-    p = all_patches(spark, sf_dir).where("layer = 'a'")
-    keep = grd.foreground_mask(p.select("image_id", "gy", "gx", "vec"), threshold=0.1)
-    return rounded(grd.apply_mask(p.select("image_id", "gy", "gx", F.get("vec", 0).alias("value")), keep), "value")
+    made = None
+    for layer in ("a", "b"):
+        p = all_patches(spark, sf_dir).where(F.col("layer") == layer)
+        keep = grd.foreground_mask(p.select("image_id", "gy", "gx", "vec"), threshold=0.1)
+        own = grd.apply_mask(p.select("layer", "image_id", "gy", "gx", F.get("vec", 0).alias("value")), keep)
+        made = own if made is None else made.unionByName(own)
+    return rounded(made, "value")
 
 
-@query("grd16_tta_average", C + "select a.image_id, a.y, a.x, round((a.value + b.value_b) / 2, 6) as value from cells a join cells b on a.image_id = b.image_id and a.y = b.y and a.x = 10 - b.x")
+@query(
+    "grd16_tta_average",
+    C + ", own as materialized (select image_id, y, x, value, value_b from cells), flipped as materialized (select image_id, y, 10 - x as x, value_b from own) "
+    "select image_id, y, x, round((value + f.value_b) / 2, 6) as value from own join flipped f using (image_id, y, x)",
+)
 def _(spark, sf_dir):
     c = fx.cells(spark, sf_dir)
     flipped = grd.hflip(c.select(*PLACE, F.col("value_b").alias("value")), W)
@@ -217,7 +221,7 @@ def _(spark, sf_dir):
 
 @query(
     "prj9_valid_patches",
-    C + ", ones as (select image_id, y, x, 1.0::double as value from cells where image_id < 20)," + affine_sql("ones", "45.0::double", border=False)
+    C + ", ones as (select image_id, y, x, 1.0::double as value from cells)," + affine_sql("ones", "45.0::double", border=False)
     + ", v as (select s.image_id, s.ty as y, s.tx as x, sum(w * coalesce(c.value, 0)) as value from sources s left join ones c on c.image_id = s.image_id and c.y = s.ys and c.x = s.xs group by all) select image_id, (y // 5)::int as py, (x // 5)::int as px, round(avg(value), 6) as share from v group by all having round(avg(value), 9) >= 0.75",
 )
 def _(spark, sf_dir):
@@ -233,11 +237,25 @@ def _(spark, sf_dir):
     return normalized(all_patches(spark, sf_dir).where("is_ref")).select("image_id", "layer", "gy", "gx", F.round(F.get("vec", 0), 6).alias("first"))
 
 
-@query("fit15_spatial_prior")
+@query(
+    "fit15_spatial_prior",
+    P + ", k as (select * from (values " + ", ".join(f"({i - len(grd.kernel(2.0)) // 2}, {w!r}::double)" for i, w in enumerate(grd.kernel(2.0))) + """) k(o, w)),
+    refs as (select layer, gy, gx, label % 3 as component from patches where is_ref),
+    full_ as (select l.layer, y.gy, x.gx, c.component, count(r.layer)::double as r from (values ('a'), ('b')) l(layer) cross join range(4) y(gy) cross join range(4) x(gx) cross join range(3) c(component)
+      left join refs r on r.layer = l.layer and r.gy = y.gy and r.gx = x.gx and r.component = c.component group by all),
+    smooth as (select t.layer, t.gy, t.gx, t.component, sum(a.w * b.w * f.r) + 1 as v from full_ t cross join k a cross join k b
+      join full_ f on f.layer = t.layer and f.component = t.component and f.gy = least(greatest(t.gy + a.o, 0), 3) and f.gx = least(greatest(t.gx + b.o, 0), 3) group by all),
+    counts as (select layer, component, count(*) as c from refs group by 1, 2), weights as (select layer, component, c / (sum(c) over (partition by layer))::double as w from counts)
+    select layer, gy::int as gy, gx::int as gx, component::int as component, round(0.5::double * w + 0.5::double * v / sum(v) over (partition by layer, gy, gx), 6) as prior from smooth join weights using (layer, component)""",
+)
 def _(spark, sf_dir):
-    refs = all_patches(spark, sf_dir).where("is_ref and layer = 'a'").withColumn("component", (F.col("label") % 3).cast("int"))
-    resp = refs.groupBy("gy", "gx", "component").agg(F.count("*").cast("double").alias("r"))
-    full = refs.select("gy", "gx").distinct().withColumn("component", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).join(resp, ["gy", "gx", "component"], "left").fillna(0.0, ["r"])
-    total = refs.groupBy().agg(F.count("*").alias("n"))
-    weights = refs.groupBy("component").agg(F.count("*").alias("c")).join(F.broadcast(total)).select("component", (F.col("c") / F.col("n")).alias("w"))
-    return rounded(fit.spatial_prior(full, weights, 4, 4, 0.5), "prior")
+    made = None
+    for layer in ("a", "b"):
+        refs = all_patches(spark, sf_dir).where(F.col("is_ref") & (F.col("layer") == layer)).withColumn("component", (F.col("label") % 3).cast("int"))
+        resp = refs.groupBy("gy", "gx", "component").agg(F.count("*").cast("double").alias("r"))
+        full = refs.select("gy", "gx").distinct().withColumn("component", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).join(resp, ["gy", "gx", "component"], "left").fillna(0.0, ["r"])
+        total = refs.groupBy().agg(F.count("*").alias("n"))
+        weights = refs.groupBy("component").agg(F.count("*").alias("c")).join(F.broadcast(total)).select("component", (F.col("c") / F.col("n")).alias("w"))
+        own = fit.spatial_prior(full, weights, 4, 4, 0.5).withColumn("layer", F.lit(layer))
+        made = own if made is None else made.unionByName(own)
+    return rounded(made, "prior")

@@ -9,7 +9,7 @@ from ..operators import metrics as met
 from ..operators import pooling as pol
 from . import fixtures as fx
 from .registry import query
-from .result_queries import rounded
+from .result_queries import POINT, draws, rounded
 
 H, W = fx.GRID_H, fx.GRID_W
 IS = "with " + fx.IMAGE_SCORES
@@ -203,18 +203,16 @@ def _(spark, sf_dir):
 
 @query("met15_map_variants")
 def _(spark, sf_dir):
-    """AU-PRO of maps smoothed by sigma 0, 1 and 2, of one layer or the mean of both."""
+    """AU-PRO of maps smoothed by sigma 0, 1 and 2, of one layer or the mean of both, and of mean maps upsampled to twice
+    their size before they are smoothed by sigma 4 or 8."""
     c = cells(spark, sf_dir)
-    layers = {"a": c, "mean": c.withColumn("value", (F.col("value") + F.col("value_b")) / 2)}
-    maps = None
-    for name, frame in layers.items():
-        for sigma in (0, 1, 2):
-            made = grd.gaussian_smooth(frame.select("image_id", "y", "x", "value"), sigma, H, W).withColumn("variant", F.lit(f"{name}_s{sigma}"))
-            maps = made if maps is None else maps.unionByName(made)
-    maps = maps.join(c.select("image_id", "y", "x", "mask1"), ["image_id", "y", "x"])
-    names = F.explode(F.array(*[F.lit(f"{n}_s{k}") for n in layers for k in (0, 1, 2)])).alias("variant")
-    found = regions(c, "mask1").select("image_id", "y", "x", "region_id", names)
-    made = met.aupro_binned(maps, found, (0.3,), ["variant"], mask="mask1")
+    mean = c.select("image_id", "y", "x", ((F.col("value") + F.col("value_b")) / 2).alias("value"))
+    single = {"a": c.select("image_id", "y", "x", "value"), "b": c.select("image_id", "y", "x", F.col("value_b").alias("value")), "mean": mean}
+    plain = {f"{name}_s{s}": grd.gaussian_smooth(frame, s, H, W) for name, frame in single.items() for s in (0, 1, 2)}
+    larger = grd.upsample(mean, H, W, 2 * H, 2 * W, "corner")
+    up = {f"mean_up_s{s}": grd.gaussian_smooth(larger, s, 2 * H, 2 * W) for s in (4, 8)}
+    own = grd.masks_of(c, "mask1")
+    made = met.map_variants(plain, own).unionByName(met.map_variants(up, grd.resize_nearest(own, H, W, 2 * H, 2 * W)))
     return rounded(made.select("variant", "aupro", "pixel_auroc", "pixel_ap"), "aupro", "pixel_auroc", "pixel_ap")
 
 
@@ -251,7 +249,7 @@ def _(spark, sf_dir):
     return rounded(pol.pool(pol.fused_map(layers(spark, sf_dir)), "p95"), "score", places=7)
 
 
-@query("pol6_fused_map", C + LAYERS + "select image_id, y, x, round(avg(value), 6) as value from layers where image_id % 10 < 10 group by all")
+@query("pol6_fused_map", C + LAYERS + "select image_id, y, x, round(avg(value), 6) as value from layers group by all")
 def _(spark, sf_dir):
     return rounded(pol.fused_map(layers(spark, sf_dir)), "value", places=6)
 
@@ -295,7 +293,13 @@ def _(spark, sf_dir):
     return rounded(pol.pool_all(layers(spark, sf_dir)), "p95", "p99", "max", "top1pct", places=6)
 
 
-@query("sta13_region_size_gain")
+@query(
+    "sta13_region_size_gain",
+    "with recursive " + fx.CELLS + "," + regions_sql("mask1") + """, v as (select image_id, region_id, image_id % 11 as dataset, count(*)::double as area, avg(value) - avg(value_b) as gain from regions join cells using (image_id, y, x) group by all),
+    sized as (select *, case when area <= q1 then 'small' when area <= q2 then 'medium' else 'large' end as size_class from v cross join (select quantile_cont(area, 1/3::double) as q1, quantile_cont(area, 2/3::double) as q2 from v)),
+    by_c as (select size_class, dataset, avg(gain) as g, count(*) as k from sized group by all)
+    select size_class, round(avg(g), 4) as gain, sum(k)::bigint as regions, count(*) as categories from by_c group by 1""",
+)
 def _(spark, sf_dir):
     """Gain of one map over another in regions, by region size class."""
     from ..operators import stats as sta
@@ -307,7 +311,15 @@ def _(spark, sf_dir):
     return rounded(made, "gain", places=4)
 
 
-@query("sta14_interior_gain")
+@query(
+    "sta14_interior_gain",
+    C + """, parts as (select *, 'whole' as part from cells union all select *, 'interior' from cells where y between 2 and 47 and x between 2 and 8),
+    long as (select part, image_id % 11 as k, mask, 'a' as m, value as score from parts union all select part, image_id % 11, mask, 'b', value_b from parts),"""
+    + curve_sql("long", "{'p': part, 'k': k, 'm': m}", "mask") + f""", ap as (select key.p as part, key.k::varchar as dataset, key.m as m, {AP} * 100 as ap from curve group by key),
+    pairs as (select part, dataset, max(ap) filter (m = 'a') - max(ap) filter (m = 'b') as d from ap group by all having d is not null),
+    u as (select part, d, row_number() over (partition by part order by dataset) - 1 as unit, count(*) over (partition by part) as units from pairs)""" + draws("part", 5000)
+    + f" select p.*, round(lo, 6) as lo, round(hi, 6) as hi from (select part, {POINT} from pairs group by 1) p join ci using (part)",
+)
 def _(spark, sf_dir):
     """Paired bootstrap of pixel AP of two maps over categories, on whole grids and on their interior."""
     from ..operators import stats as sta

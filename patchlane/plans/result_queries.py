@@ -9,7 +9,7 @@ from ..operators import stats as sta
 from . import fixtures as fx
 from .registry import query
 
-B = 500  # resamples of the SQL and of sta9_by_size; the other queries take the operators' defaults
+B = 10_000  # resamples of paired differences, as the operator's default
 
 
 def runs(spark, sf_dir):
@@ -54,14 +54,14 @@ sized as (select * from diffs join area using (cat))
 """
 
 
-def draws(by: str = "") -> str:
-    """SQL of the resamples of table u (by, unit, units, d)."""
+def draws(by: str = "", b: int = B) -> str:
+    """SQL of b resamples of table u (by, unit, units, d)."""
     c = f"{by}, " if by else ""
     return f""",
 reps as (select {c}rep, sum(d) as d, count(*) as drawn from (
   select {"p." + by + ", " if by else ""}p.rep, u.d from (
     select {c}rep, place, ('0x' || substr(md5('0|' || rep || '|' || place), 1, 8))::bigint % units as unit
-    from (select distinct {c}units from u) g cross join range({B}) r(rep) cross join range(10000) q(place) where place < units) p
+    from (select *, unnest(range(units)) as place from (select distinct {c}units from u) g cross join range({b}) r(rep))) p
   join u on {"u." + by + " = p." + by + " and " if by else ""}u.unit = p.unit) group by {c}rep),
 ci as (select {c}quantile_cont(d / drawn, 0.025) as lo, quantile_cont(d / drawn, 0.975) as hi from reps {"group by " + by if by else ""})
 """
@@ -216,7 +216,7 @@ CLASSED = """, classed as (select s.*, case when area <= q1 then 'small' when ar
     + f"select p.*, round(lo, 6) as lo, round(hi, 6) as hi from (select size_class, {POINT} from classed group by 1) p join ci using (size_class)",
 )
 def _(spark, sf_dir):
-    return rounded(sta.paired_bootstrap(sta.terciles(sized_pairs(spark, sf_dir), "area"), B, by=["size_class"]), "mean", "lo", "hi")
+    return rounded(sta.paired_bootstrap(sta.terciles(sized_pairs(spark, sf_dir), "area"), by=["size_class"]), "mean", "lo", "hi")
 
 
 SLOPE = """, c as (select log10(area) - avg(log10(area)) over (partition by {g}) as dx, d - avg(d) over (partition by {g}) as dy from sized)
@@ -245,10 +245,10 @@ def _(spark, sf_dir):
 
 @query(
     "sta12_cluster_bootstrap",
-    R + f""", sums as (select dataset, sum(metric) as num, count(*) as den from runs group by 1),
+    R + """, sums as (select dataset, sum(metric) as num, count(*) as den from runs group by 1),
     u as (select num, den, row_number() over (order by dataset) - 1 as unit, count(*) over () as units from sums),
     reps as (select rep, sum(num) / sum(den) as v from (
-      select rep, ('0x' || substr(md5('0|' || rep || '|' || place), 1, 8))::bigint % units as unit from (select distinct units from u) cross join range({B}) r(rep) cross join range(1000) q(place) where place < units) p
+      select rep, ('0x' || substr(md5('0|' || rep || '|' || place), 1, 8))::bigint % units as unit from (select *, unnest(range(units)) as place from (select distinct units from u) cross join range(2000) r(rep))) p
       join u using (unit) group by rep)
     select round((select sum(num) / sum(den) from sums), 6) as value, round(quantile_cont(v, 0.025), 6) as lo, round(quantile_cont(v, 0.975), 6) as hi from reps""",
 )
@@ -256,9 +256,9 @@ def _(spark, sf_dir):
     return rounded(sta.cluster_bootstrap(runs(spark, sf_dir), "dataset", F.col("metric"), F.lit(1.0)), "value", "lo", "hi")
 
 
-@query("sta15_gain_by_condition", R + "select cond, round(x, 6) as x, round(y, 6) as y, round(x - y, 6) as gain from (select split_part(dataset, '/', 1) as cond, avg(metric) filter (method = 'm0') as x, avg(metric) filter (method = 'm2') as y from runs group by 1)")
+@query("sta15_gain_by_condition", R + "select cond, round(x, 10) as x, round(y, 10) as y, round(x - y, 10) as gain from (select split_part(dataset, '/', 1) as cond, avg(metric) filter (method = 'm0') as x, avg(metric) filter (method = 'm2') as y from runs group by 1)")
 def _(spark, sf_dir):
-    return rounded(sta.gain_by_condition(runs(spark, sf_dir).withColumn("cond", sta.benchmark()), "m0", "m2"), "x", "y", "gain")
+    return rounded(sta.gain_by_condition(runs(spark, sf_dir).withColumn("cond", sta.benchmark()), "m0", "m2"), "x", "y", "gain", places=10)  # means of some hundred values tie at fewer places
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mathx
 from ..operators import metrics as met
+from ..operators import mixtures as mix
 from ..operators import models as fit
 from ..operators import pooling as pol
 from ..operators import projections as prj
@@ -57,22 +58,37 @@ def _(spark, sf_dir):
     return catalog.resolve_masks(catalog.image_catalog(paths), paths).select("path", "label", "mask_path")
 
 
+@query(
+    "src2_mask_folders",
+    IMAGES + """, folders as (select 'ds' || (page_id % 3) || '/cat' || (page_id % 2) || '/ground_truth/' || case page_id % 4 when 2 then 'scratch' else 'hole' end || '/' || page_id || '/' || k || '.png' as mask_path
+      from pages cross join range(3) r(k) where page_id % 4 in (2, 3) and k < page_id % 5),
+    named as (select mask_path, regexp_extract(mask_path, '^(.*)/ground_truth/([^/]+)/([^/]+)/[^/]+\\.png$', ['dataset', 'defect', 'stem']) as m from folders)
+    select i.path, string_agg(mask_path, '|' order by mask_path) as masks from images i left join named on m.dataset = i.dataset and m.defect = i.defect and m.stem = i.stem where i.split = 'test' group by 1""",
+)
+def _(spark, sf_dir):
+    folders = fx.table(spark, sf_dir, "pages").where("page_id % 4 in (2, 3) and page_id % 5 > 0").selectExpr(
+        "explode(transform(sequence(0, cast(least(page_id % 5, 3) - 1 as int)), k -> concat('ds', page_id % 3, '/cat', page_id % 2, '/ground_truth/', case page_id % 4 when 2 then 'scratch' else 'hole' end, '/', page_id, '/', k, '.png'))) as path"
+    )
+    made = catalog.mask_folders(catalog.image_catalog(fx.paths(spark, sf_dir)), folders)
+    return made.select("path", F.when(F.col("mask_paths").isNotNull(), F.array_join("mask_paths", "|")).alias("masks"))
+
+
 @query(
     "src3_load_split",
     "with rows_ as (select 'cat' || (page_id % 4) as object, case page_id % 3 when 0 then 'train' when 1 then 'test' else 'none' end as split, case when page_id % 5 < 3 then 'normal' else 'bad' end as label, url as image, case when page_id % 2 = 0 then ' ' else url || '.png' end as mask, page_id from pages) "
-    "select image, split, case when label = 'normal' then 0 else 1 end as label, nullif(trim(mask), '') as mask from rows_ where object = 'cat1' and split in ('train', 'test') and page_id % 7 <> 0 and image in (select url from pages where page_id % 7 <> 0)",
+    "select image, split, case when label = 'normal' then 0 else 1 end as label, nullif(trim(mask), '') as mask from rows_ where object = 'cat1' and split in ('train', 'test') and image in (select url from pages where page_id % 7 <> 0)",
 )
 def _(spark, sf_dir):
     pages = fx.table(spark, sf_dir, "pages")
-    rows = pages.where("page_id % 7 <> 0").selectExpr(
+    rows = pages.selectExpr(
         "concat('cat', page_id % 4) as object", "case page_id % 3 when 0 then 'train' when 1 then 'test' else 'none' end as split", "case when page_id % 5 < 3 then 'normal' else 'bad' end as label", "url as image", "case when page_id % 2 = 0 then ' ' else concat(url, '.png') end as mask"
     )
     return catalog.load_split(rows, pages.where("page_id % 7 <> 0").select(F.col("url").alias("path")), "cat1")
 
 
-@query("src4_union_masks", "with " + fx.CELLS + "select image_id, y, x, 1 as value from cells where image_id % 3 = 0 and (value > 60000 or value_b > 50000)")
+@query("src4_union_masks", "with " + fx.CELLS + "select image_id, y, x, 1 as value from cells where value > 60000 or value_b > 50000")
 def _(spark, sf_dir):
-    c = fx.cells(spark, sf_dir).where("image_id % 3 = 0")
+    c = fx.cells(spark, sf_dir)
     a, b = (c.select("image_id", "y", "x", F.greatest(F.col(v) - t, F.lit(0.0)).alias("value")) for v, t in (("value", 60000), ("value_b", 50000)))
     return catalog.union_masks(a.unionByName(b))
 
@@ -111,7 +127,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from ..functions.shared import scratch
 
-    cached = run_files.cache_features(all_patches(spark, sf_dir).withColumns({"dataset": F.lit("d"), "view": F.col("layer")}), scratch(spark))
+    path, rows = scratch(spark), all_patches(spark, sf_dir).withColumns({"dataset": F.lit("d"), "view": F.col("layer")})
+    run_files.cache_features(rows, path)
+    cached = run_files.cache_features(rows.where("false"), path)  # is done, so it is only read
     return rounded(cached.groupBy("view").agg(F.count("*").alias("n"), F.sum(F.get("vec", 0)).alias("first_sum")), "first_sum", places=5)
 
 
@@ -288,6 +306,23 @@ def _(spark, sf_dir):
     return z.select("image_id", "layer", "gy", "gx", F.round(mathx.dot(F.col("z"), F.col("z")), 6).alias("whitened_norm"))
 
 
+@query("fit3_whitening")
+def _(spark, sf_dir):
+    """Mean square of each whitened coordinate of the references: 1 up to (n - 1) / n, by layer."""
+    refs = all_patches(spark, sf_dir).where("is_ref")
+    z = fit.project(refs.select("layer", "vec"), "layer", fit.fit_pca(refs, "layer", 8), whiten=True)
+    long = z.select("layer", F.posexplode("z").alias("i", "v"))
+    return rounded(long.groupBy("layer", "i").agg(F.avg(F.col("v") * F.col("v")).alias("mean_square"), F.count("*").alias("n")), "mean_square")
+
+
+@query("fit5_truncated_svd")
+def _(spark, sf_dir):
+    """Length of each patch inside the leading eight directions of its layer's references, without centring."""
+    rows = all_patches(spark, sf_dir)
+    z = fit.project(rows.select("image_id", "layer", "gy", "gx", "vec"), "layer", fit.fit_svd(rows.where("is_ref"), "layer", 8))
+    return z.select("image_id", "layer", "gy", "gx", F.round(F.sqrt(mathx.dot(F.col("z"), F.col("z"))), 6).alias("length"))
+
+
 @query("fit4_pca_by_variance")
 def _(spark, sf_dir):
     """Directions that hold 99 % of the variance, for each layer, with and without centring."""
@@ -297,7 +332,7 @@ def _(spark, sf_dir):
     return spark.createDataFrame(rows, "layer string, directions int, total double, gram_total double")
 
 
-@query("fit6_component_cap", P + ", c as (select label, layer, count(*) as n from patches where image_id < 6 group by all) select label, layer, n, least(12, greatest(2, n // 18))::int as k from c")
+@query("fit6_component_cap", P + ", c as (select label, layer, count(*) as n from patches group by all) select label, layer, n, least(12, greatest(2, n // 18))::int as k from c")
 def _(spark, sf_dir):
     return fit.component_cap(all_patches(spark, sf_dir), ["label", "layer"], 8, 12)
 
@@ -315,19 +350,24 @@ def _(spark, sf_dir):
     return fit.assign(rows.select("image_id", "gy", "gx", F.col("layer").alias("key"), F.col("vec").alias("z")), centres).select("image_id", F.col("key").alias("layer"), "gy", "gx", "cluster")
 
 
-def mixtures(spark, sf_dir, **options):
+def mixtures(spark, sf_dir):
+    """All patches in their layer's directions (z), and the layers' mixtures, which are three components each."""
     rows = all_patches(spark, sf_dir).withColumn("row_id", F.concat_ws("|", *[F.col(c).cast("string") for c in ("image_id", "layer", "gy", "gx")]))
-    refs = rows.where("is_ref")
-    pca = fit.fit_pca(refs, "layer", 8)
-    z = fit.project(rows.select("row_id", "image_id", "layer", "gy", "gx", "vec", "is_ref", "mask"), "layer", pca)
-    return z, fit.fit_mixture(z.where("is_ref"), "layer", 3, {k: m.evals for k, m in pca.items()}, kappa=20.0, **options), pca
+    found = mix.fit_by_key(rows.where("is_ref"), ["layer"], 3, 8, 20.0).orderBy("key", "component").collect()
+    models, pca = {}, {}
+    for key in {r["key"] for r in found}:
+        own = [r for r in found if r["key"] == key]
+        models[key] = fit.Mixture(np.array([r["centre"] for r in own]), np.array([r["cov"] for r in own]).reshape(-1, 8, 8), np.array([r["log_w"] for r in own]))
+        pca[key] = fit.PCA(np.array(own[0]["mean"]), np.array(own[0]["comp"]).reshape(-1, 8), np.array(own[0]["evals"]), own[0]["total"])
+    return fit.project(rows.select("image_id", "layer", "gy", "gx", "vec"), "layer", pca), models
 
 
 @query("fit8_mixture_em")
 def _(spark, sf_dir):
     """Mixtures of both layers by EM, and each patch's chi-square tail score."""
-    z, (models, _), _ = mixtures(spark, sf_dir)
-    scored = scr.mahalanobis(z, models, "layer").withColumn("score", mathx.chi2_tail_score(F.col("distance"), 8))
+    rows = all_patches(spark, sf_dir).withColumn("row_id", F.concat_ws("|", *[F.col(c).cast("string") for c in ("image_id", "layer", "gy", "gx")]))
+    models = mix.fit_by_key(rows.where("is_ref"), ["layer"], 3, 8, 20.0)
+    scored = mix.score_by_key(rows.select("image_id", "layer", "gy", "gx", "vec"), models, ["layer"]).withColumn("score", mathx.chi2_tail_score(F.col("distance"), 8))
     return rounded(scored.select("image_id", "layer", "gy", "gx", "distance", "score"), "distance", "score")
 
 
@@ -357,10 +397,10 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(k, m.n) for k, m in fit.moments(keyed, "key").items()], "key string, n double")
 
 
-@query("fit16_state_mib", R + ", s as (select dataset, method, 8 as big_d, n_train * 2 as d, seed + 1 as k, case when seed = 4 then ord end as numel from runs where n_train = 4) select dataset, method, k, round(coalesce(4 * numel, 4 * (big_d + big_d * d + k + k * d + k * d * (d + 1) / 2)) / 1048576.0::double, 9) as mib from s")
+@query("fit16_state_mib", R + ", s as (select dataset, method, 8 as big_d, n_train * 2 as d, seed + 1 as k, case when seed = 4 then ord end as numel, n_train from runs) select dataset, method, n_train, k, round(coalesce(4 * numel, 4 * (big_d + big_d * d + k + k * d + k * d * (d + 1) / 2)) / 1048576.0::double, 9) as mib from s")
 def _(spark, sf_dir):
-    r = runs(spark, sf_dir).where("n_train = 4").select("dataset", "method", F.lit(8).alias("big_d"), (F.col("n_train") * 2).alias("d"), (F.col("seed") + 1).alias("k"), F.when(F.col("seed") == 4, F.col("ord")).alias("numel"))
-    return rounded(fit.state_mib(r), "mib", places=9).select("dataset", "method", "k", "mib")
+    r = runs(spark, sf_dir).select("dataset", "method", "n_train", F.lit(8).alias("big_d"), (F.col("n_train") * 2).alias("d"), (F.col("seed") + 1).alias("k"), F.when(F.col("seed") == 4, F.col("ord")).alias("numel"))
+    return rounded(fit.state_mib(r), "mib", places=9).select("dataset", "method", "n_train", "k", "mib")
 
 
 @query(
@@ -421,6 +461,13 @@ def _(spark, sf_dir):
     return place(scored(spark, sf_dir), F.round(scr.nll(D), 5).alias("nll"))
 
 
+@query("scr5_raw_distance", SCORED + "select image_id, layer, round(quantile_cont(d2, 0.95), 5) as score from lse group by all")
+def _(spark, sf_dir):
+    """Image scores of raw distances, without a tail: the 95th percentile of each layer."""
+    rows = place(scored(spark, sf_dir), scr.min_distance(F.col("d2")).alias("value"))
+    return rounded(pol.pool(rows, "p95", ("image_id", "layer")), "score", places=5)
+
+
 @query("scr6_weighted_tail")
 def _(spark, sf_dir):
     return place(scored(spark, sf_dir), F.round(scr.weighted_tail(D), 6).alias("score"))
@@ -458,20 +505,25 @@ def _(spark, sf_dir):
 
 @query("scr10_ppca_residual")
 def _(spark, sf_dir):
-    rows = all_patches(spark, sf_dir).where("layer = 'a'").select("image_id", "gy", "gx", "vec", "is_ref")
-    m = fit.fit_pca(rows.where("is_ref").withColumn("layer", F.lit("a")), "layer", 8)["a"]
-    return rounded(scr.ppca_residual(rows, m.mean, m.comp, m.total, m.evals).select("image_id", "gy", "gx", "residual"), "residual")
+    rows, made = all_patches(spark, sf_dir).select("image_id", "layer", "gy", "gx", "vec", "is_ref"), None
+    for layer, m in fit.fit_pca(rows.where("is_ref"), "layer", 8).items():
+        own = scr.ppca_residual(rows.where(F.col("layer") == layer), m.mean, m.comp, m.total, m.evals).select("image_id", "layer", "gy", "gx", "residual")
+        made = own if made is None else made.unionByName(own)
+    return rounded(made, "residual")
 
 
-KNN = """, bank as (select layer, gy, gx, image_id, vec from patches where is_ref and layer = 'a'), q as (select image_id, gy, gx, vec from patches where not is_ref and layer = 'a')
-select q.image_id, q.gy, q.gx, round({0}, 5) as distance from q cross join bank b group by all"""
+KNN = """, bank as (select layer, vec from patches where is_ref), q as (select image_id, layer, gy, gx, vec from patches where not is_ref)
+select q.image_id, q.layer, q.gy, q.gx, round({0}, 5) as distance from q join bank b using (layer) group by all"""
 
 
 def knn(spark, sf_dir, cosine):
-    rows = all_patches(spark, sf_dir).where("layer = 'a'").select("image_id", "gy", "gx", "is_ref", "vec")
-    rows = rows.withColumn("row_id", F.col("image_id") * 16 + F.col("gy") * 4 + F.col("gx"))
-    made = scr.knn(rows.where("not is_ref"), rows.where("is_ref"), "row_id", cosine)
-    return rounded(made.select("image_id", "gy", "gx", "distance"), "distance", places=5)
+    rows = all_patches(spark, sf_dir).select("image_id", "layer", "gy", "gx", "is_ref", "vec")
+    rows, made = rows.withColumn("row_id", F.col("image_id") * 16 + F.col("gy") * 4 + F.col("gx")), None
+    for layer in ("a", "b"):
+        own = rows.where(F.col("layer") == layer)
+        own = scr.knn(own.where("not is_ref"), own.where("is_ref"), "row_id", cosine).select("image_id", "layer", "gy", "gx", "distance")
+        made = own if made is None else made.unionByName(own)
+    return rounded(made, "distance", places=5)
 
 
 @query("scr11_knn_cosine", P + KNN.format("1 - max(list_cosine_similarity(q.vec, b.vec))"))
@@ -486,14 +538,16 @@ def _(spark, sf_dir):
 
 @query("scr13_subspace_residual")
 def _(spark, sf_dir):
-    rows = all_patches(spark, sf_dir).where("layer = 'b'").select("image_id", "layer", "gy", "gx", "vec", "is_ref")
-    m = fit.fit_pca(rows.where("is_ref"), "layer", 8)["b"]
-    return rounded(scr.subspace_residual(rows, m.mean, m.comp).select("image_id", "gy", "gx", "residual"), "residual")
+    rows, made = all_patches(spark, sf_dir).select("image_id", "layer", "gy", "gx", "vec", "is_ref"), None
+    for layer, m in fit.fit_pca(rows.where("is_ref"), "layer", 8).items():
+        own = scr.subspace_residual(rows.where(F.col("layer") == layer), m.mean, m.comp).select("image_id", "layer", "gy", "gx", "residual")
+        made = own if made is None else made.unionByName(own)
+    return rounded(made, "residual")
 
 
 @query("scr14_precision_diff")
 def _(spark, sf_dir):
-    z, (models, _), _ = mixtures(spark, sf_dir)
+    z, models = mixtures(spark, sf_dir)
     return rounded(scr.precision_diff(z, models, "layer"), "max_rel_diff", places=3)
 
 

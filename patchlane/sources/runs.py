@@ -38,7 +38,15 @@ def load_maps(spark: SparkSession, path: str, **run: object) -> DataFrame:
     return rows
 
 
+def is_done(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds the mark that Spark leaves when a write has been committed whole."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def cache_features(patches: DataFrame, path: str) -> DataFrame:
-    """Features written once by dataset and view, and read again."""
-    patches.repartition("dataset", "view").write.mode("overwrite").partitionBy("dataset", "view").parquet(path)
+    """Features written once by dataset and view, and read again; a folder with its done mark is only read, one that a
+    broken-off write left is written anew."""
+    if not is_done(patches.sparkSession, path):
+        patches.repartition("dataset", "view").write.mode("overwrite").partitionBy("dataset", "view").parquet(path)
     return patches.sparkSession.read.parquet(path)

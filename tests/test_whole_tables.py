@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from patchlane.operators import models, stats
+from patchlane.operators import mixtures, stats
 from patchlane.plans import all_queries
 
 H, W, IMAGES = 50, 11, 7
@@ -85,10 +85,11 @@ def test_component_cap_counts_all_patches(spark, folder):
     [
         ("sta5_paired_bootstrap", stats, "paired_bootstrap", "b", 10_000),
         ("sta8_leave_one_out", stats, "leave_one_out", "b", 10_000),
+        ("sta9_by_size", stats, "paired_bootstrap", "b", 10_000),
         ("sta12_cluster_bootstrap", stats, "cluster_bootstrap", "b", 2_000),
         ("sta14_interior_gain", stats, "paired_bootstrap", "b", 5_000),
-        ("fit8_mixture_em", models, "fit_mixture", "max_iter", 30),
-        ("scr14_precision_diff", models, "fit_mixture", "max_iter", 30),
+        ("fit8_mixture_em", mixtures, "fit_by_key", "max_iter", 30),
+        ("scr14_precision_diff", mixtures, "fit_by_key", "max_iter", 30),
     ],
 )
 def test_iterations_of_registered_queries(spark, monkeypatch, name, module, operator, option, least):
@@ -106,3 +107,80 @@ def test_iterations_of_registered_queries(spark, monkeypatch, name, module, oper
     with pytest.raises(Called) as seen:
         all_queries()[0][name](spark, "/root/testdata/sf0.001")
     assert seen.value.args[0] == least
+
+
+def blurred(m, sigma):
+    """Separable Gaussian cut at four deviations, edges repeated in mirror."""
+    if sigma == 0:
+        return m
+    r = int(4 * sigma + 0.5)
+    w = np.array([math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)])
+    for axis in (0, 1):
+        n = m.shape[axis]
+        at = [[min(j % (2 * n), 2 * n - 1 - j % (2 * n)) for j in range(i - r, i + r + 1)] for i in range(n)]
+        m = np.stack([np.tensordot(w / w.sum(), np.take(m, a, axis), (0, axis)) for a in at], axis)
+    return m
+
+
+def doubled(m):
+    for axis in (0, 1):
+        n = m.shape[axis]
+        m = np.apply_along_axis(lambda v, n=n: np.interp(np.linspace(0, n - 1, 2 * n), range(n), v), axis, m)
+    return m
+
+
+def components(mask):
+    left, out = set(zip(*map(list, np.nonzero(mask)))), []
+    while left:
+        todo, own = [left.pop()], []
+        while todo:
+            y, x = todo.pop()
+            own.append((y, x))
+            for p in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if p in left:
+                    left.remove(p)
+                    todo.append(p)
+        out.append(own)
+    return out
+
+
+def test_map_variants_equal_numpy(spark, folder):
+    items = spark.read.parquet(f"{folder[0]}/lineitem.parquet").collect()
+    b = {i: np.zeros((H, W)) for i in IDS}
+    for r in items:
+        b[r.l_suppkey][int(r.l_quantity) - 1, round(r.l_discount * 100)] += r.l_extendedprice * (1 - r.l_discount)
+    got = {r.variant: r for r in rows(spark, folder, "met15_map_variants")}
+    assert set(got) == {*(f"{n}_s{s}" for n in ("a", "b", "mean") for s in (0, 1, 2)), "mean_up_s4", "mean_up_s8"}
+    for name, r in got.items():
+        maps, masks = [], []
+        for i in IDS:
+            m = {"a": folder[1][i], "b": b[i], "mean": (folder[1][i] + b[i]) / 2}[name.split("_")[0]]
+            mask = (folder[1][i] > 0) & (i % 3 == 0)  # every row of the fixture is a returned one
+            if "_up_" in name:
+                m, mask = doubled(m), mask.repeat(2, 0).repeat(2, 1)
+            maps.append(blurred(m, int(name[-1])))
+            masks.append(mask)
+        low, high = min(m.min() for m in maps), max(m.max() for m in maps)
+        levels = [np.clip(np.floor((m - low) * (65535 / (high - low))), 0, 65535) for m in maps]
+        regions = [(k, own) for k, mask in enumerate(masks) for own in components(mask)]
+        weight = [np.zeros(m.shape) for m in maps]
+        for k, own in regions:
+            for place in own:
+                weight[k][place] = 1 / len(own) / len(regions)
+        score, w, bad = (np.concatenate([np.asarray(v, float).ravel() for v in part]) for part in (levels, weight, masks))
+        area = x = y = auroc = tp = fp = ap = 0.0
+        pos, neg = bad.sum(), (1 - bad).sum()
+        order = np.argsort(-score, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(score[order])) + 1):
+            nx, ny = x + (1 - bad[at]).sum() / neg, y + w[at].sum()
+            if x < 0.3:
+                cut = min(nx, 0.3)
+                top = y + (ny - y) * (cut - x) / (nx - x) if nx > x else ny
+                area += (cut - x) * (y + top) / 2
+            x, y = nx, ny
+            p, n = bad[at].sum(), (1 - bad[at]).sum()
+            auroc += n / neg * (2 * tp + p) / (2 * pos)
+            tp, fp = tp + p, fp + n
+            ap += p / pos * tp / (tp + fp)
+        # A value on the border of two levels may fall to either side.
+        assert (r.aupro, r.pixel_auroc, r.pixel_ap) == (pytest.approx(area / 0.3, abs=2e-4), pytest.approx(auroc, abs=2e-4), pytest.approx(ap, abs=2e-4))
