@@ -9,7 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import drop_table, materialize, shared_dir
+
+#: Rounds are about the logarithm of the largest component; more than these mean an error, and raise.
+MAX_ROUNDS = 99
+
+
+def as_edges(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Distinct edges (u > v) of links of any direction."""
+    whole = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    return whole.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -30,19 +39,30 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.where("u != v").distinct()
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", folder: str | None = None) -> DataFrame:
-    """node and component (the component's least node) for every node that has a link to another one.
-
-    Links may repeat and may point either way; a null end makes no link."""
-    folder = folder or shared_dir(links.sparkSession)
-    pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} != {b}").distinct()
-    edges = materialize(pairs, "edges-0", folder)
+def settle(edges: DataFrame, name: str, folder: str) -> DataFrame:
+    """Edges (u > v) after steps of both kinds until nothing changes: every node but a component's least one has a single
+    edge, to that one. Steps are written to the folder, and each is deleted after the next."""
     state = None
-    for k in range(1, 100):
-        edges = materialize(small_star(large_star(edges)), f"edges-{k}", folder)
+    for k in range(MAX_ROUNDS):
+        before, edges = edges, materialize(small_star(large_star(edges)), f"{name}-{k}", folder)
+        if k:
+            drop_table(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            break
+            return edges
         state = now
+    raise RuntimeError(f"the components are not settled after {MAX_ROUNDS} rounds")
+
+
+def nodes_of(edges: DataFrame) -> DataFrame:
+    """node and component of settled edges."""
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", folder: str | None = None) -> DataFrame:
+    """node and component (the component's least node) for every node that has a link to another one.
+
+    Links may repeat and may point either way; a null end makes no link."""
+    folder = folder or shared_dir(links.sparkSession)
+    return nodes_of(settle(materialize(as_edges(links, a, b), "edges", folder), "edges", folder))
