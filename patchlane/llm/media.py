@@ -146,7 +146,7 @@ class MediaArchiveReader(DataSourceReader):
         base, parts = self.path.rstrip("/"), []
         for f in sorted(files, key=lambda f: f.path):
             with system.open_input_file(f.path) as part:
-                named = pq.read_table(part, columns=["archive", "bytes"]).to_pylist()
+                named = pq.read_table(part, columns=["archive", "bytes"], use_threads=False).to_pylist()
             parts += [ByteRange(f"{base}/{r['archive']}", a, min(a + self.range_bytes, r["bytes"])) for r in named for a in range(0, r["bytes"], self.range_bytes)]
         return parts or [ByteRange("", 0, 0)]
 
