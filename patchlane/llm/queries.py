@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, language, line_crf, line_dedup, media, packing, quality_rules, spelling, sstable, wordbpe
+from . import dialogue, host_reputation, html_text, jaccard, language, line_crf, line_dedup, media, packing, quality_rules, spelling, sstable, wordbpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,14 +69,24 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, carry=["doc_id", "held_out"])
 
 
+def op11_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are those of the row with the page's number."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return host_reputation.judge(pages, labels, host_reputation.RULES).withColumn("good_bound", F.round("good_bound", 6))
+
+
 def op12_pivotal_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.runs(table(spark, sf_dir, "documents"), min_chars=6)
     return spelling.variants(spelling.vocabulary(spelling.drop_some(found, every=199), min_chars=6, min_count=5))
 
 
+def op13_persistent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.audit(dialogue.damage(table(spark, sf_dir, "conversations")), dropped="dropped")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_crf_quality, op2_block_rules_html, op3_media_archives, op4_ngram_jaccard_join, op5_distribution_divergence, op6_distinct_site_lines, op7_word_table_bpe, op8_sorted_string_table, op9_retrieval_packing, op10_language_mixture, op12_pivotal_spelling)}
+    return {f.__name__: f for f in (op1_line_crf_quality, op2_block_rules_html, op3_media_archives, op4_ngram_jaccard_join, op5_distribution_divergence, op6_distinct_site_lines, op7_word_table_bpe, op8_sorted_string_table, op9_retrieval_packing, op10_language_mixture, op11_host_reputation, op12_pivotal_spelling, op13_persistent_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_distinct_site_lines": line_dedup.SQL, "op12_pivotal_spelling": spelling.SQL}
+    return {"op6_distinct_site_lines": line_dedup.SQL, "op11_host_reputation": host_reputation.SQL, "op12_pivotal_spelling": spelling.SQL, "op13_persistent_audit": dialogue.SQL}
