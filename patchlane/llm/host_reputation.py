@@ -2,7 +2,9 @@
 
 A page with a label has an outcome, good or bad. The good share of a suffix is shrunk toward that of all pages, a registered
 domain's toward its suffix's, a host's toward its domain's: the parent's share is the mean of a beta prior, whose strength
-is fitted at each level by the method of moments (how much more the children's counts scatter than binomial ones would).
+is fitted at each level by the method of moments (how much more the children's counts scatter than binomial ones would), but
+is no more than the parent's outcomes and two, so that few labels judge nobody. A child's own outcomes are taken out of its
+parent's, so that none counts twice.
 A host is blocked if even the upper bound of its good share's posterior (mean and `z` deviations) is below `least_good`; a
 host without labelled pages has its domain's prior alone. Rules go before: of those that fit a url the longest one decides.
 
@@ -27,8 +29,9 @@ from .spelling import LOWER, UPPER
 
 #: Public suffixes of two labels; all others are taken to have one.
 DOUBLE_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "or.jp", "org.au", "org.uk")
-#: The scatter between children (the beta-binomial's correlation): bounds, and what is taken where no child has two outcomes.
-LEAST_SCATTER, MOST_SCATTER, UNKNOWN_SCATTER = 1e-4, 0.999, 1 / 3
+#: The scatter between children (the beta-binomial correlation): bounds (a prior is worth two outcomes at least), and what is
+#: taken where no child has two outcomes.
+LEAST_SCATTER, MOST_SCATTER, UNKNOWN_SCATTER = 1e-4, 1 / 3, 1 / 3
 Z, LEAST_GOOD = 1.645, 0.5
 
 
@@ -112,17 +115,23 @@ def reputations(hosts: DataFrame, z: float = Z) -> DataFrame:
     domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.count("*").alias("hosts")), "domains", folder)
     suffixes = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.count("*").alias("domains")), "suffixes", folder)
     n, good = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    top = suffixes.withColumn("parent", F.lit((good + 1) / (n + 2)))
 
-    def shrunk(children: DataFrame) -> Column:
-        s = strength(children, "parent")
-        return (s * F.col("parent") + F.col("good")) / (s + F.col("n"))
+    def prior(children: DataFrame) -> DataFrame:
+        """The parent's share and outcomes without the child's own."""
+        return children.withColumns({"parent": (F.col("above_good") - F.col("good")) / (F.col("above_n") - F.col("n")), "outcomes": F.col("above_outcomes") - F.col("n")}).drop("above_good", "above_n", "above_outcomes")
 
-    share = top.withColumn("parent", shrunk(top)).select("suffix", "domains", "parent")
-    below = with_facts(domains, share, "suffix", "domains", F.xxhash64("domain"))
-    share = below.withColumn("parent", shrunk(below)).select("domain", "hosts", "parent")
-    own = materialize(with_facts(hosts, share, "domain", "hosts", F.xxhash64("host")), "hosts-by-domain", folder)
-    s = strength(own, "parent")
+    def worth(children: DataFrame) -> Column:
+        return F.least(F.lit(strength(children, "parent")), F.col("outcomes") + 2.0)
+
+    def shrunk(children: DataFrame, key: str, size: str) -> DataFrame:
+        s = worth(children)
+        return children.select(key, size, (s * F.col("parent") + F.col("good")).alias("above_good"), (s + F.col("n")).alias("above_n"), F.col("n").alias("above_outcomes"))
+
+    top = prior(suffixes.withColumns({"above_good": F.lit(good + 1.0), "above_n": F.lit(n + 2.0), "above_outcomes": F.lit(n)}))
+    below = prior(with_facts(domains, shrunk(top, "suffix", "domains"), "suffix", "domains", F.xxhash64("domain")))
+    own = prior(with_facts(hosts, shrunk(below, "domain", "hosts"), "domain", "hosts", F.xxhash64("host")))
+    own = materialize(own, "hosts-by-domain", folder)
+    s = worth(own)
     a, b = s * F.col("parent") + F.col("good"), s * (1 - F.col("parent")) + F.col("n") - F.col("good")
     bound = a / (a + b) + z * F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))
     return own.select("host", "pages", "n", "good", bound.alias("good_bound"))
@@ -143,8 +152,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
 
 def _sql(rules: Sequence[tuple[str, str, str]]) -> str:
     level = lambda name, rows, key: f"""{name}_prior as (
-  select (1 - r) / r as s from (select least(greatest(coalesce(sum(pow(good - n * parent, 2) - n * parent * (1 - parent)) / nullif(sum(n * (n - 1) * parent * (1 - parent)), 0), {UNKNOWN_SCATTER!r}::double), {LEAST_SCATTER}::double), {MOST_SCATTER}::double) as r from {rows})
-), {name} as (select {key}, (s * parent + good) / (s + n) as share from {rows}, {name}_prior)"""
+  select (1 - r) / r as s from (select least(greatest(coalesce(sum(pow(good - n * parent, 2) - n * parent * (1 - parent)) / nullif(sum(n * (n - 1) * parent * (1 - parent)), 0), {UNKNOWN_SCATTER!r}::double), {LEAST_SCATTER}::double), {MOST_SCATTER!r}::double) as r from {rows})
+), {name}_worth as (select c.*, least(s, outcomes + 2) as worth from {rows} c, {name}_prior
+), {name} as (select {key}, worth * parent + good as above_good, worth + n as above_n, n as above_outcomes from {name}_worth)"""
+    without = "(above_good - good) / (above_n - n) as parent, above_outcomes - n as outcomes"
     digits = "regexp_matches(bare, '^[0-9.]+$|^\\[')"
     double = f"array_to_string(labels[-2:], '.') in ({', '.join(repr(s) for s in DOUBLE_SUFFIXES)})"
     tail = lambda n: f"array_to_string(labels[-{n}:], '.')"
@@ -160,13 +171,14 @@ with parsed as (
 ), hosts as (
   select host, n, good, case when {digits} then bare when {double} then {tail(3)} else {tail(2)} end as domain, case when {digits} then '' when {double} then {tail(2)} else {tail(1)} end as suffix from labelled
 ), domains as (select domain, suffix, sum(n) as n, sum(good) as good from hosts group by all
-), suffixes as (select suffix, sum(n) as n, sum(good) as good, (select (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) from hosts)::double as parent from domains group by suffix
+), whole as (select coalesce(sum(good), 0) + 1.0::double as above_good, coalesce(sum(n), 0) + 2.0::double as above_n, coalesce(sum(n), 0) as above_outcomes from hosts
+), suffixes as (select c.*, {without} from (select suffix, sum(n) as n, sum(good) as good from domains group by suffix) c, whole
 ), {level("by_suffix", "suffixes", "suffix")},
-below as (select d.*, share as parent from domains d join by_suffix using (suffix)),
+below as (select c.*, {without} from domains c join by_suffix using (suffix)),
 {level("by_domain", "below", "domain")},
-own as (select h.*, share as parent from hosts h join by_domain using (domain)),
+own as (select c.*, {without} from hosts c join by_domain using (domain)),
 {level("by_host", "own", "host")},
-beta as (select host, n, good, s * parent + good as a, s * (1 - parent) + n - good as b from own, by_host_prior),
+beta as (select host, n, good, worth * parent + good as a, worth * (1 - parent) + n - good as b from by_host_worth),
 bounds as (select host, n, good, a / (a + b) + {Z} * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) as good_bound from beta),
 rules(rule_host, rule_path, ruled) as (values {', '.join(repr(r) for r in rules)}),
 fits as (
