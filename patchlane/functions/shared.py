@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; a local one only where that is unset in local mode."""
+    """A new name below spark.checkpoint.dir; a local one only where that is unset in local mode. Its folder goes when the
+    application's JVM ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.gettempdir() + "/patchlane-shared"
-    return f"{base.rstrip('/')}/patchlane-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/patchlane-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/table"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -24,3 +30,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that stored wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,8 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.graphs import roots
 from ..functions.mathx import hash_draw
+from ..functions.shared import stored
 
+#: Sides of the tiles that grids are cut into; a grid within one is a group of its own.
+TILE = 1024
 VIEW_SETS = {"none": (0.0,), "rot4": (0.0, 90.0, 180.0, 270.0), "rot8": tuple(45.0 * k for k in range(8)), "rot16": tuple(22.5 * k for k in range(16)), "small": (0.0, 15.0, -15.0, 30.0, -30.0)}
 
 
@@ -130,33 +134,57 @@ def kernel(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def gaussian_smooth(cells: DataFrame, sigma: float, height: int, width: int, keys: Sequence[str] = ("image_id",), value: str = "value", border: str = "reflect") -> DataFrame:
-    """Separable Gaussian smoothing of dense grids; sigma 0 changes nothing."""
+def axis_weights(lo: int, hi: int, n: int, w: Sequence[float], border: str) -> tuple[int, np.ndarray]:
+    """Weights of the source places for the places lo .. hi - 1 of an axis of n places, and the first of those sources: a
+    kernel's reach around them, cut at the grid's edges, where the border folds what is outside back into it."""
+    radius = len(w) // 2
+    first, last = max(lo - radius, 0), min(hi + radius, n)
+    period = 2 * n if border == "reflect" else max(2 * n - 2, 1)
+    fold = {"nearest": lambda i: min(max(i, 0), n - 1), "reflect": lambda i: min(i % period, period - 1 - i % period), "reflect101": lambda i: min(i % period, period - i % period)}[border]
+    out = np.zeros((hi - lo, last - first))
+    for i in range(lo, hi):
+        for k, weight in enumerate(w):
+            out[i - lo, fold(i + k - radius) - first] += weight
+    return first, out
+
+
+def gaussian_smooth(cells: DataFrame, sigma: float, height: int, width: int, keys: Sequence[str] = ("image_id",), value: str = "value", border: str = "reflect", tile: int = TILE) -> DataFrame:
+    """Separable Gaussian smoothing of dense grids; sigma 0 changes nothing.
+
+    A grid within a tile is one group. A larger one is cut into tiles, and cells go to every tile that the kernel reaches
+    them from, so a group is a tile and its halo, whatever the grid's size."""
     if sigma == 0:
         return cells
     w = kernel(sigma)
     radius = len(w) // 2
-    flat = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).cast("double").alias("v")))), lambda c: c["v"])
-    images = cells.groupBy(*keys).agg(flat.alias("__v"))
+    if max(height, width) > tile and radius >= tile:
+        raise ValueError(f"a kernel of radius {radius} does not fit tiles of {tile}")
+    rows = cells.select(*keys, "y", "x", F.col(value).cast("double").alias("v"))
+    for c, n in (("y", height), ("x", width)):
+        reached = F.sequence(F.expr(f"cast(greatest({c} - {radius}, 0) div {tile} as int)"), F.expr(f"cast(least({c} + {radius}, {n - 1}) div {tile} as int)"))
+        rows = rows.withColumn(f"__t{c}", F.explode(reached) if n > tile else F.lit(0))
+    flat = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda c: c["v"])
+    tiles = rows.groupBy(*keys, "__ty", "__tx").agg(flat.alias("__v"))
 
-    def matrix(n: int) -> np.ndarray:  # weight of each source place for each place of an axis
-        period = 2 * n if border == "reflect" else max(2 * n - 2, 1)
-        fold = {"nearest": lambda i: min(max(i, 0), n - 1), "reflect": lambda i: min(i % period, period - 1 - i % period), "reflect101": lambda i: min(i % period, period - i % period)}[border]
-        out = np.zeros((n, n))
-        for i in range(n):
-            for k, weight in enumerate(w):
-                out[i, fold(i + k - radius)] += weight
-        return out
+    @F.pandas_udf("array<double>")
+    def both(values: pd.Series, ty: pd.Series, tx: pd.Series) -> pd.Series:
+        known: dict = {}
 
-    down, across = matrix(height), matrix(width).T
+        def weights(t: int, n: int) -> np.ndarray:
+            if (t, n) not in known:
+                known[t, n] = axis_weights(t * tile, min((t + 1) * tile, n), n, w, border)[1]
+            return known[t, n]
 
-    @F.pandas_udf("array<double>")
-    def both(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: (down @ np.asarray(v, float).reshape(height, width) @ across).ravel())
+        made = []
+        for v, i, j in zip(values, ty, tx, strict=True):
+            down, across = weights(i, height), weights(j, width)
+            made.append((down @ np.asarray(v, float).reshape(down.shape[1], across.shape[1]) @ across.T).ravel())
+        return pd.Series(made)
 
-    out = images.withColumn("__a", both("__v"))
-    place = F.posexplode("__a").alias("__i", value)
-    return out.select(*keys, place).select(*keys, F.expr(f"cast(__i div {width} as int)").alias("y"), (F.col("__i") % width).alias("x"), value)
+    out = tiles.select(*keys, "__ty", "__tx", both("__v", "__ty", "__tx").alias("__a"))
+    side = F.least(F.lit(tile), F.lit(width) - F.col("__tx") * tile)
+    placed = out.select(*keys, "__ty", "__tx", side.alias("__w"), F.posexplode("__a").alias("__i", value))
+    return placed.select(*keys, (F.expr("cast(__i div __w as int)") + F.col("__ty") * tile).alias("y"), (F.col("__i") % F.col("__w") + F.col("__tx") * tile).alias("x"), value)
 
 
 def upsample(cells: DataFrame, height: int, width: int, new_height: int, new_width: int, align: str = "corner", keys: Sequence[str] = ("image_id",), value: str = "value") -> DataFrame:
@@ -231,37 +259,71 @@ def dilate_cross(mask: DataFrame, iterations: int, height: int, width: int) -> D
     return _moved(mask, offsets, height, width).distinct()
 
 
-def connected_components(mask: DataFrame, connectivity: int = 4) -> DataFrame:
-    """image_id, y, x and region_id (the region's first cell in row order, as y * 65536 + x) of set cells.
-
-    A group is one image's mask, bounded by the image's size; images spread over the cluster."""
+def label_cells(pdf: pd.DataFrame, connectivity: int) -> pd.DataFrame:
+    """The set cells of one image or tile with their region's first cell in row order, as y * 65536 + x."""
     steps = [(0, -1), (-1, 0)] + ([(-1, -1), (-1, 1)] if connectivity == 8 else [])
+    y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
+    order = np.lexsort((x, y))
+    y, x = y[order], x[order]
+    place = y * 65536 + x
+    root = np.arange(len(place))
+    edges = []
+    for dy, dx in steps:
+        at = np.searchsorted(place, place + dy * 65536 + dx)
+        at = np.minimum(at, len(place) - 1)
+        hit = np.flatnonzero((place[at] == place + dy * 65536 + dx) & (x + dx >= 0))
+        edges.append(np.stack([hit, at[hit]]))
+    a, b = np.concatenate(edges, axis=1)
+    while True:  # least label over edges, with pointer jumping
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        np.minimum.at(least, b, root[a])
+        np.minimum.at(least, root, least)
+        least = least[least]
+        if np.array_equal(least, root):
+            break
+        root = least
+    return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": y, "x": x, "region_id": place[root]})
+
+
+REGIONS = "image_id long, y int, x int, region_id long"
+
+
+def connected_components(mask: DataFrame, connectivity: int = 4, height: int | None = None, width: int | None = None, tile: int = TILE) -> DataFrame:
+    """image_id, y, x and region_id (the region's first cell in row order, as y * 65536 + x) of set cells.
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
-        order = np.lexsort((x, y))
-        y, x = y[order], x[order]
-        place = y * 65536 + x
-        root = np.arange(len(place))
-        edges = []
-        for dy, dx in steps:
-            at = np.searchsorted(place, place + dy * 65536 + dx)
-            at = np.minimum(at, len(place) - 1)
-            hit = np.flatnonzero((place[at] == place + dy * 65536 + dx) & (x + dx >= 0))
-            edges.append(np.stack([hit, at[hit]]))
-        a, b = np.concatenate(edges, axis=1)
-        while True:  # least label over edges, with pointer jumping
-            least = root.copy()
-            np.minimum.at(least, a, root[b])
-            np.minimum.at(least, b, root[a])
-            np.minimum.at(least, root, least)
-            least = least[least]
-            if np.array_equal(least, root):
-                break
-            root = least
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": y, "x": x, "region_id": place[root]})
-
-    return mask.select("image_id", "y", "x").groupBy("image_id").applyInPandas(label, "image_id long, y int, x int, region_id long")
+    Grids within a tile are a group each. Others are cut into tiles, which are labelled alone; cells that touch
+    over a seam link their tiles' labels, and the links' components rename these. No group is larger than a tile."""
+    cells = mask.select("image_id", "y", "x")
+    if height is None or width is None:
+        height, width = (n + 1 for n in cells.agg(F.coalesce(F.max("y"), F.lit(0)), F.coalesce(F.max("x"), F.lit(0))).first())
+    if max(height, width) <= tile:
+        return cells.groupBy("image_id").applyInPandas(lambda pdf: label_cells(pdf, connectivity), REGIONS)
+    labelled = stored(tile_labels(cells, connectivity, tile))
+    merged = roots(seam_links(labelled, connectivity, tile), ["image_id"]).select("image_id", F.col("node").alias("region_id"), "root")
+    return labelled.join(merged, ["image_id", "region_id"], "left").select("image_id", "y", "x", F.coalesce("root", "region_id").alias("region_id"))
+
+
+def tile_of(column: str, tile: int) -> Column:
+    return F.expr(f"cast({column} div {tile} as int)")
+
+
+def tile_labels(cells: DataFrame, connectivity: int, tile: int) -> DataFrame:
+    """Regions of each tile alone."""
+    return cells.groupBy("image_id", tile_of("y", tile), tile_of("x", tile)).applyInPandas(lambda pdf: label_cells(pdf, connectivity), REGIONS)
+
+
+def seam_links(labelled: DataFrame, connectivity: int, tile: int) -> DataFrame:
+    """image_id, a, b: labels of neighbouring cells of different tiles. Only cells beside a seam are looked at."""
+    first, last = (lambda c, k=k: F.col(c) % tile == k for k in (0, tile - 1))
+    border = labelled.where(first("y") | first("x") | last("y") | last("x"))
+    crossing = {(0, -1): first("x"), (-1, 0): first("y")}
+    if connectivity == 8:
+        crossing |= {(-1, -1): first("y") | first("x"), (-1, 1): first("y") | last("x")}
+    steps = F.array(*[F.when(c, F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))) for (dy, dx), c in crossing.items()])
+    asked = border.select("image_id", "y", "x", F.col("region_id").alias("a"), F.explode(steps).alias("s")).where("s is not null")
+    asked = asked.select("image_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "a")
+    return asked.join(border.withColumnRenamed("region_id", "b"), ["image_id", "y", "x"]).where("a != b").select("image_id", "a", "b").distinct()
 
 
 def region_stats(regions: DataFrame, height: int, width: int, band: int = 1) -> DataFrame:

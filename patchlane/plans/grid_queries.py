@@ -175,7 +175,7 @@ def _(spark, sf_dir):
 
 @query("grd13_components_4", "with recursive " + fx.CELLS + "," + regions_sql("mask1") + "select image_id, y, x, region_id::bigint as region_id from regions")
 def _(spark, sf_dir):
-    return grd.connected_components(masks(spark, sf_dir), 4)
+    return grd.connected_components(masks(spark, sf_dir), 4, H, W)
 
 
 @query(
@@ -183,7 +183,7 @@ def _(spark, sf_dir):
     "with recursive " + fx.CELLS + "," + regions_sql("mask1", "abs(m.y - r.y) <= 1 and abs(m.x - r.x) <= 1") + "select image_id, region_id::bigint as region_id, count(*) as area, max((y < 1 or x < 1 or y >= 49 or x >= 10)::int) = 1 as edge from regions group by all",
 )
 def _(spark, sf_dir):
-    return grd.region_stats(grd.connected_components(masks(spark, sf_dir), 8), H, W)
+    return grd.region_stats(grd.connected_components(masks(spark, sf_dir), 8, H, W), H, W)
 
 
 @query("grd15_foreground_mask")

@@ -26,7 +26,7 @@ def cells(spark, sf_dir):
 
 
 def regions(frame, mask="mask"):
-    return grd.connected_components(grd.masks_of(frame, mask)).withColumn("k", F.col("image_id") % 2)
+    return grd.connected_components(grd.masks_of(frame, mask), 4, fx.GRID_H, fx.GRID_W).withColumn("k", F.col("image_id") % 2)
 
 
 def curve_sql(source: str, key: str, label: str = "label", score: str = "score") -> str:
@@ -305,7 +305,7 @@ def _(spark, sf_dir):
     from ..operators import stats as sta
 
     c = fx.cells(spark, sf_dir)
-    found = grd.connected_components(grd.masks_of(c, "mask1"))
+    found = grd.connected_components(grd.masks_of(c, "mask1"), 4, fx.GRID_H, fx.GRID_W)
     values = found.join(c, ["image_id", "y", "x"]).groupBy("image_id", "region_id").agg(F.count("*").cast("double").alias("area"), (F.avg("value") - F.avg("value_b")).alias("gain"))
     made = sta.region_size_gain(values.withColumn("dataset", F.col("image_id") % 11))
     return rounded(made, "gain", places=4)
