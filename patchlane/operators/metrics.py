@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import percentiles
 from ..functions.shared import stored
 
 BINS = 1 << 16
@@ -190,7 +191,7 @@ def ap_by_kind(df: DataFrame, kinds: Sequence[str]) -> DataFrame:
 def region_overlap(cells: DataFrame, regions: DataFrame, fprs: Sequence[float] = (0.05, 0.01), keys: Sequence[str] = ("dataset",), stride: int = 4, mask: str = "mask", score: str = "value") -> DataFrame:
     """Share of each region's pixels strictly above the (1 - fpr) quantile of the normal pixels of a stride grid."""
     normal = cells.where((F.col("y") % stride == 0) & (F.col("x") % stride == 0) & ~F.col(mask))
-    thresholds = normal.groupBy(*keys).agg(F.percentile(score, [1 - f for f in fprs]).alias("t"))
+    thresholds = percentiles(normal, keys, score, [1 - f for f in fprs], "t")
     pairs = thresholds.select(*keys, F.explode(F.arrays_zip(F.array(*map(F.lit, fprs)).alias("fpr"), F.col("t").alias("thr"))).alias("p")).select(*keys, "p.*")
     pixels = cells.join(regions.select("image_id", "y", "x", "region_id"), ["image_id", "y", "x"])
     above = pixels.join(pairs, list(keys)).groupBy(*keys, "image_id", "region_id", "fpr").agg(F.avg((F.col(score) > F.col("thr")).cast("double")).alias("overlap"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathx import hash_draw
+from ..functions.quantiles import percentiles
 from ..functions.shared import stored
 
 RIDGE = 1e-2
@@ -373,7 +374,7 @@ def loo_choice(maps: DataFrame, keys: tuple[str, ...] = ("dataset",), value: str
 
     maps: keys, views ('rot8' or 'none'), fold, held_out, value. A cell is flagged above the 95th percentile of the fold's
     other references."""
-    limit = maps.where(~F.col("held_out")).groupBy(*keys, "views", "fold").agg(F.percentile(value, 0.95).alias("t"))
+    limit = percentiles(maps.where(~F.col("held_out")), [*keys, "views", "fold"], value, [0.95]).select(*keys, "views", "fold", F.get("percentiles", 0).alias("t"))
     rate = maps.where("held_out").join(limit, [*keys, "views", "fold"]).groupBy(*keys, "views", "fold").agg(F.avg((F.col(value) > F.col("t")).cast("double")).alias("r"))
     wide = rate.groupBy(*keys).agg(F.avg(F.when(F.col("views") == "none", F.col("r"))).alias("fpr_none"), F.avg(F.when(F.col("views") == "rot8", F.col("r"))).alias("fpr_rot8"))
     return wide.withColumn("choice", F.when(F.col("fpr_rot8") < F.col("fpr_none"), "rot8").otherwise("none"))

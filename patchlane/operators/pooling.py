@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import percentiles
+
 
 def pool(cells: DataFrame, how: str = "p95", keys: Sequence[str] = ("image_id",), value: str = "value") -> DataFrame:
     """One score for each key: pN (interpolating percentile), mean, max, or top1pct (mean of the largest 1 %, at least one)."""
@@ -40,8 +42,10 @@ def z_fusion(cells: DataFrame, references: DataFrame, value: str = "value") -> D
 
 
 def normalize_maps(cells: DataFrame, keys: Sequence[str] = ("method",), value: str = "value") -> DataFrame:
-    """Maps over the 99th percentile of the normal images' pixels of the same key, clipped to 0 .. 2."""
-    scale = cells.where("label = 0").groupBy(*keys).agg(F.percentile(value, 0.99).alias("__p"))
+    """Maps over the 99th percentile of the normal images' pixels of the same key, clipped to 0 .. 2.
+
+    A key may hold any number of pixels, so its percentile is selected, not gathered."""
+    scale = percentiles(cells.where("label = 0"), keys, value, [0.99]).select(*keys, F.get("percentiles", 0).alias("__p"))
     return cells.join(scale, list(keys)).withColumn(value, F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.col(value) / F.col("__p")))).drop("__p")
 
 
