@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathx import chi2_tail_score, logsumexp
+from ..functions.shared import stored
 from .models import Mixture
 
-#: A bank of more bytes is not broadcast but dealt in blocks.
+#: A bank of more bytes is not broadcast but cut into cells.
 BROADCAST_BYTES = 200 << 20
 
 
@@ -114,42 +115,126 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def knn(queries: DataFrame, bank: DataFrame, row_id: str, cosine: bool = True, vec: str = "vec", tile_rows: int = 20_000) -> DataFrame:
-    """Distance of each query row to its nearest bank row: 1 - cosine, or Euclidean. Exact.
+def least_distance(q: np.ndarray, b: np.ndarray, cosine: bool) -> np.ndarray:
+    """Distance of each row of q to its nearest row of b: 1 - cosine, or Euclidean."""
+    if cosine:
+        q, b = unit(q), unit(b)
+    best = np.full(len(q), np.inf)
+    for i in range(0, len(b), 2048):
+        part = b[i : i + 2048]
+        best = np.minimum(best, (1 - q @ part.T if cosine else (q**2).sum(1)[:, None] - 2 * q @ part.T + (part**2).sum(1)).min(1))
+    return best if cosine else np.sqrt(np.maximum(best, 0))
 
-    A bank within BROADCAST_BYTES is broadcast. For a larger one both sides are dealt into tiles of about tile_rows rows,
-    every query tile meets every bank tile, and the least distance of a query remains, combined before the shuffle."""
-    spark = queries.sparkSession
-    size, rows = bank.select(F.size(vec).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
 
-    def nearest(q: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if cosine:
-            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            q, b = unit(q), unit(b)
-        best = np.full(len(q), np.inf)
-        for i in range(0, len(b), 2048):
-            part = b[i : i + 2048]
-            best = np.minimum(best, (1 - q @ part.T if cosine else (q**2).sum(1)[:, None] - 2 * q @ part.T + (part**2).sum(1)).min(1))
-        return best if cosine else np.sqrt(np.maximum(best, 0))
+def unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
 
+def knn(queries: DataFrame, bank: DataFrame, row_id: str, cosine: bool = True, vec: str = "vec", tile_rows: int = 20_000) -> DataFrame:
+    """Distance of each query row to its nearest bank row: 1 - cosine, or Euclidean. Exact; row_id names a query row.
+
+    A bank within BROADCAST_BYTES is broadcast; a larger one is cut into the cells of pivots (see PivotBank)."""
+    size, rows = bank.select(F.size(vec).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if size * 8 <= BROADCAST_BYTES:
         table = bank.select(F.col(vec).cast("array<double>").alias("v")).toArrow()
-        shared = spark.sparkContext.broadcast(_matrix(table.column("v")))
-        return _batches(queries, "distance", lambda pdf: nearest(np.stack(pdf[vec].to_numpy()).astype(float), shared.value))
-    tiles, asked = (max(1, -(-n // tile_rows)) for n in (rows, queries.count()))
-    dealt = bank.select(F.col(vec).cast("array<double>").alias("b")).distinct().withColumn("block", F.pmod(F.xxhash64("b"), F.lit(tiles)))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    sent = queries.select(row_id, F.col(vec).cast("array<double>").alias("q"), F.pmod(F.xxhash64(row_id), F.lit(asked)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("block"))
-
-    def meet(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({row_id: [], "distance": []})
-        return pd.DataFrame({row_id: left[row_id], "distance": nearest(np.stack(left["q"].to_numpy()), np.stack(right["b"].to_numpy()))})
-
-    # A stated query set against all bank rows, in blocks.
-    kind = queries.schema[row_id].dataType.simpleString()
-    met = sent.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInPandas(meet, f"{row_id} {kind}, distance double")
-    return queries.join(met.groupBy(row_id).agg(F.min("distance").alias("distance")), row_id)
+        shared = queries.sparkSession.sparkContext.broadcast(_matrix(table.column("v")))
+        return _batches(queries, "distance", lambda pdf: least_distance(np.stack(pdf[vec].to_numpy()).astype(float), shared.value, cosine))
+    return PivotBank(bank, rows, cosine, vec, tile_rows).nearest(queries, row_id, vec)
+
+
+def gaps(x: np.ndarray, pivots: np.ndarray, cosine: bool) -> np.ndarray:
+    """Euclidean distance of each row (made a unit vector for cosines) to each pivot."""
+    x = unit(x) if cosine else x
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1), 0))
+
+
+class PivotBank:
+    """A bank dealt to its nearest pivots, so that most of it is ruled out for a query by the triangle inequality.
+
+    Pivots are bank rows drawn by hash, two for each tile_rows rows and MOST at most; they are broadcast (MOST rows of D
+    numbers). A cell is what is nearest to one pivot; the least and largest distance to it bound the cell: no row of it is
+    nearer to a query at distance t than t - largest or least - t. A query looks at its own pivot's cell first, and then at
+    those cells only whose bound is below what it found there. Cells of many rows or queries are met in parts of about
+    tile_rows each; equal bank rows are one. Cosines are those of unit vectors, whose Euclidean distances bound them."""
+
+    MOST = 1024
+
+    def __init__(self, bank: DataFrame, rows: int, cosine: bool = True, vec: str = "vec", tile_rows: int = 20_000):
+        self.cosine, self.tile_rows, self.spark = cosine, tile_rows, bank.sparkSession
+        own = bank.select(F.col(vec).cast("array<double>").alias("b")).distinct()
+        wanted = min(self.MOST, max(2, -(-2 * rows // tile_rows)))
+        drawn = own.orderBy(F.xxhash64("b"), "b").limit(wanted).toArrow()  # MOST rows at most
+        pivots = _matrix(drawn.column("b"))
+        self.pivots = unit(pivots) if cosine else pivots
+        shared = self.spark.sparkContext.broadcast(self.pivots)
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                d = gaps(np.stack(pdf["b"].to_numpy()), shared.value, cosine)
+                pdf["cell"], pdf["gap"] = d.argmin(1), d.min(1)
+                yield pdf
+
+        self.cells = stored(own.mapInPandas(assign, "b array<double>, cell int, gap double"))
+        n = len(self.pivots)
+        self.least, self.most, self.held = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n, np.int64)
+        for r in self.cells.groupBy("cell").agg(F.min("gap").alias("a"), F.max("gap").alias("z"), F.count("*").alias("n")).collect():  # a row a pivot
+            self.least[r["cell"]], self.most[r["cell"]], self.held[r["cell"]] = r["a"], r["z"], r["n"]
+
+    def visits(self, queries: DataFrame, row_id: str, vec: str = "q", bound: str | None = None) -> DataFrame:
+        """row_id, q and cell of what a query looks at: without bound its own cell, with it (a distance that the query has
+        found) all other cells that may hold a nearer row."""
+        shared = self.spark.sparkContext.broadcast((self.pivots, self.least, self.most, self.held))
+        cosine = self.cosine
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pivots, least, most, held = shared.value
+            for pdf in batches:
+                for i in range(0, len(pdf), 4096):
+                    part = pdf.iloc[i : i + 4096]
+                    d = gaps(np.stack(part[vec].to_numpy()), pivots, cosine)
+                    own = np.where(held > 0, d, np.inf).argmin(1)
+                    if bound is None:
+                        at, cell = np.arange(len(part)), own
+                    else:
+                        u = part[bound].to_numpy(float)
+                        u = np.sqrt(np.maximum(2 * u, 0)) if cosine else u
+                        slack = 1e-6 * (1 + u)  # of the distances' own rounding
+                        near = (np.maximum(d - most, least - d) < (u + slack)[:, None]) & (held > 0)
+                        near[np.arange(len(part)), own] = False
+                        at, cell = np.nonzero(near)
+                    yield pd.DataFrame({row_id: part[row_id].to_numpy()[at], "q": part[vec].to_numpy()[at], "cell": cell.astype(np.int32)})
+
+        kind = queries.schema[row_id].dataType.simpleString()
+        return queries.mapInPandas(run, f"`{row_id}` {kind}, q array<double>, cell int")
+
+    def meet(self, sent: DataFrame, row_id: str) -> DataFrame:
+        """row_id and distance of the nearest of what is looked at."""
+        cosine, kind = self.cosine, sent.schema[row_id].dataType.simpleString()
+        sent = stored(sent)
+        asked = np.zeros(len(self.held), np.int64)
+        for r in sent.groupBy("cell").count().collect():  # a row a pivot
+            asked[r["cell"]] = r["count"]
+        tiles, parts = (F.array(*[F.lit(int(max(1, -(-n // self.tile_rows)))) for n in counts]) for counts in (self.held, asked))
+        bank = self.cells.where(F.get(F.array(*[F.lit(bool(n)) for n in asked]), F.col("cell")))
+        bank = bank.select("cell", "b", F.pmod(F.xxhash64("b"), F.get(tiles, F.col("cell"))).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1)).alias("part"))
+        sent = sent.select(row_id, "q", "cell", F.pmod(F.xxhash64(row_id), F.get(parts, F.col("cell"))).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.get(tiles, F.col("cell")) - 1)).alias("tile"))
+
+        def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({row_id: [], "distance": []})
+            return pd.DataFrame({row_id: left[row_id], "distance": least_distance(np.stack(left["q"].to_numpy()), np.stack(right["b"].to_numpy()), cosine)})
+
+        groups = ("cell", "tile", "part")
+        met = sent.groupBy(*groups).cogroup(bank.groupBy(*groups)).applyInPandas(lambda a, b: one(a, b), f"`{row_id}` {kind}, distance double")
+        return met.groupBy(row_id).agg(F.min("distance").alias("distance"))
+
+    def nearest(self, queries: DataFrame, row_id: str, vec: str = "vec") -> DataFrame:
+        """queries with the distance to their nearest bank row."""
+        own = queries.select(row_id, F.col(vec).cast("array<double>").alias("q"))
+        first = stored(self.meet(self.visits(own, row_id), row_id))
+        second = self.meet(self.visits(own.join(first, row_id), row_id, bound="distance"), row_id)
+        least = first.unionByName(second).groupBy(row_id).agg(F.min("distance").alias("distance"))
+        return queries.join(least, row_id)
 
 
 def subspace_residual(df: DataFrame, mean: np.ndarray, comp: np.ndarray, vec: str = "vec") -> DataFrame:
