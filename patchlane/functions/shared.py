@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -38,3 +39,9 @@ def dropped(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bytes_of(table: DataFrame) -> int:
+    """Bytes of the numbers in a table's arrays, and eight a row."""
+    arrays = [F.size(f.name) for f in table.schema if f.dataType.typeName() == "array"]
+    return int(table.agg(F.coalesce(F.sum(sum(arrays, F.lit(1)) * 8), F.lit(0))).first()[0])

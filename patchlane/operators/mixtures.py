@@ -2,20 +2,24 @@
 
 A model is fitted on at most `limit` vectors of its key (a seeded draw, as cap_rows makes it), so a group never grows with
 the data; keys are spread over the cluster, and models stay a table, one row for each key and component. Nothing of it
-passes through the driver. For a single model over unbounded rows, see models.fit_mixture, which works by rounds."""
+passes through the driver, but for models that are broadcast. For keys of any number of vectors, see keyed.fit, which works by
+rounds and gives the same table."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import bytes_of, stored
 from .models import RIDGE, TINY, Mixture, cap_components, logsumexp, m_step, weighted_moments
 from .projections import cap_rows
 
+#: Models of at most so many bytes in all are broadcast.
+SMALL_BYTES = 200 << 20
 MODEL = "key string, variant string, mean array<double>, comp array<double>, evals array<double>, total double, component int, centre array<double>, cov array<double>, log_w double, fit double, rounds int, restart int"
 
 
@@ -34,13 +38,14 @@ def squared(z: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((z**2).sum(1)[:, None] - 2 * z @ c.T + (c**2).sum(1), 0)
 
 
-def lloyd(z: np.ndarray, centres: np.ndarray, iterations: int = 100) -> np.ndarray:
+def lloyd(z: np.ndarray, centres: np.ndarray, iterations: int = 100, weights: np.ndarray | None = None) -> np.ndarray:
     """Lloyd steps until the squared shift is below 1e-8; an empty cluster keeps its centre."""
+    w = np.ones(len(z)) if weights is None else weights
     for _ in range(iterations):
         label = squared(z, centres).argmin(1)
-        n = np.bincount(label, minlength=len(centres))
-        sums = np.stack([np.bincount(label, z[:, i], minlength=len(centres)) for i in range(z.shape[1])], 1)
-        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        n = np.bincount(label, w, minlength=len(centres))
+        sums = np.stack([np.bincount(label, w * z[:, i], minlength=len(centres)) for i in range(z.shape[1])], 1)
+        new = np.where(n[:, None] > 0, sums / np.where(n > 0, n, 1)[:, None], centres)
         shift = ((new - centres) ** 2).sum()
         centres = new
         if shift < 1e-8:
@@ -117,23 +122,34 @@ def fit_by_key(
     return cap_rows(rows, ["key"], limit, seed, "row_id").groupBy("key").applyInPandas(lambda pdf: fit(pdf), MODEL)
 
 
-def _dealt(rows: DataFrame, models: DataFrame, keys: Sequence[str], group_rows: int, score, out: str) -> DataFrame:
-    """rows with the double column that score(rows, model rows) gives, for groups of about group_rows rows of a key."""
+def with_models(rows: DataFrame, models: DataFrame, keys: Sequence[str], group_rows: int, each, out: str, kind: str = "double", small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """rows with the column that each(rows, model rows) gives for rows of one key; rows without a model drop out.
+
+    Models of at most small_bytes in all, by measure, are broadcast and rows stay where they are; otherwise rows are dealt by
+    key into groups of about group_rows, and their model is sent to each."""
     own = rows.withColumn("__key", F.concat_ws("|", *[F.col(c).cast("string") for c in keys]))
-    sizes = own.groupBy("__key").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("__salts"))
-    own = own.join(sizes, "__key").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), "__salts").cast("int")).drop("__salts")
-    sent = models.join(sizes, F.col("key") == F.col("__key")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts", "__key")
-    names = rows.columns
+    names, models = rows.columns, stored(models)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def made(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in [*names, out]})
-        made = left[names].copy()
-        made[out] = score(left, right)
-        return made
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*names, out]})
+        return left[names].assign(**{out: each(left, right)})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return own.groupBy("__key", "__salt").cogroup(sent.groupBy("key", "__salt")).applyInPandas(lambda left, right: run(left, right), f"{schema}, {out} double")
+    if bytes_of(models) <= small_bytes:
+        shared = rows.sparkSession.sparkContext.broadcast(dict(tuple(models.toArrow().to_pandas().groupby("key"))))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for k, left in pdf.groupby("__key", sort=False):
+                    if k in shared.value:
+                        yield made(left, shared.value[k])
+
+        return own.mapInPandas(run, f"{schema}, {out} {kind}")
+    sizes = own.groupBy("__key").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("__salts"))
+    own = own.join(sizes, "__key").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), "__salts").cast("int")).drop("__salts")
+    sent = models.join(sizes, F.col("key") == F.col("__key")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts", "__key")
+    return own.groupBy("__key", "__salt").cogroup(sent.groupBy("key", "__salt")).applyInPandas(lambda left, right: made(left, right), f"{schema}, {out} {kind}")
 
 
 def score_by_key(rows: DataFrame, models: DataFrame, keys: Sequence[str], vec: str = "vec", group_rows: int = 50_000, out: str = "distance", residual: bool = False, whiten: bool = False) -> DataFrame:
@@ -156,7 +172,7 @@ def score_by_key(rows: DataFrame, models: DataFrame, keys: Sequence[str], vec: s
             made = made + np.maximum(((x - mean) ** 2).sum(1) - (z**2).sum(1), 0) / rest
         return made
 
-    return _dealt(rows, models, keys, group_rows, score, out)
+    return with_models(rows, models, keys, group_rows, score, out)
 
 
 def nearest_by_key(rows: DataFrame, refs: DataFrame, keys: Sequence[str], row_id: str = "row_id", vec: str = "vec", limit: int = 100_000, seed: int = 0, group_rows: int = 50_000, out: str = "distance", cosine: bool = True) -> DataFrame:
@@ -174,4 +190,29 @@ def nearest_by_key(rows: DataFrame, refs: DataFrame, keys: Sequence[str], row_id
                 best[i : i + 2048] = np.minimum(best[i : i + 2048], part.min(1))
         return best if cosine else np.sqrt(best)
 
-    return _dealt(rows, cap_rows(bank, ["key"], limit, seed, "row_id"), keys, group_rows, score, out)
+    return with_models(rows, cap_rows(bank, ["key"], limit, seed, "row_id"), keys, group_rows, score, out)
+
+
+def project_by_key(rows: DataFrame, models: DataFrame, keys: Sequence[str], vec: str = "vec", group_rows: int = 50_000, out: str = "z", whiten: bool = False) -> DataFrame:
+    """rows with their vectors in the directions of their key's model (its first row's mean, comp and evals); whiten divides
+    by the deviations."""
+
+    def each(left: pd.DataFrame, right: pd.DataFrame) -> list:
+        m = right.iloc[0]
+        z = (np.stack(left[vec].to_numpy()).astype(float) - np.asarray(m["mean"])) @ np.asarray(m["comp"]).reshape(len(m["mean"]), -1)
+        return list(z / np.sqrt(np.maximum(np.asarray(m["evals"]), 1e-12)) if whiten else z)
+
+    return with_models(rows, models, keys, group_rows, each, out, "array<double>")
+
+
+def residual_by_key(rows: DataFrame, models: DataFrame, keys: Sequence[str], vec: str = "vec", group_rows: int = 50_000, out: str = "residual", relative: bool = False) -> DataFrame:
+    """rows with the squared length that their key's subspace leaves of the centred vector; relative: over the mean variance
+    of the directions outside."""
+
+    def each(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        m = right.iloc[0]
+        x, evals = np.stack(left[vec].to_numpy()).astype(float) - np.asarray(m["mean"]), np.asarray(m["evals"])
+        rest = np.maximum((x**2).sum(1) - ((x @ np.asarray(m["comp"]).reshape(x.shape[1], -1)) ** 2).sum(1), 0)
+        return rest / (max(m["total"] - evals.sum(), 1e-12) / max(x.shape[1] - len(evals), 1)) if relative else rest
+
+    return with_models(rows, models, keys, group_rows, each, out)

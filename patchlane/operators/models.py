@@ -1,7 +1,7 @@
-"""Model fitting over tables of vectors: moments, PCA, shrunk Gaussian mixtures, for many model keys in one job.
+"""Models over tables of vectors: moments, PCA and shrunk Gaussian mixtures as numpy objects, and what is a table of numbers.
 
-Rows never leave their partitions: Arrow batches give partial moments by key, centred on their own mean and merged by the
-pairwise update, so no digits are lost. Only K x d x d parameters of each model reach the driver, and go back by broadcast."""
+Fits run on executors (keyed.py, mixtures.py) and are tables there; the functions here that give dictionaries bring a few
+models to the driver for code that wants them."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mathx import hash_draw
 from ..functions.quantiles import percentiles
 from ..functions.shared import stored
 
@@ -47,41 +46,12 @@ def weighted_moments(x: np.ndarray, w: np.ndarray) -> Moments:
     return Moments(float(n), mean, (d * w[:, None]).T @ d)
 
 
-def _merge_group(pdf: pd.DataFrame) -> Moments:
-    total = None
-    for n, mean, scatter in zip(pdf["n"], pdf["mean"], pdf["scatter"], strict=True):
-        m = Moments(n, np.asarray(mean), np.asarray(scatter).reshape(len(mean), -1))
-        total = m if total is None else total.merge(m)
-    return total
-
-
-MOMENTS = "key string, part int, n double, mean array<double>, scatter array<double>, extra double"
-
-
-def _combine(partials: DataFrame) -> DataFrame:
-    """Partials of each (key, part) merged, in two levels so that no task gets all partitions' partials of a key."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _merge_group(pdf)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "part": pdf["part"].iloc[0], "n": [m.n], "mean": [m.mean], "scatter": [m.scatter.ravel()], "extra": [pdf["extra"].sum()]})
-
-    salted = partials.withColumn("salt", F.spark_partition_id() % 32)
-    half = salted.groupBy("key", "part", "salt").applyInPandas(lambda pdf: merge(pdf), MOMENTS)
-    return half.groupBy("key", "part").applyInPandas(lambda pdf: merge(pdf), MOMENTS)
-
-
 def moments(df: DataFrame, key: str, vec: str = "vec") -> dict[str, Moments]:
-    """Mean and scatter of the vectors of every key."""
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, g in pdf.groupby("key"):
-                x = np.stack(g["vec"].to_numpy()).astype(float)
-                m = weighted_moments(x, np.ones(len(x)))
-                yield pd.DataFrame({"key": [k], "part": 0, "n": m.n, "mean": [m.mean], "scatter": [m.scatter.ravel()], "extra": 0.0})
+    """Mean and scatter of the vectors of every key, on the driver: for a few keys. Tables of many: keyed.covariances."""
+    from . import keyed
 
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(vec).cast("array<double>").alias("vec"))
-    return {r["key"]: Moments(r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(len(r["mean"]), -1)) for r in _combine(rows.mapInPandas(partial, MOMENTS)).collect()}
+    made = keyed.covariances(keyed.deal(df.withColumn("row_id", F.xxhash64(vec)), [key], "row_id", vec)[0]).toArrow().to_pylist()
+    return {r["key"]: Moments(r["n"], np.array(r["mean"]), np.array(r["cov"]).reshape(len(r["mean"]), -1) * max(r["n"] - 1, 1)) for r in made}
 
 
 @dataclass
@@ -96,26 +66,23 @@ class PCA:
         return z / np.sqrt(np.maximum(self.evals, 1e-12)) if whiten else z
 
 
+def on_driver(table: DataFrame) -> dict[str, PCA]:
+    return {r["key"]: PCA(np.array(r["mean"]), np.array(r["comp"]).reshape(len(r["mean"]), -1), np.array(r["evals"]), r["total"]) for r in table.toArrow().to_pylist()}
+
+
 def fit_pca(df: DataFrame, key: str, d: int | None = None, skip: int = 0, var: float | None = None, vec: str = "vec", centre: bool = True) -> dict[str, PCA]:
-    """Leading eigenpairs of every key's covariance (or, without centring, its Gram matrix), after the first `skip`.
-
-    d takes so many; var the fewest whose cumulative share reaches it."""
-    out = {}
-    for k, m in moments(df, key, vec).items():
-        mean = m.mean if centre else np.zeros_like(m.mean)
-        matrix = m.covariance() if centre else m.scatter + m.n * np.outer(m.mean, m.mean)
-        values, vectors = np.linalg.eigh(matrix)
-        values, vectors = values[::-1], vectors[:, ::-1]
-        count = d if d is not None else len(values)
-        if var is not None:
-            count = int(np.searchsorted(np.cumsum(values) / values.sum(), var - 1e-12) + 1)
-        out[k] = PCA(mean, vectors[:, skip : skip + count], values[skip : skip + count], float(values.sum()))
-    return out
+    """Leading eigenpairs of every key's covariance (or, without centring, its Gram matrix), after the first `skip`: d of
+    them, or the fewest whose cumulative share reaches var. On the driver, for a few keys; tables of many: keyed.pca."""
+    from . import keyed
+
+    return on_driver(keyed.pca(keyed.deal(df.withColumn("row_id", F.xxhash64(vec)), [key], "row_id", vec)[0], d, skip, var, centre))
 
 
 def fit_svd(df: DataFrame, key: str, d: int, vec: str = "vec") -> dict[str, PCA]:
-    """Truncated singular value decomposition, without centring."""
-    return fit_pca(df, key, d, vec=vec, centre=False)
+    """Truncated singular value decomposition, without centring, on the driver; tables: keyed.svd."""
+    from . import keyed
+
+    return on_driver(keyed.svd(*keyed.deal(df.withColumn("row_id", F.xxhash64(vec)), [key], "row_id", vec), d))
 
 
 def project(df: DataFrame, key: str, models: Mapping[str, PCA], whiten: bool = False, vec: str = "vec", out: str = "z") -> DataFrame:
@@ -147,14 +114,21 @@ class Mixture:
     means: np.ndarray  # K x d
     covs: np.ndarray  # K x d x d
     log_w: np.ndarray
+    made: tuple | None = None
 
     def distances(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared Mahalanobis distance to every component, and the log-determinants."""
-        chol = np.linalg.cholesky(self.covs)
-        logdet = 2 * np.log(np.diagonal(chol, axis1=1, axis2=2)).sum(1)
-        d2 = np.stack([(np.linalg.solve(c, (z - m).T) ** 2).sum(0) for c, m in zip(chol, self.means, strict=True)], 1)
+        roots, logdet = self.roots()
+        d2 = np.stack([(((z - m) @ r.T) ** 2).sum(1) for r, m in zip(roots, self.means, strict=True)], 1)
         return d2, logdet
 
+    def roots(self) -> tuple[np.ndarray, np.ndarray]:
+        """The inverses of the covariances' lower factors, made once, and the log-determinants."""
+        if self.made is None:
+            chol = np.linalg.cholesky(self.covs)
+            self.made = np.linalg.inv(chol), 2 * np.log(np.diagonal(chol, axis1=1, axis2=2)).sum(1)
+        return self.made
+
     def log_joint(self, z: np.ndarray) -> np.ndarray:
         d2, logdet = self.distances(z)
         return -0.5 * (z.shape[1] * np.log(2 * np.pi) + logdet + d2) + self.log_w
@@ -193,53 +167,13 @@ def m_step(parts: list[Moments], prior: np.ndarray, kappa: float, n: float, cov:
     return Mixture(np.stack([p.mean for p in parts]), covs + ridge * np.eye(d), np.log(nk / n))
 
 
-def spread_centres(rows: DataFrame, k: int, seed: int) -> dict[str, np.ndarray]:
-    """k rows of every key by k-means++: each further one is drawn with a chance in proportion to its squared distance from
-    those drawn. A draw is a race, the least of -ln(u) / distance with u from a hash, so a job gives all keys' next row."""
-    centres: dict[str, np.ndarray] = {}
-    for j in range(k):
-        near = nearest(rows, centres) if centres else rows.withColumn("near", F.lit(1.0))
-        u = (hash_draw(F.lit(seed), F.lit(j), F.col("row_id")) + 1) / F.lit(4294967297.0)
-        race = F.struct(F.when(F.col("near") > 0, -F.log(u) / F.col("near")).otherwise(F.lit(float("inf"))), F.col("row_id"))
-        for r in near.groupBy("key").agg(F.min_by("z", race).alias("z")).collect():  # a row a key
-            z = np.array(r["z"])[None]
-            centres[r["key"]] = np.concatenate([centres[r["key"]], z]) if r["key"] in centres else z
-    return centres
-
-
 def kmeans_init(df: DataFrame, key: str, k: int, seed: int = 0, iterations: int = 100, vec: str = "z", row_id: str = "row_id") -> dict[str, np.ndarray]:
-    """Centres of every key: k-means++ rows, then Lloyd steps until the squared shift is below 1e-8; an empty cluster keeps
-    its centre. df should be persisted or a table; without rows there are no centres."""
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(row_id).alias("row_id"), F.col(vec).alias("z"))
-    centres, moving = spread_centres(rows, k, seed), None
-    for _ in range(iterations):
-        if not centres or moving == []:
-            break
-        own = rows if moving is None else rows.where(F.col("key").isin(moving))
-        means = F.array(*[F.avg(F.get("z", i)) for i in range(next(iter(centres.values())).shape[1])])
-        new = {m: centres[m].copy() for m in (centres if moving is None else moving)}
-        for r in assign(own, centres).groupBy("key", "cluster").agg(means.alias("m")).collect():
-            new[r["key"]][r["cluster"]] = r["m"]
-        moving = sorted(m for m, c in new.items() if ((c - centres[m]) ** 2).sum() >= 1e-8)  # keys at rest are read no more
-        centres |= new
-    return centres
-
-
-def nearest(rows: DataFrame, centres: Mapping[str, np.ndarray]) -> DataFrame:
-    """rows (key, z) with the squared distance to the nearest centre."""
-    shared = rows.sparkSession.sparkContext.broadcast(dict(centres))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            near = np.zeros(len(pdf))
-            for k, at in pdf.groupby("key").indices.items():
-                z = np.stack(pdf["z"].to_numpy()[at])
-                near[at] = ((z[:, None] - shared.value[k][None]) ** 2).sum(2).min(1)
-            pdf["near"] = near
-            yield pdf
+    """Centres of every key, on the driver (see keyed.kmeans); without rows there are none."""
+    from . import keyed
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{schema}, near double")
+    rows, sizes = keyed.deal(df, [key], row_id, vec)
+    made = keyed.kmeans(rows, stored(sizes.withColumn("k", F.lit(k))), seed, iterations).toArrow().to_pylist()
+    return {r["key"]: np.array(r["centres"]).reshape(-1, r["width"]) for r in made}
 
 
 def assign(rows: DataFrame, centres: Mapping[str, np.ndarray]) -> DataFrame:
@@ -251,8 +185,8 @@ def assign(rows: DataFrame, centres: Mapping[str, np.ndarray]) -> DataFrame:
             pdf["cluster"] = 0
             for k, at in pdf.groupby("key").indices.items():
                 z = np.stack(pdf["z"].to_numpy()[at])
-                d = ((z[:, None] - shared.value[k][None]) ** 2).sum(2)
-                pdf.iloc[at, pdf.columns.get_loc("cluster")] = d.argmin(1)
+                c = shared.value[k]
+                pdf.iloc[at, pdf.columns.get_loc("cluster")] = ((c**2).sum(1) - 2 * z @ c.T).argmin(1)
             yield pdf
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -262,57 +196,19 @@ def assign(rows: DataFrame, centres: Mapping[str, np.ndarray]) -> DataFrame:
 def fit_mixture(
     df: DataFrame, key: str, k: int, priors: Mapping[str, np.ndarray], kappa: float = 2000.0, max_iter: int = 30, tol: float = 1e-3, seed: int = 0, cov: str = "full", ridge: float = RIDGE, vec: str = "z", row_id: str = "row_id"
 ) -> tuple[dict[str, Mixture], dict[str, list[float]]]:
-    """Mixtures of every key by EM from hard labels, all keys in the same jobs, and their mean log-likelihoods by round.
-
-    A round takes responsibilities and likelihood from the current parameters and updates these; a key whose likelihood
-    changed by less than tol keeps that round's update and rests, and its rows are read no more. The vectors are written to
-    the shared folder once, and rounds read them there. This is for a few models of very many rows each: parameters are
-    broadcast; for many models see mixtures.fit_by_key."""
-    rows = stored(df.select(F.col(key).cast("string").alias("key"), F.col(row_id).alias("row_id"), F.col(vec).alias("z")))
-    sizes = dict(rows.groupBy("key").count().collect())
-    if not sizes:
-        return {}, {}
-    d = len(next(iter(priors.values())))
-    counts = {m: cap_components(n, d, k) for m, n in sizes.items()}
-    centres = {}
-    for count in sorted(set(counts.values())):  # keys of equal numbers of components together
-        own = rows.where(F.col("key").isin([m for m, c in counts.items() if c == count]))
-        centres |= kmeans_init(own, "key", count, seed)
-    models: dict[str, Mixture] = {}
-    trace: dict[str, list[float]] = {m: [] for m in sizes}
-    active = set(sizes)
-
-    for step in range(max_iter + 1):
-        shared = df.sparkSession.sparkContext.broadcast((models, centres, active))
-
-        def expect(batches: Iterator[pd.DataFrame], shared=shared, first=step == 0) -> Iterator[pd.DataFrame]:
-            models, centres, active = shared.value
-            for pdf in batches:
-                for m, g in pdf.groupby("key"):
-                    if m not in active:
-                        continue
-                    z = np.stack(g["z"].to_numpy())
-                    if first:
-                        near = ((z[:, None] - centres[m][None]) ** 2).sum(2).argmin(1)
-                        resp, fit = np.eye(len(centres[m]))[near], 0.0
-                    else:
-                        joint = models[m].log_joint(z)
-                        norm = logsumexp(joint)
-                        resp, fit = np.exp(joint - norm[:, None]), norm.sum()
-                    parts = [weighted_moments(z, resp[:, j]) for j in range(resp.shape[1])]
-                    yield pd.DataFrame({"key": m, "part": range(len(parts)), "n": [p.n for p in parts], "mean": [p.mean for p in parts], "scatter": [p.scatter.ravel() for p in parts], "extra": [fit] + [0.0] * (len(parts) - 1)})
-
-        found = _combine(rows.where(F.col("key").isin(sorted(active))).mapInPandas(expect, MOMENTS)).collect()  # K rows a key
-        for m in sorted(active):
-            own = sorted((r for r in found if r["key"] == m), key=lambda r: r["part"])
-            parts = [Moments(r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(d, d)) for r in own]
-            models[m] = m_step(parts, priors[m], kappa, sizes[m], cov, ridge)
-            if step:
-                trace[m].append(sum(r["extra"] for r in own) / sizes[m])
-                if len(trace[m]) > 1 and abs(trace[m][-1] - trace[m][-2]) < tol:
-                    active = active - {m}
-        if not active:
-            break
+    """Mixtures of every key and their mean log-likelihoods by round, on the driver: for a few models of any number of rows.
+    The fit itself is keyed.em, whose models are a table; for many bounded keys see mixtures.fit_by_key."""
+    from . import keyed
+
+    rows, sizes = keyed.deal(df, [key], row_id, vec)
+    wanted = stored(sizes.withColumn("k", keyed.components(len(next(iter(priors.values()))), k)))
+    given = df.sparkSession.createDataFrame([(m, [float(v) for v in p]) for m, p in priors.items()], "key string, evals array<double>")
+    made = keyed.em(rows, keyed.kmeans(rows, wanted, seed), sizes.join(given, "key"), kappa, max_iter, tol, cov, ridge).toArrow().to_pandas()
+    models, trace = {}, {}
+    for m, own in made.sort_values("component").groupby("key"):
+        means = np.stack(own["centre"].to_numpy())
+        models[m] = Mixture(means, np.stack(own["cov"].to_numpy()).reshape(len(own), means.shape[1], -1), own["log_w"].to_numpy())
+        trace[m] = list(own["trace"].iloc[0])
     return models, trace
 
 
