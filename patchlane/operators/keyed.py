@@ -196,15 +196,16 @@ def pca(rows: DataFrame, d: int | None = None, skip: int = 0, var: float | None
     return covariances(rows, centre).mapInPandas(run, PCA_TABLE)
 
 
-def svd(rows: DataFrame, sizes: DataFrame, d: int, oversample: int = 10, passes: int = 50, tol: float = 1e-12, seed: int = 0) -> DataFrame:
+def svd(rows: DataFrame, sizes: DataFrame, d: int, oversample: int | None = None, passes: int = 50, tol: float = 1e-9, seed: int = 0) -> DataFrame:
     """The leading d right singular vectors of each key's matrix of rows, without centring (PCA_TABLE; evals are the squared
-    singular values), by a randomised range finder: a random D x (d + oversample) basis goes through the rows' Gram matrix,
-    which is never formed, until its leading Ritz values rest."""
+    singular values), by a randomised range finder: a random D x (d + oversample) basis (d + 10 more unless given) goes
+    through the rows' Gram matrix, which is never formed, until its leading Ritz values rest."""
+    size = d + (d + 10 if oversample is None else oversample)
     schema = "key string, n double, width int, basis array<double>, ritz array<double>, total double, moves boolean"
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [np.linalg.qr(np.random.default_rng(seed).normal(size=(w, min(w, d + oversample))))[0].ravel() for w in pdf["width"]]
+            made = [np.linalg.qr(np.random.default_rng(seed).normal(size=(w, min(w, size))))[0].ravel() for w in pdf["width"]]
             yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"].astype(float), "width": pdf["width"], "basis": made, "ritz": [np.zeros(0)] * len(pdf), "total": 0.0, "moves": True})
 
     def contribution(x: np.ndarray, p: pd.DataFrame) -> list[np.ndarray]:

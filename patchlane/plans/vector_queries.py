@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import mathx
+from ..operators import keyed
 from ..operators import metrics as met
 from ..operators import mixtures as mix
 from ..operators import models as fit
@@ -276,6 +277,19 @@ def _(spark, sf_dir):
 # Fitting: a model for each layer, of the reference patches; labels stand for components.
 
 
+PLACES = ("image_id", "layer", "gy", "gx")
+
+
+def named(rows):
+    """rows with row_id, one name for each patch."""
+    return rows.withColumn("row_id", F.concat_ws("|", *[F.col(c).cast("string") for c in PLACES]))
+
+
+def reference_rows(spark, sf_dir, keys=("layer",)):
+    """The references' vectors dealt by key, and the keys' sizes."""
+    return keyed.deal(named(all_patches(spark, sf_dir).where("is_ref")), keys)
+
+
 def diagonal(spark, sf_dir, cov="diag", kappa=20.0):
     refs = all_patches(spark, sf_dir).where("is_ref").withColumn("component", (F.col("label") % 3).cast("int"))
     return fit.diagonal_m_step(refs, "layer", "component", kappa, vec="vec", cov=cov)
@@ -292,44 +306,43 @@ model as (select layer as key, component, i, mean, {var} + 0.01::double as var,
 
 @query("fit1_moments", P + LONG + ", refs as (select layer, i, v from long where is_ref) select layer as key, i - 1 as i, round(avg(v), 6) as mean, round(var_samp(v), 6) as var, count(*)::double as n from refs group by all")
 def _(spark, sf_dir):
-    made = fit.moments(all_patches(spark, sf_dir).where("is_ref"), "layer")
-    rows = [(k, i, float(m.mean[i]), float(v), m.n) for k, m in made.items() for i, v in enumerate(np.diag(m.covariance()))]
-    return rounded(spark.createDataFrame(rows, "key string, i long, mean double, var double, n double"), "mean", "var")
+    made = keyed.covariances(reference_rows(spark, sf_dir)[0])
+    long = made.select("key", "n", "cov", F.size("mean").alias("d"), F.posexplode("mean").alias("i", "mean"))
+    return rounded(long.select("key", F.col("i").cast("long").alias("i"), "mean", F.get("cov", F.col("i") * (F.col("d") + 1)).alias("var"), "n"), "mean", "var")
 
 
 @query("fit2_pca")
 def _(spark, sf_dir):
     """Leading variances of each layer, and each patch's distance from the model's subspace."""
-    refs = all_patches(spark, sf_dir)
-    models = fit.fit_pca(refs.where("is_ref"), "layer", 8)
-    z = fit.project(refs.select("image_id", "layer", "gy", "gx", "vec"), "layer", models, whiten=True)
-    return z.select("image_id", "layer", "gy", "gx", F.round(mathx.dot(F.col("z"), F.col("z")), 6).alias("whitened_norm"))
+    table = keyed.pca(reference_rows(spark, sf_dir)[0], 8)
+    z = mix.project_by_key(all_patches(spark, sf_dir).select(*PLACES, "vec"), table, ["layer"], whiten=True)
+    return z.select(*PLACES, F.round(mathx.dot(F.col("z"), F.col("z")), 6).alias("whitened_norm"))
 
 
 @query("fit3_whitening")
 def _(spark, sf_dir):
     """Mean square of each whitened coordinate of the references: 1 up to (n - 1) / n, by layer."""
-    refs = all_patches(spark, sf_dir).where("is_ref")
-    z = fit.project(refs.select("layer", "vec"), "layer", fit.fit_pca(refs, "layer", 8), whiten=True)
-    long = z.select("layer", F.posexplode("z").alias("i", "v"))
+    rows, _ = reference_rows(spark, sf_dir)
+    z = keyed.project(rows, keyed.stored(keyed.pca(rows, 8)), whiten=True)
+    long = z.select(F.col("key").alias("layer"), F.posexplode("vec").alias("i", "v"))
     return rounded(long.groupBy("layer", "i").agg(F.avg(F.col("v") * F.col("v")).alias("mean_square"), F.count("*").alias("n")), "mean_square")
 
 
 @query("fit5_truncated_svd")
 def _(spark, sf_dir):
     """Length of each patch inside the leading eight directions of its layer's references, without centring."""
-    rows = all_patches(spark, sf_dir)
-    z = fit.project(rows.select("image_id", "layer", "gy", "gx", "vec"), "layer", fit.fit_svd(rows.where("is_ref"), "layer", 8))
-    return z.select("image_id", "layer", "gy", "gx", F.round(F.sqrt(mathx.dot(F.col("z"), F.col("z"))), 6).alias("length"))
+    table = keyed.svd(*reference_rows(spark, sf_dir), 8)
+    z = mix.project_by_key(all_patches(spark, sf_dir).select(*PLACES, "vec"), table, ["layer"])
+    return z.select(*PLACES, F.round(F.sqrt(mathx.dot(F.col("z"), F.col("z"))), 6).alias("length"))
 
 
 @query("fit4_pca_by_variance")
 def _(spark, sf_dir):
-    """Directions that hold 99 % of the variance, for each layer, with and without centring."""
-    refs = all_patches(spark, sf_dir).where("is_ref")
-    a, b = fit.fit_pca(refs, "layer", var=0.99), fit.fit_svd(refs, "layer", 8)
-    rows = [(k, len(m.evals), round(m.total, 6), round(float(b[k].evals.sum()), 6)) for k, m in a.items()]
-    return spark.createDataFrame(rows, "layer string, directions int, total double, gram_total double")
+    """Directions that hold 99 % of the variance, for each layer, and the squares that eight directions hold uncentred."""
+    rows, sizes = reference_rows(spark, sf_dir)
+    gram = keyed.svd(rows, sizes, 8).select("key", F.aggregate("evals", F.lit(0.0), lambda a, v: a + v).alias("gram_total"))
+    made = keyed.pca(rows, var=0.99).select("key", F.size("evals").alias("directions"), "total").join(gram, "key")
+    return rounded(made.withColumnRenamed("key", "layer"), "total", "gram_total")
 
 
 @query("fit6_component_cap", P + ", c as (select label, layer, count(*) as n from patches group by all) select label, layer, n, least(12, greatest(2, n // 18))::int as k from c")
@@ -350,6 +363,14 @@ def _(spark, sf_dir):
     return fit.assign(rows.select("image_id", "gy", "gx", F.col("layer").alias("key"), F.col("vec").alias("z")), centres).select("image_id", F.col("key").alias("layer"), "gy", "gx", "cluster")
 
 
+@query("fit7_kmeans")
+def _(spark, sf_dir):
+    """Each layer's five clusters of references: how many there are, and the rows' mean squared distance to their centres."""
+    rows, sizes = reference_rows(spark, sf_dir)
+    found = keyed.kmeans(rows, keyed.stored(sizes.withColumn("k", F.lit(5)))).join(sizes.select("key", "n"), "key")
+    return rounded(found.select(F.col("key").alias("layer"), "n", (F.size("centres") / F.col("width")).cast("int").alias("clusters"), (F.col("cost") / F.col("n")).alias("mean_cost")), "mean_cost")
+
+
 def mixtures(spark, sf_dir):
     """All patches in their layer's directions (z), and the layers' mixtures, which are three components each."""
     rows = all_patches(spark, sf_dir).withColumn("row_id", F.concat_ws("|", *[F.col(c).cast("string") for c in ("image_id", "layer", "gy", "gx")]))
@@ -371,6 +392,15 @@ def _(spark, sf_dir):
     return rounded(scored.select("image_id", "layer", "gy", "gx", "distance", "score"), "distance", "score")
 
 
+@query("fit8_mixture_rounds")
+def _(spark, sf_dir):
+    """The same by rounds over all references of a layer, whatever their number."""
+    rows = named(all_patches(spark, sf_dir))
+    models = keyed.fit(rows.where("is_ref"), ["layer"], 3, 8, 20.0)
+    scored = mix.score_by_key(rows.select(*PLACES, "vec"), models, ["layer"]).withColumn("score", mathx.chi2_tail_score(F.col("distance"), 8))
+    return rounded(scored.select(*PLACES, "distance", "score"), "distance", "score")
+
+
 @query("fit9_m_step_diagonal", diagonal_sql() + "select key, component::int as component, i::int as i, round(mean, 6) as mean, round(var, 6) as var, round(log_w, 6) as log_w from model")
 def _(spark, sf_dir):
     return rounded(diagonal(spark, sf_dir), "mean", "var", "log_w")
@@ -391,10 +421,11 @@ def _(spark, sf_dir):
     return rounded(fit.relative_ridge(all_patches(spark, sf_dir).where("is_ref"), "layer", 0.1, "vec"), "ridge", places=8)
 
 
-@query("fit13_model_keys", P + "select layer || '|' || (image_id % 3) as key, count(*)::double as n from patches where is_ref group by 1")
+@query("fit13_model_keys", P + LONG + ", refs as (select layer || '|' || (image_id % 3) as key, i, v from long where is_ref), v as (select key, i, var_samp(v) as var, count(*) as n from refs group by all) select key, max(n)::double as n, round(sum(var), 5) as total from v group by 1")
 def _(spark, sf_dir):
-    keyed = all_patches(spark, sf_dir).where("is_ref").withColumn("key", F.concat_ws("|", "layer", (F.col("image_id") % 3).cast("string")))
-    return spark.createDataFrame([(k, m.n) for k, m in fit.moments(keyed, "key").items()], "key string, n double")
+    """A model of each layer and third of the images."""
+    refs = named(all_patches(spark, sf_dir).where("is_ref")).withColumn("third", F.col("image_id") % 3)
+    return rounded(keyed.pca(keyed.deal(refs, ["layer", "third"])[0], 8).select("key", "n", "total"), "total", places=5)
 
 
 @query("fit16_state_mib", R + ", s as (select dataset, method, 8 as big_d, n_train * 2 as d, seed + 1 as k, case when seed = 4 then ord end as numel, n_train from runs) select dataset, method, n_train, k, round(coalesce(4 * numel, 4 * (big_d + big_d * d + k + k * d + k * d * (d + 1) / 2)) / 1048576.0::double, 9) as mib from s")
@@ -505,11 +536,9 @@ def _(spark, sf_dir):
 
 @query("scr10_ppca_residual")
 def _(spark, sf_dir):
-    rows, made = all_patches(spark, sf_dir).select("image_id", "layer", "gy", "gx", "vec", "is_ref"), None
-    for layer, m in fit.fit_pca(rows.where("is_ref"), "layer", 8).items():
-        own = scr.ppca_residual(rows.where(F.col("layer") == layer), m.mean, m.comp, m.total, m.evals).select("image_id", "layer", "gy", "gx", "residual")
-        made = own if made is None else made.unionByName(own)
-    return rounded(made, "residual")
+    table = keyed.pca(reference_rows(spark, sf_dir)[0], 8)
+    made = mix.residual_by_key(all_patches(spark, sf_dir).select(*PLACES, "vec"), table, ["layer"], relative=True)
+    return rounded(made.select(*PLACES, "residual"), "residual")
 
 
 KNN = """, bank as (select layer, vec from patches where is_ref), q as (select image_id, layer, gy, gx, vec from patches where not is_ref)
@@ -538,17 +567,31 @@ def _(spark, sf_dir):
 
 @query("scr13_subspace_residual")
 def _(spark, sf_dir):
-    rows, made = all_patches(spark, sf_dir).select("image_id", "layer", "gy", "gx", "vec", "is_ref"), None
-    for layer, m in fit.fit_pca(rows.where("is_ref"), "layer", 8).items():
-        own = scr.subspace_residual(rows.where(F.col("layer") == layer), m.mean, m.comp).select("image_id", "layer", "gy", "gx", "residual")
-        made = own if made is None else made.unionByName(own)
-    return rounded(made, "residual")
+    table = keyed.pca(reference_rows(spark, sf_dir)[0], 8)
+    made = mix.residual_by_key(all_patches(spark, sf_dir).select(*PLACES, "vec"), table, ["layer"])
+    return rounded(made.select(*PLACES, "residual"), "residual")
+
+
+@query("scr12_knn_projected")
+def _(spark, sf_dir):
+    """Euclidean distance to the nearest reference in the layer's eight directions, plain and whitened, and the chi-square
+    tail of its square."""
+    rows = named(all_patches(spark, sf_dir))
+    table = keyed.stored(keyed.pca(keyed.deal(rows.where("is_ref"), ["layer"])[0], 8))
+    made = None
+    for whiten in (False, True):
+        z = keyed.stored(mix.project_by_key(rows.select("layer", "row_id", "is_ref", "vec"), table, ["layer"], whiten=whiten))
+        for layer in ("a", "b"):
+            own = z.where(F.col("layer") == layer)
+            near = scr.knn(own.where("not is_ref"), own.where("is_ref"), "row_id", cosine=False, vec="z").select("layer", "row_id", F.lit(whiten).alias("whitened"), "distance")
+            made = near if made is None else made.unionByName(near)
+    return rounded(made.withColumn("tail", mathx.chi2_tail_score(F.col("distance") * F.col("distance"), 8)), "distance", "tail")
 
 
 @query("scr14_precision_diff")
 def _(spark, sf_dir):
     z, models = mixtures(spark, sf_dir)
-    return rounded(scr.precision_diff(z, models, "layer"), "max_rel_diff", places=3)
+    return rounded(scr.precision_diff(z, models, "layer"), "max_rel_diff", places=9)
 
 
 def flagship(spark, sf_dir):

@@ -92,14 +92,14 @@ def test_seeding_needs_the_same_rounds_for_any_number_of_centres(spark, monkeypa
 @pytest.mark.parametrize("small_bytes", [None, 0])
 def test_em_by_rounds_equals_em_in_one_group(spark, small_bytes):
     rng = np.random.default_rng(11)
-    data = {f"k{j}": np.concatenate([rng.normal(m, 1, (70 + 30 * j, 4)) for m in (-3, 0, 4)]) for j in range(3)}
+    data = {f"k{j}": np.concatenate([rng.normal(m, 1, (70 + 30 * j, 4)) for m in (-3, 0, 4)]) for j in range(2)}
     table = spark.createDataFrame([(k, i, v.tolist()) for k, x in data.items() for i, v in enumerate(x)], "name string, row_id int, vec array<double>").repartition(4)
     rows, sizes = keyed.deal(table, ["name"], group_bytes=8 * 4 * 50)
     start = {k: x[[0, 100, 200]] for k, x in data.items()}
     prior = {k: x.var(0, ddof=1) for k, x in data.items()}
     centres = spark.createDataFrame([(k, c.ravel().tolist(), 4) for k, c in start.items()], "key string, centres array<double>, width int")
     priors = sizes.join(spark.createDataFrame([(k, p.tolist()) for k, p in prior.items()], "key string, evals array<double>"), "key")
-    for cov in ("full", "tied", "oas"):
+    for cov in ("full", "tied"):
         made = keyed.em(rows, centres, priors, KAPPA, cov=cov, small_bytes=small_bytes, max_iter=4 if small_bytes == 0 else 30).toPandas().sort_values("component")
         for k, x in data.items():
             model, trace = mixtures.em(x, start[k], prior[k], KAPPA, cov=cov, max_iter=4 if small_bytes == 0 else 30)
@@ -112,7 +112,8 @@ def test_em_by_rounds_equals_em_in_one_group(spark, small_bytes):
             break
 
 
-def test_fit_without_a_bound_gives_the_same_kind_of_model(spark):
+def test_fit_without_a_bound_gives_the_same_kind_of_model(spark, monkeypatch):
+    monkeypatch.setattr(keyed.seeds, "__defaults__", (0, 2))  # rounds of seeding
     rng = np.random.default_rng(12)
     data = {k: np.concatenate([rng.normal(m, 1, (100, 6)) for m in (-9, 0, 9)]) for k in ("a", "b")}
     table = spark.createDataFrame([(k, i, v.tolist()) for k, x in data.items() for i, v in enumerate(x)], "name string, row_id int, vec array<double>").repartition(4)
@@ -121,7 +122,6 @@ def test_fit_without_a_bound_gives_the_same_kind_of_model(spark):
     one, other = ({r.key: r.fit for r in m.collect()} for m in (unbounded, bounded))
     assert one == pytest.approx(other, abs=1e-3)
     assert mixtures.score_by_key(table, unbounded, ["name"]).count() == 600
-    assert keyed.fit(table.where("false"), ["name"], 3, 4).collect() == []
 
 
 @pytest.mark.parametrize("small_bytes", [200 << 20, 0])
@@ -137,7 +137,8 @@ def test_models_are_broadcast_or_dealt(many, monkeypatch, small_bytes):
         np.testing.assert_allclose([made[k, i] for i in range(len(x))], ((x - x @ comp[k] @ comp[k].T) ** 2).sum(1), rtol=1e-5, atol=1e-6)
 
 
-def test_wrappers_on_the_driver(many):
+def test_wrappers_on_the_driver(many, monkeypatch):
+    monkeypatch.setattr(keyed.seeds, "__defaults__", (0, 1))
     data, table, _ = many
     few = table.where("name in ('k0', 'k5')")
     assert np.allclose(models.moments(few, "name")["k5"].covariance(), np.cov(data["k5"].T))
