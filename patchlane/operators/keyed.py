@@ -196,29 +196,54 @@ def pca(rows: DataFrame, d: int | None = None, skip: int = 0, var: float | None
     return covariances(rows, centre).mapInPandas(run, PCA_TABLE)
 
 
-def svd(rows: DataFrame, sizes: DataFrame, d: int, oversample: int | None = None, passes: int = 50, tol: float = 1e-9, seed: int = 0) -> DataFrame:
+#: Blocks of directions that the range finder keeps before it goes on from the best of them.
+KEPT_BLOCKS = 4
+
+
+def widened(basis: np.ndarray, image: np.ndarray, d: int, size: int, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A step of the range finder: from an orthonormal basis and its image under the Gram matrix, the basis (cut down to its
+    best directions once it is large) and its image, the leading d Ritz values, and the block of new directions to try:
+    what the image of the best ones has outside the basis. No block means that the leading d rest."""
+    h = basis.T @ image
+    values, turn = np.linalg.eigh((h + h.T) / 2)
+    values, turn = values[::-1][:size], turn[:, ::-1][:, :size]
+    x, gx = basis @ turn, image @ turn
+    rest = gx - x * values
+    scale = max(abs(values[0]), 1e-300)
+    if basis.shape[1] > (KEPT_BLOCKS - 1) * size:
+        basis, image = x, gx
+    if (np.linalg.norm(rest[:, :d], axis=0) <= tol * scale).all():
+        return x, gx, values[:d], np.zeros((len(x), 0))
+    for _ in range(2):
+        rest = rest - basis @ (basis.T @ rest)
+    u, norms, _ = np.linalg.svd(rest, full_matrices=False)
+    block = u[:, norms > 1e-14 * scale][:, : len(x) - basis.shape[1]]
+    block = block - basis @ (basis.T @ block)
+    return basis, image, values[:d], np.linalg.qr(block)[0]
+
+
+def svd(rows: DataFrame, sizes: DataFrame, d: int, oversample: int = 10, passes: int = 50, tol: float = 1e-9, seed: int = 0) -> DataFrame:
     """The leading d right singular vectors of each key's matrix of rows, without centring (PCA_TABLE; evals are the squared
-    singular values), by a randomised range finder: a random D x (d + oversample) basis (d + 10 more unless given) goes
-    through the rows' Gram matrix, which is never formed, until its leading Ritz values rest."""
-    size = d + (d + 10 if oversample is None else oversample)
-    schema = "key string, n double, width int, basis array<double>, ritz array<double>, total double, moves boolean"
+    singular values), by a randomised range finder: a random D x (d + oversample) block goes through the rows' Gram matrix,
+    which is never formed, and each pass adds what its image has outside the directions so far, until the leading ones'
+    images stay within them. A key's state is at most 2 KEPT_BLOCKS such blocks."""
+    schema = "key string, n double, width int, basis array<double>, image array<double>, block array<double>, ritz array<double>, total double, moves boolean"
+    size = d + oversample
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [np.linalg.qr(np.random.default_rng(seed).normal(size=(w, min(w, size))))[0].ravel() for w in pdf["width"]]
-            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"].astype(float), "width": pdf["width"], "basis": made, "ritz": [np.zeros(0)] * len(pdf), "total": 0.0, "moves": True})
+            nothing = [np.zeros(0)] * len(pdf)
+            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"].astype(float), "width": pdf["width"], "basis": nothing, "image": nothing, "block": made, "ritz": nothing, "total": 0.0, "moves": True})
 
     def contribution(x: np.ndarray, p: pd.DataFrame) -> list[np.ndarray]:
-        return [x.T @ (x @ np.asarray(p["basis"].iloc[0]).reshape(x.shape[1], -1)), np.array([(x**2).sum()])]
+        return [x.T @ (x @ np.asarray(p["block"].iloc[0]).reshape(x.shape[1], -1)), np.array([(x**2).sum()])]
 
     def one(p: pd.DataFrame, sums: list[np.ndarray]) -> pd.DataFrame:
-        before, q = np.asarray(p["ritz"].iloc[0]), np.asarray(p["basis"].iloc[0]).reshape(p["width"].iloc[0], -1)
-        image = sums[0].reshape(q.shape)
-        values, turn = np.linalg.eigh(q.T @ image)
-        ritz = values[::-1][:d]
-        rest = len(before) and np.abs(ritz - before).max() <= tol * max(abs(ritz[0]), 1e-300)
-        basis = q @ turn[:, ::-1] if rest else np.linalg.qr(image @ turn[:, ::-1])[0]
-        return p.assign(basis=[basis.ravel()], ritz=[ritz], total=sums[1][0], moves=not rest)
+        basis, image, block = (np.asarray(p[c].iloc[0]).reshape(p["width"].iloc[0], -1) for c in ("basis", "image", "block"))
+        basis, image, ritz, block = widened(np.hstack([basis, block]), np.hstack([image, sums[0].reshape(block.shape)]), d, size, tol)
+        moves = block.shape[1] > 0
+        return p.assign(basis=[basis.ravel()], image=[image.ravel()], block=[block.ravel()], ritz=[ritz], total=sums[1][0], moves=moves)
 
     table, final = stored(sizes.select("key", "n", "width").mapInPandas(start, schema)), None
     for left in range(passes - 1, -1, -1):
@@ -231,7 +256,10 @@ def svd(rows: DataFrame, sizes: DataFrame, d: int, oversample: int | None = None
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            comp = [np.asarray(b).reshape(w, -1)[:, : len(r)].ravel() for b, w, r in zip(pdf["basis"], pdf["width"], pdf["ritz"], strict=True)]
+            comp = []
+            for b, i, w, r in zip(pdf["basis"], pdf["image"], pdf["width"], pdf["ritz"], strict=True):
+                b, i = np.asarray(b).reshape(w, -1), np.asarray(i).reshape(w, -1)
+                comp.append((b @ np.linalg.eigh(b.T @ i + i.T @ b)[1][:, ::-1][:, : len(r)]).ravel())
             yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "mean": [np.zeros(w) for w in pdf["width"]], "comp": comp, "evals": pdf["ritz"], "total": pdf["total"]})
 
     return final.mapInPandas(finish, PCA_TABLE)

@@ -14,6 +14,7 @@ from ..operators import mixtures as mix
 from ..operators import planning as jon
 from ..operators import pooling as pol
 from ..operators import projections as prj
+from ..sources import unit_log
 from ..sources import runs as run_files
 from .registry import query
 from .result_queries import rounded
@@ -86,16 +87,16 @@ def unit_scores(spark, rows, todo, seed_ids):
 
 @query("run3_evaluation")
 def _(spark, sf_dir):
-    """The work grid minus finished units, both methods on shared features, their metrics, and the rows appended to those
-    of the units that were finished before."""
+    """The work grid minus committed units, both methods on shared features, their metrics, and the rows appended to the log
+    that holds those of the units that were finished before."""
     folder, seeds = scratch(spark), (0, 1)
     rows = patches(spark, sf_dir)
     rows.write.parquet(f"{folder}/features")
     rows = spark.read.parquet(f"{folder}/features")
     done = spark.createDataFrame([(*d, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5) for d in DONE], "dataset string, method string, n_train int, seed int, " + ", ".join(f"{m} double" for m in METRICS))
-    run_files.append_runs(done, f"{folder}/runs", METRICS)
+    unit_log.append(done, f"{folder}/runs")
     grid = jon.work_grid(rows.select("dataset").distinct(), method=["mixture", "knn"], n_train=[1, 2], seed=list(seeds))
-    todo = jon.pending(grid, done)
+    todo = jon.pending(grid, unit_log.winners(spark, f"{folder}/runs"))
     maps = layer_maps(unit_scores(spark, rows, todo, seeds), keys=KEYS)
     maps.write.parquet(f"{folder}/maps")
     maps = spark.read.parquet(f"{folder}/maps")
@@ -110,8 +111,8 @@ def _(spark, sf_dir):
     pixels = met.aupro_binned(cells, named, (0.3, 0.05), KEYS)
     wide = pixels.groupBy(*KEYS).agg(F.max(F.when(F.col("limit") == 0.3, F.col("aupro"))).alias("aupro_30"), F.max(F.when(F.col("limit") == 0.05, F.col("aupro"))).alias("aupro_05"), F.max("pixel_auroc").alias("pix_auroc"), F.max("pixel_ap").alias("pix_ap"))
     made = todo.select(*KEYS).join(on_images, KEYS, "left").join(wide, KEYS, "left")
-    run_files.append_runs(made.select(*KEYS, *METRICS), f"{folder}/runs", METRICS)
-    return run_files.read_runs(spark, f"{folder}/runs", schema="dataset string, method string, n_train int, seed int, " + ", ".join(f"{m} double" for m in METRICS))
+    unit_log.append(rounded(made.select(*KEYS, *METRICS), *METRICS, places=4), f"{folder}/runs")
+    return unit_log.read(spark, f"{folder}/runs")
 
 
 @query("fit11_restarts")

@@ -13,7 +13,7 @@ from ..operators import models as fit
 from ..operators import pooling as pol
 from ..operators import projections as prj
 from ..operators import scoring as scr
-from ..sources import catalog, patches
+from ..sources import catalog, patches, unit_log
 from ..sources import runs as run_files
 from . import fixtures as fx
 from .metric_queries import AP, AUROC, curve_sql
@@ -114,6 +114,19 @@ def _(spark, sf_dir):
     return run_files.read_runs(spark, path, schema="dataset string, method string, n_train int, seed int, img_ap double")
 
 
+@query("src6_unit_log", R + "select dataset, method, n_train, seed, case when seed = 3 then null else round(metric, 4) end as img_ap from runs")
+def _(spark, sf_dir):
+    """Rows of each seed appended one after the other, twice over, beside an attempt that broke off before its commit."""
+    from ..functions.shared import scratch
+
+    path, r = scratch(spark), runs(spark, sf_dir).select(*run_files.KEYS, F.when(F.col("seed") != 3, F.round("metric", 4)).alias("img_ap"))
+    unit_log.write_rows(r.where("seed < 2"), path, unit_log.new_attempt())
+    for seed in (0, 1, 2, 3, 4, 0, 1):
+        unit_log.append(r.where(F.col("seed") == seed), path)
+    unit_log.append(r, path)
+    return unit_log.read(spark, path)
+
+
 @query("src7_save_load_maps", "with " + fx.CELLS + "select image_id, y, x, value from cells where image_id % 11 = 3 and image_id % 2 = 1")
 def _(spark, sf_dir):
     from ..functions.shared import scratch
