@@ -8,11 +8,12 @@
    another one in each round, so that like sets stand side by side. In a linear round each component of nodes (at first,
    each node) sends one node of each mark to a shingle, and this meets the one before it and the first one of its mark.
    Of the pairs that pass the length, positional and suffix filters each component has the few verified that share most
-   prefix shingles, and components that link become one. A group of near copies is one component, or few, after the
-   rounds, so its pairs never all meet.
-4. Then, exactly, every pair of nodes of different components that shares a prefix shingle and passes the filters is
-   verified: of each two components a few pairs first, and where these don't link them, all the others. A pair inside one
-   component needs no check, as only components are asked for; no pair is verified twice.
+   prefix shingles, and components that link become one. Rounds go on while they find links in proportion to what is left,
+   each with more partners, so that a group of near copies is one component, or few, after them.
+4. Then, exactly, every pair of nodes of different components that shares a prefix shingle and passes the filters is a
+   candidate. In turns each component has its most alike candidates verified, a few at first and twice as many each time;
+   components that link become one, and candidates inside one go, until none is left. No pair is verified twice. Work here
+   is linear in what links; like texts that just fail to link are compared pair by pair, as nothing else rules them out.
 5. Verification intersects the whole shingle sets, made once from the text of each node that is in a pair.
 
 Postings of frequent shingles are salted by their counts, so no task gets a hot shingle whole. Tables in the shared folder
@@ -37,9 +38,14 @@ from .shingles import Sets
 PARITY_BITS = 2048
 #: Bits of the coarser sketch that the exact step's postings carry.
 COARSE_BITS = 512
-#: Pairs that a component verifies in each linear round; they bound no result, only what is left to the exact step.
-PARTNERS = (2, 8, 32)
-#: Pairs of each two components that the exact step takes first.
+#: Min-wise marks of a node, taken in turn.
+MARKS = 3
+#: Pairs that a component verifies in the first linear round, and by how much more in each further one; they bound no result,
+#: only what is left to the exact step.
+PARTNERS, MORE_PARTNERS = 2, 4
+#: Linear rounds go on as long as they find a link for each so many components that are left.
+WORTHWHILE = 50
+#: Pairs that each component takes first in the exact step; each further turn takes twice as many.
 FIRST_PAIRS = 8
 #: Nodes of one shingle that one task takes, about.
 SALT_ROWS = 4096
@@ -121,7 +127,7 @@ def classes(
         parity = sets.parity(PARITY_BITS)
         lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (grams.view(np.int64), salts.astype(np.int32))]
         shape = pa.ListArray.from_arrays(pa.array(np.arange(0, parity.size + 1, PARITY_BITS // 64, dtype=np.int32)), pa.array(parity.ravel()))
-        marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(s1) * len(PARTNERS) + 1, len(PARTNERS), dtype=np.int32)), pa.array(sets.marks(len(PARTNERS)).ravel()))
+        marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(s1) * MARKS + 1, MARKS, dtype=np.int32)), pa.array(sets.marks(MARKS).ravel()))
         return [sets.size.astype(np.int64), s1, s2, *lists, shape, marks]
 
     fields = [T.StructField(c, long) for c in ("n", "s1", "s2")] + [T.StructField("grams", T.ArrayType(long)), T.StructField("salts", T.ArrayType(T.IntegerType())), T.StructField("parity", T.ArrayType(long)), T.StructField("marks", T.ArrayType(T.IntegerType()))]
@@ -256,24 +262,27 @@ def classes(
         drop_table(posted)
         return several
 
-    draw_together(verified(partners(shared, *first, PARTNERS[0]), "0"), "0")
+    draw_together(verified(partners(shared, *first, PARTNERS), "0"), "0")
     # The suffix filter stands in the joins from here on, on sketches whose ranges are joined (parities add up by xor).
     words = PARITY_BITS // 64
     folded = F.array(*[functools.reduce(Column.bitwiseXOR, [F.get("parity", i) for i in range(k, words, COARSE_BITS // 64)]) for k in range(COARSE_BITS // 64)])
     active = spread(shared, "0", attributes.select("node", folded.alias("coarse"), "marks"))
-    for k, few in enumerate(PARTNERS[1:], 1):
-        if active.isEmpty():
-            break
+    k = 0
+    while not active.isEmpty():
+        k += 1
         # Each component sends one node of each mark to each shingle.
         columns = ["component", "node", "n", "pos", "coarse"]
         chosen = F.min_by(F.struct(*columns[1:]), F.struct(F.xxhash64(F.lit(k), "node", "gram"), "node"))
-        units = active.groupBy("gram", "component", F.get("marks", k).alias("mark")).agg(F.first("salts").alias("salts"), F.first("main").alias("main"), chosen.alias("c"))
+        units = active.groupBy("gram", "component", F.get("marks", k % MARKS).alias("mark")).agg(F.first("salts").alias("salts"), F.first("main").alias("main"), chosen.alias("c"))
         later = ("component", columns, [F.col("component") != F.col("main"), F.col("n"), F.col("component")])
-        links = verified(partners(meet(units.select("gram", "salts", "main", "component", "mark", "c.*"), *later), *later, few), str(k))
+        links = verified(partners(meet(units.select("gram", "salts", "main", "component", "mark", "c.*"), *later), *later, PARTNERS * MORE_PARTNERS**k), str(k))
         if links.isEmpty():
             break
+        left = active.select("component").distinct().count()
         draw_together(links, str(k))
         active = spread(active, str(k))
+        if links.count() * WORTHWHILE < left:
+            break
 
     if not active.isEmpty():
         # All pairs across components. A side outside the commonest component goes to each salt of the other side.
@@ -285,11 +294,17 @@ def classes(
         a, b = F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")
         rest = rest.select(a, b, F.least("p.component", "q.component").alias("c"), F.greatest("p.component", "q.component").alias("d"))
         rest = materialize(untested(rest.groupBy("a", "b", "c", "d").count()), "candidates", folder)
-        leading = rest.withColumn("k", F.row_number().over(Window.partitionBy("c", "d").orderBy(F.desc("count"), "a", "b"))).where(F.col("k") <= FIRST_PAIRS)
-        links = verified(leading.select("a", "b"), "leading")
-        draw_together(links, "leading")
-        rest = component_of(component_of(rest.select("a", "b"), "a", "c"), "b", "d").where("c != d").select("a", "b")
-        draw_together(verified(untested(rest), "rest"), "rest")
+        turn = 0
+        while not rest.isEmpty():
+            ends = rest.select("a", "b", "count", F.explode(F.array("c", "d")).alias("own"))
+            best = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("count"), "a", "b"))
+            leading = ends.withColumn("k", best).where(F.col("k") <= FIRST_PAIRS << turn).select("a", "b").distinct()
+            draw_together(verified(leading, f"turn-{turn}"), f"turn-{turn}")
+            left = rest.select("a", "b", "count").join(tested[-1], ["a", "b"], "left_anti")
+            before, rest = rest, materialize(component_of(component_of(left, "a", "c"), "b", "d").where("c != d"), f"rest-{turn}", folder)
+            drop_table(before)
+            turn += 1
+        drop_table(rest)
 
     found = nodes_of(edges)
     of_node = attributes.select("node", "s1", "s2").join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("class"))

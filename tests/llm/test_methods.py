@@ -31,17 +31,40 @@ def test_a_group_of_near_copies_makes_few_links(spark, monkeypatch):
         for _ in range(2):
             words[r.randrange(60)] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(words)))
-    edges = []
-    plain = jaccard.as_edges
+    edges, pairs, candidates = [], [], []
+    plain, store = jaccard.as_edges, jaccard.materialize
 
     def counted(links):
         edges.append(links.count())
         return plain(links)
 
+    def watched(df, name, folder=None):
+        made = store(df, name, folder)
+        for kind, seen in (("pairs-", pairs), ("candidates", candidates)):
+            if name.startswith(kind):
+                seen.append(made.count())
+        return made
+
     monkeypatch.setattr(jaccard, "as_edges", counted)
+    monkeypatch.setattr(jaccard, "materialize", watched)
     got = {x.doc_id: x.component_id for x in jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == {i: c for i, _, c in brute(rows)}
     assert sum(edges) < 6 * len(rows)  # all links of the group would be some hundred thousand
+    assert sum(pairs) < 20 * len(rows) and sum(candidates) < 20 * len(rows)
+
+
+def test_groups_just_below_the_threshold_are_told_apart(spark, count=150):
+    """One word replaced at one of six places, every third row with a second one: links within a place only."""
+    r = random.Random(6)
+    base, rows = [f"w{k}" for k in range(68)], []
+    for i in range(count):
+        words, place = list(base), 6 + 10 * r.randrange(6)
+        words[place] = f"x{i}"
+        if i % 3 == 0:
+            words[place + 2] = f"y{i}"
+        rows.append((i, " ".join(words)))
+    got = {x.doc_id: x.component_id for x in jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: c for i, _, c in brute(rows)}
 
 
 def test_shingles_are_counted_over_all_slices(spark, monkeypatch):
