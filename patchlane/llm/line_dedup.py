@@ -1,10 +1,11 @@
 """Line dedup by distinct-site spread.
 
-Every line of at least min_chars characters is known by two 64-bit hashes. One aggregation by line merges a HyperLogLog
+Every line that holds a word is known by two 64-bit hashes. One aggregation by line merges a HyperLogLog
 sketch of the sites it stands on; a line on clearly more than min_sites sites is boilerplate, and where the estimate is
 within `margin` of the threshold (at least four standard errors of the sketch) the distinct sites are counted exactly. Of a
 boilerplate line the first occurrence (least identifier, then position) stays and all others go, so a passage that is
-copied across sites is kept once. Shorter lines are left alone: a short sentence of prose often repeats by chance.
+copied across sites is kept once. Lines of no more than short_chars characters may be given a threshold of their own
+(short_sites), as a short sentence of prose can repeat by chance; by default all lines are alike.
 
 Sketches, minima, counts and distinct (line, site) pairs are combined before the shuffle, so a line that stands in a third
 of all documents is no hot key there. Occurrences are marked in two ways: lines that make up more than a quarter of a
@@ -20,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize, shared_dir
 
 
 def remove_spread_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, min_chars: int = 20, margin: float = 0.2, lg_k: int = 12, carry: list[str] | None = None, prefix: str = ""
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5, short_chars: int = 0, short_sites: int = 5, margin: float = 0.2, lg_k: int = 12, carry: list[str] | None = None, prefix: str = ""
 ) -> DataFrame:
     """The columns in carry (the id column), n_lines and n_removed (long, their names after the
     prefix), and the text column without spread lines."""
@@ -32,22 +33,26 @@ def remove_spread_lines(
     text = docs[text_col].cast("string")
     rows = docs.select(*[docs[c].alias(f"__{c}") for c in carry], docs[id_col].alias("id"), text.alias("text"), docs[site_col].cast("string").alias("site"))
     rows = rows.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64(F.lit("row"), "text", "id")})
-    lines = rows.select("id", "site", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.char_length("line") >= min_chars)
-    lines = lines.select("id", "site", "k1", "k2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
+    lines = rows.select("id", "site", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    lines = lines.select("id", "site", "k1", "k2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), (F.char_length("line") <= short_chars).alias("short"))
 
+    folder = shared_dir(docs.sparkSession)
     spread = lines.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"),
         F.count("*").alias("n"),
         F.min(F.struct(F.col("id").isNotNull(), "id", "k1", "k2", "pos")).alias("first"),
+        F.when(F.first("short"), short_sites).otherwise(min_sites).alias("needed"),
     )
     margin = max(margin, 4 * 1.04 / 2 ** (lg_k / 2))
-    candidates = materialize(spread.where(F.col("sites") >= min_sites * (1 - margin)), "spread-candidates")
-    near = candidates.where(F.col("sites") <= min_sites * (1 + margin)).select("h1", "h2")
+    candidates = materialize(spread.where(F.col("sites") >= F.col("needed") * (1 - margin)), "spread-candidates", folder)
+    near = candidates.where(F.col("sites") <= F.col("needed") * (1 + margin)).select("h1", "h2")
     pairs = lines.where("site is not null").groupBy("h1", "h2", "site").count()
     exact = pairs.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count("*").alias("exact"))
     # A line near the threshold without any site has no pair.
-    known = F.when(F.col("sites") > min_sites * (1 + margin), F.col("sites")).otherwise(F.coalesce("exact", F.lit(0)))
-    spread = materialize(candidates.join(exact, ["h1", "h2"], "left").where(known >= min_sites).select("h1", "h2", "n", "first"), "spread-lines")
+    known = F.when(F.col("sites") > F.col("needed") * (1 + margin), F.col("sites")).otherwise(F.coalesce("exact", F.lit(0)))
+    spread = materialize(candidates.join(exact, ["h1", "h2"], "left").where(known >= F.col("needed")).select("h1", "h2", "n", "first"), "spread-lines", folder)
+
+    drop_table(candidates)
 
     # At most 4 rows a partition are hot: their occurrences are at least a quarter of the mean partition each.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -74,11 +79,11 @@ with lines as (
   select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos
   from documents where text is not null
 ), spread as (
-  select line, min({'d': doc_id, 'p': pos}) as first_at from lines where length(line) >= 20
+  select line, min({'d': doc_id, 'p': pos}) as first_at from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]')
   group by line having count(distinct source) >= 5
 ), marked as (
   select l.doc_id, l.pos, l.line, (s.line is not null and {'d': l.doc_id, 'p': l.pos} <> s.first_at) as gone
-  from lines l left join spread s on l.line = s.line and length(l.line) >= 20
+  from lines l left join spread s on l.line = s.line
 )
 select doc_id, count(*)::bigint as n_lines, (count(*) filter (gone))::bigint as n_removed,
        coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as text

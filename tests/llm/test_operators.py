@@ -60,7 +60,10 @@ def test_line_dedup_keeps_the_first_of_spread_lines(spark, empty):
     line, short = "this line stands on many sites", "tiny"
     rows = [(i, f"{line}\nown text of document {i}\n{short}", None, f"site{i % 7}" if i else None, None, None, None) for i in range(14)]
     rows += [(20 + i, f"few sites only have this\n{line} {i}", None, f"site{i % 2}", None, None, None) for i in range(10)] + [(50, None, None, "s", None, None, None), (51, "", None, "s", None, None, None)]
-    made = {r.doc_id: r for r in line_dedup.remove_spread_lines(spark.createDataFrame(rows, SCHEMA).repartition(4), min_sites=5).collect()}
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    short_too = {r.doc_id: r for r in line_dedup.remove_spread_lines(frame, min_sites=5).collect()}
+    assert short_too[0].text == rows[0][1] and all(short_too[i].text == f"own text of document {i}" and short_too[i].n_removed == 2 for i in range(1, 14))
+    made = {r.doc_id: r for r in line_dedup.remove_spread_lines(frame, min_sites=5, short_chars=19, short_sites=8).collect()}
     assert made[0].text == rows[0][1] and made[0].n_removed == 0
     assert all(made[i].text == f"own text of document {i}\n{short}" and made[i].n_removed == 1 for i in range(1, 14))
     assert all(made[20 + i].n_removed == 0 for i in range(10))
