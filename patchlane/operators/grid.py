@@ -46,37 +46,77 @@ def mirror(i: Column, n: int, border: str) -> Column:
 
 
 def affine(
-    cells: DataFrame, height: int, width: int, angle: Column | None, scale: Column | float = 1.0, dy: float = 0.0, dx: float = 0.0, interp: str = "bilinear", border: str = "reflect101", value: str = "value", views: Sequence[float] = ()
+    cells: DataFrame, height: int, width: int, angle: Column | None, scale: Column | float = 1.0, dy: float = 0.0, dx: float = 0.0, interp: str = "bilinear", border: str = "reflect101", value: str = "value", views: Sequence[float] = (), tile: int = TILE
 ) -> DataFrame:
     """Rotate by angle (degrees, counter-clockwise) and scale about (width/2, height/2), then shift.
 
     angle and scale may depend on the image's other columns. Every target cell takes its source place; bilinear weighs the
     four neighbours, nearest takes one. border reflect101 mirrors, reflect and nearest repeat the edge, zero takes 0
     outside. With views, every image is resampled once for each of these angles (column angle instead of the argument).
-    Each image is gathered once, as smoothing does, and all its views are made from that."""
+    A grid within a tile is gathered once, as smoothing does, and all its views are made from that. Of a larger one (dense)
+    each tile of a view is made from the tiles that its turned box touches, so a group is a few tiles."""
     others = [c for c in cells.columns if c not in ("y", "x", value)]
     scale = F.lit(float(scale)) if isinstance(scale, (int, float)) else scale
-    cell = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("i"), F.col(value).cast("double").alias("v"))
-    images = cells.groupBy(*others).agg(F.array_sort(F.collect_list(cell)).alias("__c"))
-    if views:
-        images, angle, others = images.withColumn("angle", F.explode(F.array(*map(F.lit, views)))), F.col("angle"), [*others, "angle"]
+    whole = max(height, width) <= tile
+    cell = F.struct((F.col("y").cast("long") * width + F.col("x")).alias("i"), F.col(value).cast("double").alias("v"))
+    place = [] if whole else [tile_of("y", tile).alias("__by"), tile_of("x", tile).alias("__bx")]
+    images = cells.groupBy(*others, *place).agg(F.array_sort(F.collect_list(cell)).alias("__c"))
+    images = images.select(*others, *images.columns[len(others) : -1], F.transform("__c", lambda c: c["i"]).alias("__i"), F.transform("__c", lambda c: c["v"]).alias("__v"))
     cy, cx = height / 2, width / 2
 
+    def source(y, x, degrees, by, cos, sin):
+        """Row and column that a target place is taken from; numbers or Columns."""
+        down, right = y - cy - dy, x - cx - dx
+        return (sin * right + cos * down) / by + cy, (cos * right - sin * down) / by + cx
+
+    if whole:
+        if views:
+            images, angle, others = images.withColumn("angle", F.explode(F.array(*map(F.lit, views)))), F.col("angle"), [*others, "angle"]
+        tiles = images.select(*others, "__i", "__v", F.lit(-1).alias("__ty"), F.lit(-1).alias("__tx"), angle.cast("double").alias("__angle"), scale.cast("double").alias("__scale"))
+    else:
+        images = stored(images)
+        wanted = images.select(*others).distinct()
+        named = list(others)
+        if views:
+            wanted, angle, named = wanted.withColumn("angle", F.explode(F.array(*map(F.lit, views)))), F.col("angle"), [*others, "angle"]
+        wanted = wanted.select(*named, angle.cast("double").alias("__angle"), scale.cast("double").alias("__scale"))
+        for c, n in (("__ty", height), ("__tx", width)):
+            wanted = wanted.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit((n - 1) // tile))))
+        ends = {c: (F.col(c) * tile, F.least((F.col(c) + 1) * tile, F.lit(n)) - 1) for c, n in (("__ty", height), ("__tx", width))}
+        turn = F.radians("__angle")
+        corners = [source(y, x, None, F.col("__scale"), F.cos(turn), F.sin(turn)) for y in ends["__ty"] for x in ends["__tx"]]
+        for k, (c, n) in enumerate((("__by", height), ("__bx", width))):
+            low, high = (fn(*[p[k] for p in corners]) for fn in (F.least, F.greatest))
+            low, high = F.floor(low) - 2, F.ceil(high) + 2  # the taps and rounding
+            inner = F.when(low < 0, 0).otherwise(low), F.when(high >= n, n - 1).otherwise(high)
+            if border in ("reflect", "reflect101"):  # what is folded back stands as far inside as it was outside
+                inner = F.when(high >= n, F.least(inner[0], 2 * n - 2 - high)).otherwise(inner[0]), F.when(low < 0, F.greatest(inner[1], -low)).otherwise(inner[1])
+            clip = lambda v, n=n: F.least(F.greatest(v, F.lit(0)), F.lit(n - 1))
+            wanted = wanted.withColumns({f"{c}0": F.floor(clip(inner[0]) / tile).cast("int"), f"{c}1": F.floor(clip(inner[1]) / tile).cast("int")})
+        for c in ("__by", "__bx"):
+            wanted = wanted.withColumn(c, F.explode(F.sequence(F.least(f"{c}0", f"{c}1"), F.greatest(f"{c}0", f"{c}1"))))
+        others = named
+        joined = wanted.join(images, [c for c in images.columns if c not in ("__i", "__v")])
+        tiles = joined.groupBy(*others, "__ty", "__tx", "__angle", "__scale").agg(F.flatten(F.collect_list("__i")).alias("__i"), F.flatten(F.collect_list("__v")).alias("__v"))
+
     def fold(i: np.ndarray, n: int) -> np.ndarray:
         if border == "nearest" or n == 1:
             return i.clip(0, n - 1)
         m = i % (2 * n if border == "reflect" else 2 * n - 2)
         return np.where(m < n, m, (2 * n - 1 if border == "reflect" else 2 * n - 2) - m)
 
-    @F.pandas_udf("array<double>")
-    def warp(places: pd.Series, values: pd.Series, angles: pd.Series, scales: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<i: array<bigint>, v: array<double>>")
+    def warp(places: pd.Series, values: pd.Series, ty: pd.Series, tx: pd.Series, angles: pd.Series, scales: pd.Series) -> pd.DataFrame:
         made = []
-        for at, v, degrees, by in zip(places, values, angles, scales, strict=True):
-            grid = np.zeros((height, width))
-            grid.ravel()[at] = v
-            down, right = at // width - cy - dy, at % width - cx - dx
+        for at, v, i, j, degrees, by in zip(places, values, ty, tx, angles, scales, strict=True):
+            top, left = (0, 0) if i < 0 else ((at // width).min(), (at % width).min())
+            grid = np.zeros((height, width) if i < 0 else ((at // width).max() - top + 1, (at % width).max() - left + 1))
+            grid[at // width - top, at % width - left] = v
+            if i >= 0:
+                rows, columns = (np.arange(t * tile, min((t + 1) * tile, n)) for t, n in ((i, height), (j, width)))
+                at = (rows[:, None] * width + columns).ravel()
             cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-            sx, sy = np.round((cos * right - sin * down) / by + cx, 9), np.round((sin * right + cos * down) / by + cy, 9)
+            sy, sx = (np.round(c, 9) for c in source(at // width, at % width, degrees, by, cos, sin))
             if interp == "nearest":
                 taps = [(np.floor(sy + 0.5).astype(int), np.floor(sx + 0.5).astype(int), np.ones(len(at)))]
             else:
@@ -85,15 +125,16 @@ def affine(
                 taps = [(y0 + a, x0 + b, (fy if a else 1 - fy) * (fx if b else 1 - fx)) for a in (0, 1) for b in (0, 1)]
             out = np.zeros(len(at))
             for y, x, w in taps:
-                inside = (y >= 0) & (y < height) & (x >= 0) & (x < width) if border == "zero" else True
+                inside = (y >= 0) & (y < height) & (x >= 0) & (x < width) if border == "zero" else np.ones(len(at), bool)
                 y, x = (y.clip(0, height - 1), x.clip(0, width - 1)) if border == "zero" else (fold(y, height), fold(x, width))
-                out += np.where(inside, w * grid[y, x], 0.0)
-            made.append(out)
-        return pd.Series(made)
-
-    flat = images.select(*others, F.transform("__c", lambda c: c["i"]).alias("__i"), F.transform("__c", lambda c: c["v"]).alias("__v"), angle.cast("double").alias("__angle"), scale.cast("double").alias("__scale"))
-    rows = flat.select(*others, F.explode(F.arrays_zip(F.col("__i").alias("i"), warp("__i", "__v", "__angle", "__scale").alias("v"))).alias("__o"))
-    return rows.select(*others, F.expr(f"cast(__o.i div {width} as int)").alias("y"), (F.col("__o.i") % width).alias("x"), F.col("__o.v").alias(value))
+                inside &= w > 0
+                out[inside] += w[inside] * grid[y[inside] - top, x[inside] - left]
+            made.append((at, out))
+        return pd.DataFrame(made, columns=["i", "v"])
+
+    made = tiles.select(*others, warp("__i", "__v", "__ty", "__tx", "__angle", "__scale").alias("__w"))
+    rows = made.select(*others, F.explode(F.arrays_zip(F.col("__w.i").alias("i"), F.col("__w.v").alias("v"))).alias("__o"))
+    return rows.select(*others, F.expr(f"cast(__o.i div {width} as int)").alias("y"), (F.col("__o.i") % width).cast("int").alias("x"), F.col("__o.v").alias(value))
 
 
 def rotate_views(cells: DataFrame, height: int, width: int, views: str | Sequence[float] = "rot8") -> DataFrame:

@@ -17,12 +17,19 @@ from ..functions.shared import stored
 BINS = 1 << 16
 
 
-def cumulative(points: DataFrame, keys: Sequence[str], score: str, values: Sequence[str], buckets: int = 64) -> DataFrame:
+#: Points of a key whose running sums one task takes.
+DIRECT = 1 << 20
+
+
+def cumulative(points: DataFrame, keys: Sequence[str], score: str, values: Sequence[str], buckets: int = 64, direct: int = DIRECT) -> DataFrame:
     """Running sums of values by falling score within each key, and the same one point before (as cum_v and pre_v).
 
-    Scores are cut into ranges of about equal numbers of points, at approximate quantiles, so that a heavy tail does not
-    put all points into one range; sums within a range and over ranges are separate windows, so the work of one key is
-    spread over `buckets` tasks."""
+    Keys of at most `direct` points, by count, take one window. Otherwise scores are cut into ranges of about equal numbers
+    of points, at approximate quantiles, so that a heavy tail does not put all points into one range; sums within a range
+    and over ranges are separate windows, so the work of one key is spread over `buckets` tasks."""
+    most = points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= direct:
+        return running(points, keys, score, values)
     steps = [i / buckets for i in range(1, buckets)]
     cuts = points.groupBy(*keys).agg(F.percentile_approx(score, steps, 2_000).alias("__cuts"))
     rows = points.join(cuts, list(keys)) if keys else points.join(F.broadcast(cuts))
@@ -37,6 +44,16 @@ def cumulative(points: DataFrame, keys: Sequence[str], score: str, values: Seque
     return out.drop("__cuts", "__range", *[f"__before_{v}" for v in values])
 
 
+#: Names of a curve's running sums.
+CURVE = {"cum_pos": "tp", "cum_neg": "fp", "pre_pos": "tp0", "pre_neg": "fp0"}
+
+
+def running(points: DataFrame, keys: Sequence[str], score: str, values: Sequence[str]) -> DataFrame:
+    """cumulative() with each key's points in one window."""
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    return points.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values}).withColumns({f"pre_{v}": F.col(f"cum_{v}") - F.col(v) for v in values})
+
+
 def curve(df: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """One point for each distinct score: tp, fp (and before it), n_pos, n_neg; keys without either kind drop out."""
     flag = F.col(label).cast("int")
@@ -44,7 +61,7 @@ def curve(df: DataFrame, label: str = "label", score: str = "score", keys: Seque
     totals = points.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")).where("n_pos > 0 and n_neg > 0")
     made = cumulative(points, keys, "score", ["pos", "neg"])
     made = made.join(totals, list(keys)) if keys else made.join(F.broadcast(totals))
-    return made.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "pre_pos": "tp0", "pre_neg": "fp0"})
+    return made.withColumnsRenamed(CURVE)
 
 
 def auroc_of() -> Column:
@@ -129,8 +146,14 @@ def score_levels(cells: DataFrame, score: str, keys: Sequence[str], bins: int =
 def aupro_binned(cells: DataFrame, regions: DataFrame, limits: Sequence[float] = (0.3,), keys: Sequence[str] = (), mask: str = "mask", score: str = "value", bins: int = BINS) -> DataFrame:
     """AU-PRO, pixel AUROC and pixel AP over score levels; several limits share one pass."""
     rows = score_levels(pro_weights(cells, regions, keys), score, keys, bins)
-    areas = _points_area(rows, mask, keys, limits)
-    pixels = pixel_metrics(rows, mask, "score", keys)
+    neg = (~F.col(mask)).cast("int")
+    # At most `bins` points a key: one table and one window serve all the curves.
+    points = stored(rows.groupBy(*keys, "score").agg(F.sum(neg).alias("neg"), F.sum(1 - neg).alias("pos"), F.sum("w").alias("w")))
+    totals = points.groupBy(*keys).agg(F.sum("neg").alias("n_neg"), F.sum("pos").alias("n_pos"), F.sum("w").alias("all_w")).where("n_neg > 0 and all_w > 0")
+    made = running(points, keys, "score", ["neg", "pos", "w"])
+    made = made.join(totals, list(keys)) if keys else made.join(F.broadcast(totals))
+    areas = _area(made, keys, limits)
+    pixels = made.withColumnsRenamed(CURVE).where("n_pos > 0").groupBy(*keys).agg(auroc_of().alias("pixel_auroc"), ap_of().alias("pixel_ap"))
     return areas.join(pixels, list(keys)) if keys else areas.join(F.broadcast(pixels))
 
 

@@ -250,7 +250,9 @@ def test_curve_ranges_hold_about_equal_numbers(spark):
     rng = np.random.default_rng(8)
     scores = [*np.exp(rng.normal(0, 3, 20_000)).tolist(), 1e12]
     table = spark.createDataFrame([(float(v), 1) for v in scores], "score double, one int")
-    got = metrics.cumulative(table, [], "score", ["one"])
+    direct = metrics.cumulative(table, [], "score", ["one"])
+    assert {r.score: r.cum_one for r in direct.collect()} == {v: i + 1 for i, v in enumerate(sorted(scores, reverse=True))}
+    got = metrics.cumulative(table, [], "score", ["one"], direct=0)
     assert {r.score: r.cum_one for r in got.collect()} == {v: i + 1 for i, v in enumerate(sorted(scores, reverse=True))}
     plan = got._jdf.queryExecution().analyzed().toString()
     assert "percentile_approx" in plan

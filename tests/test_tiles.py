@@ -51,3 +51,44 @@ def test_tiled_smoothing_equals_the_whole_form(spark, border):
     np.testing.assert_allclose(tiled["value"], whole["value"], atol=1e-13)
     with pytest.raises(ValueError):
         grid.gaussian_smooth(cells, 9.0, 45, 70, tile=16)
+
+
+@pytest.mark.parametrize("border,interp,scale", [("reflect101", "bilinear", 1.0), ("zero", "bilinear", 0.7), ("nearest", "nearest", 1.3), ("reflect", "bilinear", 0.4)])
+def test_tiled_views_equal_the_whole_form(spark, border, interp, scale):
+    v = np.random.default_rng(1).random((2, 37, 50))
+    cells = spark.createDataFrame([(i, y, x, float(v[i, y, x])) for i in range(2) for y in range(37) for x in range(50)], "image_id long, y int, x int, value double").repartition(4)
+    order = ["image_id", "angle", "y", "x"]
+    whole, tiled = (grid.affine(cells, 37, 50, None, scale, dy=1.5, border=border, interp=interp, views=(0.0, 30.0, 135.0, -100.0), tile=t).toPandas().sort_values(order) for t in (64, 16))
+    assert whole[order].to_numpy().tolist() == tiled[order].to_numpy().tolist() and len(whole) == 2 * 4 * 37 * 50
+    np.testing.assert_allclose(tiled["value"], whole["value"], atol=1e-12)
+
+
+def test_flip_average_and_foreground(spark):
+    """Averages with the mirrored map, and the mask of the first principal component, written out in numpy."""
+    v = np.random.default_rng(2).random((3, 6, 5))
+    flat = spark.createDataFrame([(i, y, x, float(v[i, y, x])) for i in range(3) for y in range(6) for x in range(5)], "image_id long, y int, x int, value double")
+    made = grid.tta_average(flat, grid.hflip(flat.withColumn("value", F.col("value") * 2), 5)).toPandas().sort_values(["image_id", "y", "x"])
+    np.testing.assert_allclose(made["value"].to_numpy().reshape(3, 6, 5), (v + 2 * v[:, :, ::-1]) / 2)
+
+    rng, patches, expected = np.random.default_rng(3), [], {}
+    for image in range(4):
+        on = np.zeros((8, 8), bool)
+        on[2:6, 2:6] = image % 2 == 0
+        on[0, :] |= image % 2 == 1
+        x = rng.normal(size=(64, 5)) * 0.1 + np.where(on.ravel()[:, None], 4.0, -1.0) * np.eye(5)[image % 5]
+        patches += [(image, k // 8, k % 8, x[k].tolist()) for k in range(64)]
+        c = x - x.mean(0)
+        axis = np.linalg.svd(c)[2][0]
+        pc = (c @ axis * np.sign(axis[np.abs(axis).argmax()])).reshape(8, 8)
+        mask = pc > 1.0
+        if mask[2:6, 2:6].mean() <= 0.35:
+            mask = -pc > 1.0
+        for grow in (True, True, False):
+            padded = np.pad(mask, 1, constant_values=not grow)
+            mask = np.array([[(padded[y : y + 3, z : z + 3].any() if grow else padded[y : y + 3, z : z + 3].all()) for z in range(8)] for y in range(8)])
+        expected |= {(image, y, z): bool(mask[y, z]) for y in range(8) for z in range(8)}
+    frame = spark.createDataFrame(patches, "image_id long, gy int, gx int, vec array<double>").repartition(3)
+    keep = grid.foreground_mask(frame, 1.0)
+    assert {(r.image_id, r.gy, r.gx): r.keep for r in keep.collect()} == expected and 20 < sum(expected.values()) < 250
+    masked = grid.apply_mask(frame.select("image_id", "gy", "gx", F.lit(3.0).alias("value")), keep)
+    assert {(r.image_id, r.gy, r.gx): r.value for r in masked.collect()} == {k: 3.0 * v for k, v in expected.items()}
