@@ -260,3 +260,29 @@ def test_curve_ranges_hold_about_equal_numbers(spark):
     cuts = table.agg(F.percentile_approx("score", steps, 2_000)).first()[0]
     sizes = np.bincount(np.searchsorted(sorted(cuts), scores, "left"), minlength=64)
     assert sizes.max() < 3 * 20_001 / 64
+
+
+def test_flagship_image_metrics_against_numpy(spark, folder):
+    """Diagonal mixtures of label thirds, chi-square tails, 95th percentiles by layer, their mean, and both image metrics."""
+    _, vectors = folder
+    third = np.array([n % 3 for _, n, _ in vectors]).reshape(-1, 16)
+    refs = np.arange(48) % 4 == 0
+    score = np.zeros(48)
+    for name in ("a", "b"):
+        x, bad = layer(vectors, name)
+        own, kinds = x[refs].reshape(-1, 32), third[refs].ravel()
+        prior, d2 = own.var(0, ddof=1), []
+        for k in range(3):
+            z = own[kinds == k]
+            var = (len(z) * z.var(0) + 20.0 * prior) / (len(z) + 20.0) + models.RIDGE
+            d2.append(((x - z.mean(0)) ** 2 / var).sum(2))
+        half = np.min(d2, 0) / 2
+        tail = half - np.log(sum(half**k / math.factorial(k) for k in range(16)))  # 32 degrees of freedom
+        score += np.quantile(tail, 0.95, axis=1) / 2
+    label, order = bad.any(1), np.argsort(-score)
+    hit = label[order]
+    auroc = np.mean([(a > b) + (a == b) / 2 for a in score[label] for b in score[~label]])
+    ap = sum(hit[: k + 1].mean() for k in np.flatnonzero(hit)) / hit.sum()
+    (made,) = rows(spark, folder, "flagship_image_metrics")
+    assert (made.anomalous, made.normal) == (label.sum(), 48 - label.sum())
+    assert (made.auroc, made.ap) == (pytest.approx(auroc, abs=1e-6), pytest.approx(ap, abs=1e-6))
