@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import mathx
 from ..functions.shared import scratch
 from ..operators import grid as grd
+from ..operators import localize
 from ..operators import metrics as met
 from ..operators import mixtures as mix
 from ..operators import planning as jon
@@ -59,6 +60,24 @@ def _(spark, sf_dir):
     return rounded(grd.upsample(fused, G, G, 16 * G, 16 * G, "corner"), "value")
 
 
+def rotated_references(rows):
+    """Eight views of each reference patch; a view's features stand in for those of the turned image."""
+    turned = F.concat(F.slice("vec", F.col("view") * 4 + 1, F.size("vec")), F.slice("vec", F.lit(1), F.col("view") * 4))
+    views = rows.withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("vec", turned)
+    return views.withColumn("row_id", F.concat_ws("|", "row_id", F.col("view").cast("string")))
+
+
+@query("run4_localize")
+def _(spark, sf_dir):
+    """The composed calls with the method's own settings for every category: models of the references' eight views, image
+    scores of all test images and the mean of their pixel maps (16 cells a patch side)."""
+    rows, keys = patches(spark, sf_dir), ["dataset", "layer"]
+    models = localize.fit(rotated_references(rows.where("is_ref")), keys)
+    scores, maps = localize.score(rows.where("not is_ref"), models, G, keys, ["dataset", "image_id"])
+    means = maps.groupBy("dataset", "image_id").agg(F.avg("value").alias("mean_value"), F.count("*").alias("cells"))
+    return rounded(scores.join(means, ["dataset", "image_id"]), "score", "mean_value", places=5)
+
+
 KEYS = list(run_files.KEYS)
 METRICS = ["img_ap", "img_auroc", "aupro_30", "aupro_05", "pix_auroc", "pix_ap"]
 DONE = [("d0", "knn", 1, 0), ("d1", "knn", 1, 0), ("d1", "mixture", 2, 1)]
