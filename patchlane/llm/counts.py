@@ -40,21 +40,28 @@ def range_counts(texts: DataFrame, count: Callable[[pa.Array], tuple[np.ndarray,
                 times.append(np.array(totals, np.int64).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([*held.tolist(), TOTALS]), pa.array(hashes, pa.binary()), pa.array(times, pa.binary())], names=["part", "hashes", "times"])
 
+    def total(k: int, found: list) -> pa.RecordBatch:
+        h, c = (np.concatenate(v) for v in zip(*found, strict=True))
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        n = np.add.reduceat(c, first) if len(h) else c
+        many = n > (more_than if k >= 0 else -1)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(int(many.sum()), k)), pa.array(h[first][many].view(np.int64)), pa.array(n[many])], names=["part", "hash", "n"])
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
+        part, found = None, []  # parts come one after another, so one is held at a time
         for batch in batches:
-            for k, h, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found.setdefault(k, []).append((np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)))
-        for k in list(found):
-            h, c = (np.concatenate(v) for v in zip(*found.pop(k), strict=True))
-            order = np.argsort(h)
-            h, c = h[order], c[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            total = np.add.reduceat(c, first) if len(h) else c
-            many = total > (more_than if k >= 0 else -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(many.sum()), k)), pa.array(h[first][many].view(np.int64)), pa.array(total[many])], names=["part", "hash", "n"])
+            for k, h, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if found and k != part:
+                    yield total(part, found)
+                    found = []
+                part = k
+                found.append((np.frombuffer(h.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int64)))
+        if found:
+            yield total(part, found)
 
-    return texts.mapInArrow(send, "part long, hashes binary, times binary").repartition(parts, "part").mapInArrow(add, "part long, hash long, n long")
+    return texts.mapInArrow(send, "part long, hashes binary, times binary").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add, "part long, hash long, n long")
 
 
 def most_frequent(counted: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray]:
