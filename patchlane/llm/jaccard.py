@@ -11,9 +11,10 @@
    prefix shingles, and components that link become one. Rounds go on while they find links in proportion to what is left,
    each with more partners, so that a group of near copies is one component, or few, after them.
 4. Then, exactly, every pair of nodes of different components that shares a prefix shingle and passes the filters is a
-   candidate. In turns each component has its most alike candidates verified, a few at first and twice as many each time;
-   components that link become one, and candidates inside one go, until none is left. No pair is verified twice. Work here
-   is linear in what links; like texts that just fail to link are compared pair by pair, as nothing else rules them out.
+   candidate. Where these are more than the nodes, each component has its most alike ones verified in turns, a few at first
+   and eight times as many each time; components that link become one, and candidates inside one go. No more candidates
+   than nodes are verified at once. No pair is verified twice. Work here is linear in what links; like texts that just fail
+   to link are compared pair by pair, as nothing else rules them out.
 5. Verification intersects the whole shingle sets, made once from the text of each node that is in a pair.
 
 Postings of frequent shingles are salted by their counts, so no task gets a hot shingle whole. Tables in the shared folder
@@ -45,7 +46,8 @@ MARKS = 3
 PARTNERS, MORE_PARTNERS = 2, 4
 #: Linear rounds go on as long as they find a link for each so many components that are left.
 WORTHWHILE = 50
-#: Pairs that each component takes first in the exact step; each further turn takes twice as many.
+#: Pairs that each component takes first in the exact step, if there are more candidates than nodes; each further turn takes
+#: eight times as many.
 FIRST_PAIRS = 8
 #: Nodes of one shingle that one task takes, about.
 SALT_ROWS = 4096
@@ -294,12 +296,16 @@ def classes(
         a, b = F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")
         rest = rest.select(a, b, F.least("p.component", "q.component").alias("c"), F.greatest("p.component", "q.component").alias("d"))
         rest = materialize(untested(rest.groupBy("a", "b", "c", "d").count()), "candidates", folder)
-        turn = 0
-        while not rest.isEmpty():
-            ends = rest.select("a", "b", "count", F.explode(F.array("c", "d")).alias("own"))
-            best = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("count"), "a", "b"))
-            leading = ends.withColumn("k", best).where(F.col("k") <= FIRST_PAIRS << turn).select("a", "b").distinct()
+        turn, few = 0, attributes.count()
+        while left_over := rest.count():
+            leading = rest.select("a", "b")
+            if left_over > few:
+                ends = rest.select("a", "b", "count", F.explode(F.array("c", "d")).alias("own"))
+                best = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("count"), "a", "b"))
+                leading = ends.withColumn("k", best).where(F.col("k") <= FIRST_PAIRS << 3 * turn).select("a", "b").distinct()
             draw_together(verified(leading, f"turn-{turn}"), f"turn-{turn}")
+            if left_over <= few:
+                break
             left = rest.select("a", "b", "count").join(tested[-1], ["a", "b"], "left_anti")
             before, rest = rest, materialize(component_of(component_of(left, "a", "c"), "b", "d").where("c != d"), f"rest-{turn}", folder)
             drop_table(before)
