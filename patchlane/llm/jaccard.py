@@ -173,9 +173,9 @@ def classes(
                 rows = rows.where(suffix_filter("p.coarse", "q.coarse", F.col("p.n") + F.col("q.n")))
             rows = rows.select(F.col(f"p.{own}").alias("unit"), F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
             found = rows if found is None else found.unionByName(rows)
-        counted = untested(found.groupBy("unit", "a", "b").count())
         best = Window.partitionBy("unit").orderBy(F.desc("count"), "a", "b")
-        return counted.withColumn("k", F.row_number().over(best)).where(F.col("k") <= few).select("a", "b").distinct()
+        counted = found.groupBy("unit", "a", "b").count().withColumn("k", F.row_number().over(best))
+        return untested(counted.where(F.col("k") <= few).select("a", "b").distinct())
 
     tested: list[DataFrame] = []  # pairs (a, b) that were taken so far
     whole: list[DataFrame] = []  # whole sets (node, set) that were made so far
