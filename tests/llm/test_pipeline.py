@@ -66,7 +66,7 @@ def without_spread_lines(rows):
     sites, first = {}, {}
     for i, text, _, source, *_ in rows:
         for k, line in enumerate((text or "").split("\n")):
-            if len(line) >= 20:
+            if line.strip(" \t\v\f\r"):
                 sites.setdefault(line, set()).add(source)
                 at = (i is not None, i or 0, text, k)
                 first[line] = min(first.get(line, at), at)
