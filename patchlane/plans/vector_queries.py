@@ -221,13 +221,14 @@ def _(spark, sf_dir):
 NAMED = "select page_id, 'a/b/' || page_id || case page_id % 4 when 0 then '_shift_left.png' when 1 then '_dark.png' when 2 then '_x1_logical.png' else '.structural.png' end as path from pages"
 
 
-def named(spark, sf_dir):
+def named_paths(spark, sf_dir):
+    """page_id and a path made of it."""
     return fx.table(spark, sf_dir, "pages").selectExpr("page_id", "concat('a/b/', page_id, case page_id % 4 when 0 then '_shift_left.png' when 1 then '_dark.png' when 2 then '_x1_logical.png' else '.structural.png' end) as path")
 
 
 @query("prj11_condition_of", f"with n as ({NAMED}), s as (select *, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') as stem from n) select page_id, case when contains(stem, 'shift') then 'shift' else regexp_replace(stem, '^\\d+_', '') end as cond from s")
 def _(spark, sf_dir):
-    return named(spark, sf_dir).select("page_id", prj.condition_of(F.col("path")).alias("cond"))
+    return named_paths(spark, sf_dir).select("page_id", prj.condition_of(F.col("path")).alias("cond"))
 
 
 @query("prj12_kind_of", f"with n as ({NAMED}) select page_id, case when contains(path, 'logical') then 'logical' when contains(path, 'structural') then 'structural' else 'good' end as kind from n")
