@@ -233,7 +233,7 @@ def _(spark, sf_dir):
 
 @query("prj12_kind_of", f"with n as ({NAMED}) select page_id, case when contains(path, 'logical') then 'logical' when contains(path, 'structural') then 'structural' else 'good' end as kind from n")
 def _(spark, sf_dir):
-    return named(spark, sf_dir).select("page_id", prj.kind_of(F.col("path")).alias("kind"))
+    return named_paths(spark, sf_dir).select("page_id", prj.kind_of(F.col("path")).alias("kind"))
 
 
 @query(

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["prj11_condition_of"])
+@pytest.mark.parametrize("name", ["prj11_condition_of", "prj12_kind_of"])
 def test_equals_its_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{os.path.join(DATA, 'pages.parquet')}'")
