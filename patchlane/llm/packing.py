@@ -1,7 +1,8 @@
 """Lexical retrieval packing: documents that share rare words fill a training window together.
 
 1. Document frequencies of all words and the mean length are counted over the whole table. The table of the words that two
-   or more documents hold (at most `table_terms`, the most frequent ones) is broadcast.
+   or more documents hold (at most `table_terms`, the most frequent ones) is broadcast. Where more words are shared, the
+   rest stays a stored table, and each document gets the frequencies of its words among them by a join on the words.
 2. Each document gets three keys: words it shares with other documents, drawn by hash so that the chance that two documents
    draw the same one is their Jaccard similarity weighted by squared idf. Rows are dealt by ranges of these keys, so
    documents from any file meet; a key that very many documents draw is spread by the further keys, the id and a draw.
@@ -25,14 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
 from .chunkcodec import HashTable, ragged, worker_encoder
-from .common import compute_columns, drop_table, materialize
+from .common import drop_table, materialize, release, text_slices
 from .counts import TOTALS, most_frequent, range_counts
 
 K1, B = 1.2, 0.75
@@ -40,29 +41,36 @@ K1, B = 1.2, 0.75
 DENSE = 1 / 16
 #: Neighbours that a query puts in order at once.
 LEADING = 16
+#: Columns of a row's words outside the broadcast table: their hashes and their document frequencies.
+RARE = ("__rare__", "__held__")
 
 
 class CorpusTerms:
     """Document frequencies of words, by hash, and the number and mean length (in words) of all documents.
 
-    least: the lowest frequency in the table; a word outside it is held by fewer documents."""
+    rest: the words (hash, n) of two or more documents that the table has no room for, stored; None if it has them all."""
 
-    def __init__(self, keys: np.ndarray, docs: np.ndarray, n: int, mean: float, least: int):
-        self.keys, self.docs, self.n, self.mean, self.least = keys, docs, n, mean, least
+    def __init__(self, keys: np.ndarray, docs: np.ndarray, n: int, mean: float, rest: DataFrame | None = None):
+        self.keys, self.docs, self.n, self.mean, self.rest = keys, docs, n, mean, rest
         self.table: HashTable | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"table": None}
-
-    def frequency(self, keys: np.ndarray) -> np.ndarray:
-        """Document frequencies; 0 for words outside the table."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        if self.table is None:
-            self.table = HashTable(len(self.keys))
-            self.table.add(self.keys)
-        at = self.table.find(keys)
-        return np.where(at >= 0, self.docs[at], 0)
+        return self.__dict__ | {"table": None, "rest": None}
+
+    def frequency(self, keys: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Document frequencies; 0 for words outside the table, and outside more, if given (ascending hashes, frequencies)."""
+        out = np.zeros(len(keys), np.int64)
+        if len(self.keys):
+            if self.table is None:
+                self.table = HashTable(len(self.keys))
+                self.table.add(self.keys)
+            at = self.table.find(keys)
+            out = np.where(at >= 0, self.docs[at], 0)
+        if more is not None and len(more[0]):
+            missing = np.flatnonzero(out == 0)
+            at = np.minimum(np.searchsorted(more[0], keys[missing]), len(more[0]) - 1)
+            out[missing] = np.where(more[0][at] == keys[missing], more[1][at], 0)
+        return out
 
 
 def document_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -77,7 +85,7 @@ def document_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def corpus_terms(docs: DataFrame, table_terms: int) -> CorpusTerms:
-    """The frequencies over all rows of docs, whose only column is __text__."""
+    """The frequencies over all rows of docs, whose only column is __text__. The caller drops the stored rest."""
 
     def count(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
         keys, _, words = document_terms(texts)
@@ -85,16 +93,45 @@ def corpus_terms(docs: DataFrame, table_terms: int) -> CorpusTerms:
 
     counted = materialize(range_counts(docs, count, 1), "word-counts")
     whole = {r["hash"]: r["n"] for r in counted.where(F.col("part") == TOTALS).collect()}  # two rows
-    keys, held = most_frequent(counted.where("part >= 0").select("hash", "n"), table_terms)
-    drop_table(counted)
+    shared = counted.where("part >= 0").select("hash", "n")
+    keys, held = most_frequent(shared, table_terms)
+    rest: DataFrame | None = shared.where(F.col("n") < int(held.min())) if len(held) else shared  # the table has whole classes of counts
+    if rest.isEmpty():
+        drop_table(counted)
+        rest = None
     n = whole.get(0, 0)
-    return CorpusTerms(keys, held, n, max(whole.get(1, 0) / max(n, 1), 1), int(held.min()) if len(held) else 2)
+    return CorpusTerms(keys, held, n, max(whole.get(1, 0) / max(n, 1), 1), rest)
+
+
+def with_rest(texts: DataFrame, corpus: CorpusTerms, held: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """texts with RARE: of each row, its words in corpus.rest and their frequencies; and the stored table that it reads."""
+    numbered = materialize(texts.withColumn("__row__", F.monotonically_increasing_id()), "numbered-texts")
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "__text__"):
+                keys, row, _ = document_terms(part.column("__text__"))
+                at = np.flatnonzero(held.value.frequency(keys) == 0)
+                yield pa.RecordBatch.from_arrays([part.column("__row__").take(pa.array(row[at])), pa.array(keys[at].view(np.int64))], names=["__row__", "hash"])
+
+    words = numbered.select("__row__", "__text__").mapInArrow(outside, "__row__ long, hash long").join(corpus.rest, "hash")
+    found = words.groupBy("__row__").agg(F.collect_list(F.struct("hash", "n")).alias("w")).select("__row__", *[F.col(f"w.{c}").alias(r) for c, r in zip(("hash", "n"), RARE, strict=True)])
+    return numbered.join(found, "__row__", "left").drop("__row__"), numbered
 
 
-def draw_keys(texts: pa.Array, corpus: CorpusTerms) -> list[np.ndarray]:
+def rare_words(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ascending hashes and frequencies of the words in RARE of all rows; None where there is no such column."""
+    if RARE[0] not in rows[0].schema.names:
+        return None
+    hashes, n = (np.concatenate([r.column(c).flatten().to_numpy(zero_copy_only=False) for r in rows]) for c in RARE)
+    hashes, first = np.unique(hashes.view(np.uint64), return_index=True)
+    return hashes, n[first]
+
+
+def draw_keys(texts: pa.Array, corpus: CorpusTerms, more: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
     """Three words of each row that other documents hold too, as hashes (0 without any), by weighted min-wise draws."""
     keys, row, _ = document_terms(texts)
-    held = corpus.frequency(keys)
+    held = corpus.frequency(keys, more)
     keys, row, held = keys[held > 1], row[held > 1], held[held > 1]
     weight = np.log1p((corpus.n - held + 0.5) / (held + 0.5)) ** 2
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
@@ -114,9 +151,18 @@ def draw_keys(texts: pa.Array, corpus: CorpusTerms) -> list[np.ndarray]:
 class ShardIndex:
     """BM25 inverted index of a block of documents, given as term numbers and the offsets of the documents.
 
-    With corpus and the hashes of the term numbers, frequencies and mean length are the corpus's, else the block's."""
-
-    def __init__(self, terms: np.ndarray, first: np.ndarray, query_terms: int | None = None, corpus: CorpusTerms | None = None, hashes: np.ndarray | None = None):
+    With corpus, the hashes of the term numbers and the frequencies of words outside the corpus's table (more), frequencies
+    and mean length are the corpus's, else the block's."""
+
+    def __init__(
+        self,
+        terms: np.ndarray,
+        first: np.ndarray,
+        query_terms: int | None = None,
+        corpus: CorpusTerms | None = None,
+        hashes: np.ndarray | None = None,
+        more: tuple[np.ndarray, np.ndarray] | None = None,
+    ):
         n = self.n = len(first) - 1
         counts = np.diff(first)
         doc = np.repeat(np.arange(n, dtype=np.int64), counts)
@@ -128,9 +174,9 @@ class ShardIndex:
         size = np.diff(np.r_[start, len(term)])
         total, held, mean = n, size, max(counts.mean(), 1) if n else 1
         if corpus is not None:
-            found = corpus.frequency(hashes[term[start]])
+            found = corpus.frequency(hashes[term[start]], more)
             total, mean = corpus.n, corpus.mean
-            held = np.where(found > 0, found, np.minimum(np.maximum(size, corpus.least - 1), total))
+            held = np.where(found > 0, found, size)  # the others are words of one document
         idf = np.log1p((total - held + 0.5) / (held + 0.5))
         length = counts / mean
         self.weight = np.repeat(idf, size) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs]))
@@ -219,21 +265,33 @@ def fill_windows(index: ShardIndex, lengths: np.ndarray, window: int) -> Iterato
             sequence += room == 0
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, shard_tokens: int, table_terms: int) -> tuple[DataFrame, CorpusTerms]:
-    """The id column and __text__ of all rows, dealt so that a task has about a shard of rows with like keys."""
+def deal(docs: DataFrame, id_col: str, text_col: str, shard_tokens: int, table_terms: int) -> tuple[DataFrame, Broadcast]:
+    """The id column and __text__ of all rows (and RARE, if the table of words has no room for all that are shared), dealt
+    so that a task has about a shard of rows with like keys; and the table of words."""
     texts = docs.select(docs[id_col], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text__"))
     corpus = corpus_terms(texts.select("__text__"), table_terms)
     held = docs.sparkSession.sparkContext.broadcast(corpus)
+    rest, stored = corpus.rest, []
+    if rest is not None:
+        texts, numbered = with_rest(texts, corpus, held)
+        stored = [numbered, rest]
     keys = ["__key0__", "__key1__", "__key2__"]
-    fields = [T.StructField(k, T.LongType(), False) for k in [*keys, "__draw__"]]
+    schema = T.StructType([*texts.schema, *[T.StructField(k, T.LongType(), False) for k in [*keys, "__draw__"]]])
 
-    def draw(part: pa.Array) -> list[np.ndarray]:
-        return [*draw_keys(part, held.value), np.random.default_rng().integers(1 << 62, size=len(part))]  # written before it is used
-
-    keyed = materialize(compute_columns(texts, "__text__", [id_col, "__text__"], fields, draw), "keyed-texts")
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "__text__"):
+                drawn = np.random.default_rng().integers(1 << 62, size=part.num_rows)  # written before it is used
+                made = [*draw_keys(part.column("__text__"), held.value, rare_words([part])), drawn]
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, made)], names=schema.names)
+        release()
+
+    keyed = materialize(texts.mapInArrow(draw, schema), "keyed-texts")
+    for done in stored:
+        drop_table(done)
     shards = max(1, round(1.5 * corpus.n * corpus.mean / shard_tokens))  # a little over a token a word; ranges differ
     order = [*keys, F.xxhash64(id_col), "__draw__"]
-    return keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select(id_col, "__text__"), corpus
+    return keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select(texts.columns), held
 
 
 def pack(
@@ -249,7 +307,7 @@ def pack(
 ) -> DataFrame:
     """Pieces of documents: the id column, start, ids (binary, little-endian unsigned 32-bit), length, doc_tokens,
     sequence_id and offset. query_terms bounds the length of a BM25 query (None: all words of the seed) and only orders
-    neighbours. Words beyond the table_terms most frequent ones draw no keys and weigh as the table's rarest."""
+    neighbours. table_terms bounds the broadcast table only: words beyond it come by a join, and results are the same."""
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
     fields = [T.StructField(n, T.LongType(), False) for n in ("start", "length", "doc_tokens", "sequence_id", "offset")]
@@ -266,7 +324,7 @@ def pack(
         lengths = np.diff(ends) + 1
         whole = np.insert(ids.astype("<u4"), ends[1:], end_id)
         begin = np.cumsum(lengths) - lengths
-        pieces = np.array(list(fill_windows(ShardIndex(terms, first, query_terms, held.value, hashes), lengths, window)), np.int64).reshape(-1, 5)
+        pieces = np.array(list(fill_windows(ShardIndex(terms, first, query_terms, held.value, hashes, rare_words(rows)), lengths, window)), np.int64).reshape(-1, 5)
         doc, start, length, sequence, offset = pieces.T
         taken = whole[ragged(begin[doc] + start, length)]
         cuts = np.r_[0, np.cumsum(length)] * 4
@@ -291,7 +349,8 @@ def pack(
                     rows, filled = [], 0
         if rows:
             yield shard(rows, base)[0]
+        rows = []
+        release()
 
-    dealt, corpus = deal(docs, id_col, text_col, shard_tokens, table_terms)
-    held = docs.sparkSession.sparkContext.broadcast(corpus)
+    dealt, held = deal(docs, id_col, text_col, shard_tokens, table_terms)
     return dealt.mapInArrow(run, schema)
