@@ -17,7 +17,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,12 @@ JOINED = 512
 #: Chunks whose pre-tokens are evident: Latin letters, digits and marks without an apostrophe or an angle bracket.
 LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 SIGN = r"!-&(-/:;=?@\[-`{-~"
-STYLES = {
-    "word": (re.compile(f"[{LETTER}0-9{SIGN}]+"), re.compile(f"[{LETTER}]+|[0-9]|[{SIGN}]+")),
-    "byte": (re.compile(f" [{LETTER}0-9{SIGN}]+(?:\n[{LETTER}0-9{SIGN}]+)*"), re.compile(f" ?[{LETTER}]+| ?[0-9]+| ?[{SIGN}]+|\n")),
-}
+PLAIN, PIECES = re.compile(f" [{LETTER}0-9{SIGN}]+(?:\n[{LETTER}0-9{SIGN}]+)*"), re.compile(f" ?[{LETTER}]+| ?[0-9]+| ?[{SIGN}]+|\n")
+#: The same by byte, for style word: 1 letters (those of two bytes start with LEAD), 2 digits, 3 signs, 0 all others.
+LEAD, NO_LETTER = 0xC3, (0x97, 0xB7)
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = 3
+KIND[[*range(65, 91), *range(97, 123), LEAD, *range(0x80, 0xC0)]], KIND[48:58], KIND[[ord(c) for c in "'<>"]] = 1, 2, 0
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -81,13 +82,35 @@ class HashTable:
             slot[left] = (slot[left] + 1) & mask
 
 
+class Chunks:
+    """Chunks as UTF-8 bytes, one after the other; chunk i is raw[cuts[i] : cuts[i + 1]]."""
+
+    def __init__(self, raw: np.ndarray, size: np.ndarray):
+        self.raw, self.size, self.cuts = raw, size, np.r_[0, np.cumsum(size, dtype=np.int64)]
+
+    @classmethod
+    def cut(cls, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> Chunks:
+        return cls(raw[ragged(start, end - start)], end - start)
+
+    @classmethod
+    def of(cls, strings: list[str]) -> Chunks:
+        held = [c.encode() for c in strings]
+        return cls(np.frombuffer(b"".join(held), np.uint8), np.array([len(c) for c in held], np.int64))
+
+    def take(self, at: np.ndarray) -> Chunks:
+        return Chunks.cut(self.raw, self.cuts[at], self.cuts[at + 1])
+
+    def strings(self) -> list[str]:
+        text = self.raw.tobytes()
+        return [text[a:b].decode() for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)]
+
+
 class ChunkEncoder:
     def __init__(self, path: str, style: str, max_chunks: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.style, self.max_chunks = style, max_chunks
-        self.plain, self.pieces = STYLES[style]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -107,20 +130,40 @@ class ChunkEncoder:
         self.table, self.used = HashTable(self.max_chunks), np.zeros(0, np.int32)
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind)
 
-    def encode_plain(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def is_plain(self, chunks: Chunks) -> np.ndarray:
+        if self.style == "byte":
+            return np.fromiter((PLAIN.fullmatch(c) is not None for c in chunks.strings()), bool, len(chunks.size))
+        bad = KIND[chunks.raw] == 0
+        bad[1:] |= (chunks.raw[:-1] == LEAD) & np.isin(chunks.raw[1:], NO_LETTER)
+        return np.r_[0, np.cumsum(bad)][chunks.cuts[1:]] == np.r_[0, np.cumsum(bad)][chunks.cuts[:-1]]
+
+    def parted_words(self, chunks: Chunks) -> tuple[list[str], list[np.ndarray]]:
+        """Texts of JOINED plain words each, in lower case, a zero between pre-tokens; and the words' numbers of pre-tokens."""
+        raw, cuts = chunks.raw, chunks.cuts
+        kind = KIND[raw]
+        after = np.r_[False, raw[:-1] == LEAD] if len(raw) else np.zeros(0, bool)
+        starts = kind == 2
+        starts[1:] |= kind[1:] != kind[:-1]
+        starts[cuts[:-1]] = True
+        tokens = np.cumsum(starts)
+        place = np.arange(len(raw)) + tokens  # a zero stands before each pre-token
+        out = np.zeros(len(raw) + (int(tokens[-1]) if len(raw) else 0), np.uint8)
+        out[place] = np.where(after & (raw < 0x9F), raw + np.uint8(32), textvec.LOWER[raw])
+        counts = np.diff(np.r_[0, tokens[cuts[1:] - 1]])
+        edges = [*range(0, len(counts), JOINED), len(counts)]
+        texts = [out[place[cuts[i]] : place[cuts[j] - 1] + 1].tobytes().decode() for i, j in zip(edges, edges[1:], strict=False)] if len(counts) else []
+        return texts, [counts[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+
+    def encode_plain(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain chunks, one after the other, and how many each has; many chunks are encoded as one text.
 
         word: the last id of a pre-token, and no other, has a piece that ends in the end-of-word suffix.
         byte: the first id of a chunk, and no other, has a piece that starts with the sign for a space."""
-        texts, counts = [], []
-        for k in range(0, len(chunks), JOINED):
-            group = chunks[k : k + JOINED]
-            if self.style == "word":
-                parts = [self.pieces.findall(c.lower()) for c in group]
-                counts.append(np.array([len(x) for x in parts]))
-                texts.append("\0".join(["\0".join(x) for x in parts]))
-            else:
-                texts.append("\0".join(self.pieces.findall("".join(group))))
+        if self.style == "word":
+            texts, counts = self.parted_words(chunks)
+        else:
+            strings = chunks.strings()
+            texts, counts = ["\0".join(PIECES.findall("".join(strings[k : k + JOINED]))) for k in range(0, len(strings), JOINED)], []
         flat, lengths = [np.zeros(0, self.kind)], [np.zeros(0, np.int32)]
         for k, e in enumerate(self.bare.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
@@ -129,22 +172,22 @@ class ChunkEncoder:
             lengths.append(np.diff(np.r_[-1, at[np.cumsum(counts[k]) - 1]] if self.style == "word" else np.r_[at, len(ids)]).astype(np.int32))
         return np.concatenate(flat), np.concatenate(lengths)
 
-    def encode_other(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind) for c in chunks]
+    def encode_other(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:
+        made = [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind) for c in chunks.strings()]
         return np.concatenate([np.zeros(0, self.kind), *made]), np.array([len(x) for x in made], np.int32)
 
     def encode_list(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, one after the other, and how many each has, without the table."""
-        plain = np.fromiter((self.plain.fullmatch(c) is not None for c in chunks), bool, len(chunks))
-        made = [encode([chunks[i] for i in np.flatnonzero(m)]) for m, encode in ((plain, self.encode_plain), (~plain, self.encode_other))]
+        own = Chunks.of(chunks)
+        plain = self.is_plain(own)
+        made = [encode(own.take(np.flatnonzero(m))) for m, encode in ((plain, self.encode_plain), (~plain, self.encode_other))]
         at = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
         lengths, starts = np.zeros(len(chunks), np.int32), np.zeros(len(chunks), np.int64)
         lengths[at] = np.r_[made[0][1], made[1][1]]
         starts[at] = np.cumsum(lengths[at], dtype=np.int64) - lengths[at]
         return np.r_[made[0][0], made[1][0]][ragged(starts, lengths)], lengths
 
-    def enter(self, keys: np.ndarray, chunks: Iterable[str]) -> None:
-        chunks = list(chunks)
+    def enter(self, keys: np.ndarray, chunks: Chunks) -> None:
         if self.table.size + len(keys) > self.max_chunks:  # keep what was used more than once
             kept = np.flatnonzero(self.used > 1)
             kept = kept if len(kept) + len(keys) <= self.max_chunks else kept[:0]
@@ -157,9 +200,9 @@ class ChunkEncoder:
             self.table.add(old[kept])
             self.used, self.lengths, self.flat = np.ones(len(kept), np.int32), lengths, flat[ragged(starts, lengths)]
             self.starts = np.cumsum(lengths, dtype=np.int64) - lengths
-        plain = np.fromiter((self.plain.fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        plain = self.is_plain(chunks)
         for mask, encode in ((plain, self.encode_plain), (~plain, self.encode_other)):
-            ids, sizes = encode([chunks[i] for i in np.flatnonzero(mask)])
+            ids, sizes = encode(chunks.take(np.flatnonzero(mask)))
             self.table.add(keys[mask])
             self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes, dtype=np.int64) - sizes]
             self.lengths, self.flat, self.used = np.r_[self.lengths, sizes], np.r_[self.flat, ids], np.r_[self.used, np.zeros(len(sizes), np.int32)]
@@ -190,16 +233,15 @@ class ChunkEncoder:
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
             new, first = np.unique(keys[missing], return_index=True)
-            text = raw.tobytes()
             at = missing[first]
-            self.enter(new, (text[a:b].decode() for a, b in zip(spans.start[at].tolist(), spans.end[at].tolist(), strict=True)))
+            self.enter(new, Chunks.cut(raw, spans.start[at], spans.end[at]))
             numbers = self.table.find(keys)  # entering may have renewed the table
             if (numbers < 0).any():
                 lost = np.flatnonzero(numbers < 0)
                 new, first = np.unique(keys[lost], return_index=True)
                 at = lost[first]
                 self.max_chunks = max(self.max_chunks, 2 * (self.table.size + len(new)))
-                self.enter(new, (text[a:b].decode() for a, b in zip(spans.start[at].tolist(), spans.end[at].tolist(), strict=True)))
+                self.enter(new, Chunks.cut(raw, spans.start[at], spans.end[at]))
                 numbers = self.table.find(keys)
         self.used += np.minimum(np.bincount(numbers, minlength=len(self.used)), 1 << 20).astype(np.int32)
         np.minimum(self.used, 1 << 20, out=self.used)
