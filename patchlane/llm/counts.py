@@ -1,8 +1,8 @@
 """Counts of 64-bit hashes over a whole table of texts, without a JVM row for each.
 
 Each slice of texts sends its hashes as one sorted array for each range of hash values. Ranges are as many as the texts
-need to be about COUNT_BYTES of text each, so a range is counted in memory, whatever the table's size; a hash that stands
-in every slice is one number of each."""
+need to be about COUNT_BYTES of text each, so a range is counted in memory, whatever the table's size, and a task counts
+about two ranges, one after the other; a hash that stands in every slice is one number of each."""
 
 from __future__ import annotations
 
@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import release, text_slices
 
 #: Text whose hashes are counted in one piece, about.
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 8 << 20
 TOTALS = -1
 
 
@@ -35,17 +35,20 @@ def range_counts(texts: DataFrame, count: Callable[[pa.Array], tuple[np.ndarray,
                 which = (h >> np.uint64(32)).astype(np.int64) * parts >> 32  # ascends with the hashes
                 cuts = np.searchsorted(which, np.arange(parts + 1))
                 held = np.flatnonzero(np.diff(cuts))
-                hashes, times = ([v[cuts[k] : cuts[k + 1]].tobytes() for k in held] for v in (h, c.astype(np.int64)))
+                hashes, times = ([v[cuts[k] : cuts[k + 1]].tobytes() for k in held] for v in (h, c.astype(np.int32)))
                 hashes.append(np.arange(len(totals), dtype=np.uint64).tobytes())
-                times.append(np.array(totals, np.int64).tobytes())
+                times.append(np.array(totals, np.int32).tobytes())  # of a slice, as all counts here
+                del h, c, which
                 yield pa.RecordBatch.from_arrays([pa.array([*held.tolist(), TOTALS]), pa.array(hashes, pa.binary()), pa.array(times, pa.binary())], names=["part", "hashes", "times"])
+        release()
 
     def total(k: int, found: list) -> pa.RecordBatch:
         h, c = (np.concatenate(v) for v in zip(*found, strict=True))
+        found.clear()
         order = np.argsort(h)
         h, c = h[order], c[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        n = np.add.reduceat(c, first) if len(h) else c
+        n = np.add.reduceat(c, first, dtype=np.int64) if len(h) else c.astype(np.int64)
         many = n > (more_than if k >= 0 else -1)
         return pa.RecordBatch.from_arrays([pa.array(np.full(int(many.sum()), k)), pa.array(h[first][many].view(np.int64)), pa.array(n[many])], names=["part", "hash", "n"])
 
@@ -57,11 +60,12 @@ def range_counts(texts: DataFrame, count: Callable[[pa.Array], tuple[np.ndarray,
                     yield total(part, found)
                     found = []
                 part = k
-                found.append((np.frombuffer(h.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int64)))
+                found.append((np.frombuffer(h.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int32)))
         if found:
             yield total(part, found)
+        release()
 
-    return texts.mapInArrow(send, "part long, hashes binary, times binary").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add, "part long, hash long, n long")
+    return texts.mapInArrow(send, "part long, hashes binary, times binary").repartition(1 + parts // 2, "part").sortWithinPartitions("part").mapInArrow(add, "part long, hash long, n long")
 
 
 def most_frequent(counted: DataFrame, room: int) -> tuple[np.ndarray, np.ndarray]:
