@@ -36,6 +36,9 @@ LEAD, NO_LETTER = 0xC3, (0x97, 0xB7)
 KIND = np.zeros(256, np.uint8)
 KIND[0x21:0x7F] = 3
 KIND[[*range(65, 91), *range(97, 123), LEAD, *range(0x80, 0xC0)]], KIND[48:58], KIND[[ord(c) for c in "'<>"]] = 1, 2, 0
+#: Signs of byte-level tokenizers for the bytes that plain words can have; zero stays, as it parts words.
+BYTE_SIGNS = np.arange(256, dtype="<u4")
+BYTE_SIGNS[0x7F:0xA1], BYTE_SIGNS[0xAD] = np.arange(289, 323), 323
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -120,6 +123,8 @@ class ChunkEncoder:
             {"type": "Split", "pattern": {"String": "\0"}, "behavior": "Removed", "invert": False},
             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False},
         ]}
+        if style == "word":  # bytes are turned into signs before
+            bare["pre_tokenizer"] = {"type": "CharDelimiterSplit", "delimiter": "\0"}
         self.bare = Tokenizer.from_str(json.dumps(bare))
         pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.marked = np.array([p.endswith("</w>") if style == "word" else p.startswith("\u0120") for p in pieces])
@@ -137,39 +142,53 @@ class ChunkEncoder:
         bad[1:] |= (chunks.raw[:-1] == LEAD) & np.isin(chunks.raw[1:], NO_LETTER)
         return np.r_[0, np.cumsum(bad)][chunks.cuts[1:]] == np.r_[0, np.cumsum(bad)][chunks.cuts[:-1]]
 
-    def parted_words(self, chunks: Chunks) -> tuple[list[str], list[np.ndarray]]:
-        """Texts of JOINED plain words each, in lower case, a zero between pre-tokens; and the words' numbers of pre-tokens."""
+    def pre_tokens(self, chunks: Chunks) -> tuple[Chunks, np.ndarray]:
+        """The pre-tokens of plain words in lower case, and how many of them each word has."""
         raw, cuts = chunks.raw, chunks.cuts
         kind = KIND[raw]
         after = np.r_[False, raw[:-1] == LEAD] if len(raw) else np.zeros(0, bool)
         starts = kind == 2
         starts[1:] |= kind[1:] != kind[:-1]
         starts[cuts[:-1]] = True
-        tokens = np.cumsum(starts)
-        place = np.arange(len(raw)) + tokens  # a zero stands before each pre-token
-        out = np.zeros(len(raw) + (int(tokens[-1]) if len(raw) else 0), np.uint8)
-        out[place] = np.where(after & (raw < 0x9F), raw + np.uint8(32), textvec.LOWER[raw])
-        counts = np.diff(np.r_[0, tokens[cuts[1:] - 1]])
-        edges = [*range(0, len(counts), JOINED), len(counts)]
-        texts = [out[place[cuts[i]] : place[cuts[j] - 1] + 1].tobytes().decode() for i, j in zip(edges, edges[1:], strict=False)] if len(counts) else []
-        return texts, [counts[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+        lower = np.where(after & (raw < 0x9F), raw + np.uint8(32), textvec.LOWER[raw])
+        before = np.r_[0, np.cumsum(starts)]
+        return Chunks(lower, np.diff(np.r_[np.flatnonzero(starts), len(raw)])), before[cuts[1:]] - before[cuts[:-1]]
+
+    def encode_tokens(self, tokens: Chunks) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, one after the other, and how many each has; JOINED of them are encoded as one text.
+
+        The last id of a pre-token, and no other, has a piece that ends in the end-of-word suffix."""
+        count = len(tokens.size)
+        out = np.zeros(len(tokens.raw) + count, np.uint8)
+        out[np.arange(len(tokens.raw)) + np.repeat(np.arange(count), tokens.size)] = tokens.raw  # a zero stands after each
+        ends = tokens.cuts + np.arange(count + 1)
+        edges = [*range(0, count, JOINED), count]
+        texts = [BYTE_SIGNS[out[ends[i] : ends[j]]].tobytes().decode("utf-32-le") for i, j in zip(edges, edges[1:], strict=False)]
+        made = self.bare.encode_batch_fast(texts, add_special_tokens=False)
+        flat = np.concatenate([np.zeros(0, self.kind), *[np.array(e.ids, self.kind) for e in made]])
+        return flat, np.diff(np.r_[-1, np.flatnonzero(self.marked[flat])]).astype(np.int32)
 
     def encode_plain(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain chunks, one after the other, and how many each has; many chunks are encoded as one text.
 
-        word: the last id of a pre-token, and no other, has a piece that ends in the end-of-word suffix.
+        word: each distinct pre-token is encoded once.
         byte: the first id of a chunk, and no other, has a piece that starts with the sign for a space."""
         if self.style == "word":
-            texts, counts = self.parted_words(chunks)
-        else:
-            strings = chunks.strings()
-            texts, counts = ["\0".join(PIECES.findall("".join(strings[k : k + JOINED]))) for k in range(0, len(strings), JOINED)], []
+            tokens, counts = self.pre_tokens(chunks)
+            keys = textvec.hashes(tokens.raw, tokens.cuts[:-1], tokens.cuts[1:])
+            _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            ids, size = self.encode_tokens(tokens.take(first))
+            start, sizes = np.cumsum(size, dtype=np.int64) - size, size[which]
+            before = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+            last = np.r_[0, np.cumsum(counts)]
+            return ids[ragged(start[which], sizes)], np.diff(before[last]).astype(np.int32)
+        strings = chunks.strings()
+        texts = ["\0".join(PIECES.findall("".join(strings[k : k + JOINED]))) for k in range(0, len(strings), JOINED)]
         flat, lengths = [np.zeros(0, self.kind)], [np.zeros(0, np.int32)]
-        for k, e in enumerate(self.bare.encode_batch_fast(texts, add_special_tokens=False)):
+        for e in self.bare.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(e.ids, self.kind)
-            at = np.flatnonzero(self.marked[ids])
             flat.append(ids)
-            lengths.append(np.diff(np.r_[-1, at[np.cumsum(counts[k]) - 1]] if self.style == "word" else np.r_[at, len(ids)]).astype(np.int32))
+            lengths.append(np.diff(np.r_[np.flatnonzero(self.marked[ids]), len(ids)]).astype(np.int32))
         return np.concatenate(flat), np.concatenate(lengths)
 
     def encode_other(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .chunkcodec import HashTable, ragged, worker_encoder
-from .common import drop_table, materialize, release, text_slices
+from .chunkcodec import ragged, worker_encoder
+from .common import array_slices, drop_table, materialize, release, text_slices
 from .counts import TOTALS, most_frequent, range_counts
 
 K1, B = 1.2, 0.75
@@ -51,21 +51,27 @@ class CorpusTerms:
     rest: the words (hash, n) of two or more documents that the table has no room for, stored; None if it has them all."""
 
     def __init__(self, keys: np.ndarray, docs: np.ndarray, n: int, mean: float, rest: DataFrame | None = None):
-        self.keys, self.docs, self.n, self.mean, self.rest = keys, docs, n, mean, rest
-        self.table: HashTable | None = None
+        order = np.argsort(keys)
+        self.keys = np.r_[keys[order], np.uint64(2**64 - 1)]  # no hash is above the last one
+        self.docs = np.r_[docs[order], 0].astype(np.min_scalar_type(int(docs.max(initial=0))))
+        self.n, self.mean, self.rest = n, mean, rest
+        self.shift = np.uint64(min(65 - len(self.keys).bit_length(), 63))
+        self.starts: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"table": None, "rest": None}
+        return self.__dict__ | {"starts": None, "rest": None}
 
     def frequency(self, keys: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Document frequencies; 0 for words outside the table, and outside more, if given (ascending hashes, frequencies)."""
-        out = np.zeros(len(keys), np.int64)
-        if len(self.keys):
-            if self.table is None:
-                self.table = HashTable(len(self.keys))
-                self.table.add(self.keys)
-            at = self.table.find(keys)
-            out = np.where(at >= 0, self.docs[at], 0)
+        if self.starts is None:  # of each range of hashes, there are one or two for each
+            ranges = np.arange(1 << 64 - int(self.shift), dtype=np.uint64) << self.shift
+            self.starts = np.searchsorted(self.keys, ranges).astype(np.int32)
+        at = self.starts[(keys >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.keys[at] < keys)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] < keys[left]]
+        out = np.where(self.keys[at] == keys, self.docs[at], 0).astype(np.int64)
         if more is not None and len(more[0]):
             missing = np.flatnonzero(out == 0)
             at = np.minimum(np.searchsorted(more[0], keys[missing]), len(more[0]) - 1)
@@ -75,13 +81,18 @@ class CorpusTerms:
 
 def document_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """Hash and row of the distinct words of each row, by row, and the number of all words."""
-    spans = textvec.words(*(raw := textvec.utf8(texts)))
-    keys, row = textvec.hashes(raw[0], spans.start, spans.end), spans.doc()
-    both = textvec.mix(keys + row.astype(np.uint64) * textvec.BASE)
-    order = np.argsort(both)
-    both = both[order]
-    first = np.sort(order[np.r_[True, both[1:] != both[:-1]]]) if len(both) else order  # one of each word of a row
-    return keys[first], row[first], len(keys)
+    keys, rows, at, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
+    for part in array_slices(texts):
+        spans = textvec.words(*(raw := textvec.utf8(part)))
+        own, row = textvec.hashes(raw[0], spans.start, spans.end), spans.doc()
+        both = textvec.mix(own + row.astype(np.uint64) * textvec.BASE)
+        order = np.argsort(both)
+        both = both[order]
+        first = np.sort(order[np.r_[True, both[1:] != both[:-1]]]) if len(both) else order  # one of each word of a row
+        keys.append(own[first])
+        rows.append(row[first] + at)
+        at, words = at + len(part), words + len(own)
+    return np.concatenate(keys), np.concatenate(rows), words
 
 
 def corpus_terms(docs: DataFrame, table_terms: int) -> CorpusTerms:
