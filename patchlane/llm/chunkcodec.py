@@ -47,7 +47,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(total)
+    out = np.repeat(starts - before, lengths)
+    out += np.arange(total)
+    return out
 
 
 class HashTable:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunkcodec import HashTable, ragged
-from .common import compute_columns, drop_table, materialize, shared_dir
+from .common import array_slices, compute_columns, drop_table, materialize, shared_dir
 from .components import as_edges, nodes_of, settle
 from .counts import most_frequent, range_counts
 from .shingles import Sets
@@ -59,7 +59,7 @@ class Ranks:
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
         self.table = HashTable(max(len(grams), 1))
         self.table.add(grams)
-        self.rank = np.r_[np.clip(np.log2(np.maximum(counts, 2)) * 6, 1, 255).astype(np.uint64), np.uint64(0)]
+        self.rank = np.r_[np.clip(np.log2(np.maximum(counts, 2)) * 6, 1, 255).astype(np.uint8), np.uint8(0)]
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         return self.rank[self.table.find(h)]
@@ -69,7 +69,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int, ranked: int, folde
     """Ranks of the most frequent shingles, counted over all rows of docs."""
 
     def count(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        return *np.unique(Sets(texts, n).hash, return_counts=True), []
+        return *np.unique(np.concatenate([np.zeros(0, np.uint64), *[Sets(part, n).hash for part in array_slices(texts)]]), return_counts=True), []
 
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counted = materialize(range_counts(texts, count, 3).where("part >= 0").select("hash", "n"), "shingle-counts", folder)  # rarer ones are all alike

@@ -329,6 +329,7 @@ def pack(
         names = pa.concat_arrays([r.column(0) for r in rows])
         encoder = worker_encoder(tokenizer_path, "word")
         ids, ends, terms, first = encoder.encode_terms(pa.concat_arrays([r.column(1) for r in rows]))
+        release()  # the index and the windows need less
         hashes = np.zeros(encoder.table.size, np.uint64)
         full = encoder.table.values >= 0
         hashes[encoder.table.values[full]] = encoder.table.keys[full]
