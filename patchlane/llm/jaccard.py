@@ -181,9 +181,7 @@ def classes(
     whole: list[DataFrame] = []  # whole sets (node, set) that were made so far
 
     def untested(pairs: DataFrame) -> DataFrame:
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        return pairs
+        return pairs.join(functools.reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti") if tested else pairs
 
     exploded = nodes.select("node", "n", F.get("marks", 0).alias("mark"), F.posexplode(F.arrays_zip("grams", "salts")).alias("pos", "g"))
     postings = exploded.select(F.col("g.grams").alias("gram"), F.col("g.salts").alias("salts"), "node", "n", "pos", "mark")

@@ -68,3 +68,20 @@ def test_equals_brute_force(spark, seed, monkeypatch):
 
 def test_empty_table(spark):
     assert jaccard.link_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_tested_pairs_are_looked_up_by_one_join(spark, monkeypatch):
+    """Not by one for each table of them, each of which gives all the candidates again."""
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 4)
+    joins, store = {}, jaccard.materialize
+
+    def stored(df, name, folder=None):
+        joins[name] = df._jdf.queryExecution().analyzed().toString().count("Join LeftAnti")
+        return store(df, name, folder)
+
+    monkeypatch.setattr(jaccard, "materialize", stored)
+    rows = made(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(docs).collect()]
+    assert sorted(got, key=repr) == brute(rows)
+    assert "pairs-1" in joins and joins["candidates"] == 1 and all(n <= 1 for name, n in joins.items() if name.startswith(("pairs", "rest")))
