@@ -117,10 +117,13 @@ def terciles(df: DataFrame, size: str) -> DataFrame:
 
 
 def within_slope(df: DataFrame, x: Column, y: Column, group: Sequence[str | Column]) -> DataFrame:
-    """Ordinary least-squares slope of y on x with a fixed effect for each group."""
+    """Ordinary least-squares slope of y on x with a fixed effect for each group; null where x varies in no group.
+
+    The mean of equal numbers can be off by rounding, so groups of one x are told by their extremes."""
     w = Window.partitionBy(*group)
     made = df.withColumn("__x", x).withColumn("__y", y)
-    centred = made.withColumn("__dx", F.col("__x") - F.avg("__x").over(w)).withColumn("__dy", F.col("__y") - F.avg("__y").over(w))
+    dx = F.when(F.min("__x").over(w) == F.max("__x").over(w), F.col("__x") * 0).otherwise(F.col("__x") - F.avg("__x").over(w))
+    centred = made.withColumn("__dx", dx).withColumn("__dy", F.col("__y") - F.avg("__y").over(w))
     return centred.agg((F.sum(F.col("__dx") * F.col("__dy")) / F.nullif(F.sum(F.col("__dx") * F.col("__dx")), F.lit(0.0))).alias("slope"), F.count("*").alias("n"))
 
 
