@@ -9,7 +9,7 @@ from patchlane.plans import fixtures as fx
 
 ITEMS, THRESHOLD = 1800 * 18, "spark.sql.autoBroadcastJoinThreshold"
 #: Queries that need set cells only, which makes the view's join an inner one: Spark may then send either side.
-ON_MASKS = ["grd10_resize_nearest", "grd12_close", "grd12_dilate", "grd12_dilate_cross", "grd13_components_4", "grd14_components_8", "pol9_peak_in_region", "sta13_region_size_gain", "met6_aupro", "met8_auspro", "met12_region_overlap", "met7_aupro_binned", "met10_aupro_by_condition"]
+ON_MASKS = ["grd10_resize_nearest", "grd12_close", "grd12_dilate", "grd12_dilate_cross", "grd13_components_4", "grd14_components_8", "pol9_peak_in_region", "sta13_region_size_gain", "met6_aupro", "met8_auspro", "met12_region_overlap", "met7_aupro_binned", "met10_aupro_by_condition", "met15_map_variants"]
 
 
 @pytest.fixture(scope="module")
